@@ -8,13 +8,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentencepiece_bpe
 from .quality_rules import BOILERPLATE, quality_rules
+from .token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; the package is part of every machine's Python."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -48,5 +61,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_wo
 FROM s LEFT JOIN rep USING (doc_id)
 """
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLES = {"op5_quality_rules": OP5_SQL}
+#: Token limit of the report of op6.
+TOKEN_LIMIT = 512
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
+}
+ORACLES = {
+    "op5_quality_rules": OP5_SQL,
+}

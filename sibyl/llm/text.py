@@ -87,11 +87,11 @@ _LOWER[65:91] += 32
 
 
 class Flat:
-    """One buffer of texts, each followed by a newline. start and end bound the texts."""
+    """One buffer of texts, each followed by a newline. start and end bound the texts, with what is put before each."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, before: bytes = b""):
         kind = pa.large_binary()
-        whole = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(kind), pa.scalar(b"", kind), pa.scalar(b"\n", kind))
+        whole = pc.binary_join_element_wise(pa.scalar(before, kind), pc.fill_null(texts, "").cast(kind), pa.scalar(b"\n", kind), pa.scalar(b"", kind))
         offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
         data = whole.buffers()[2]
         self.buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(whole) else np.zeros(0, np.uint8)
