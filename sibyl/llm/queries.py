@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
+from . import quality_crf, sentencepiece_bpe, toxicity, url_filter
+from .labelled import HELD_OUT, fold
+from .packing import pack_documents
 from .quality_rules import BOILERPLATE, quality_rules
 from .token_counts import token_counts
+from .topk_search import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Scores from which a document is predicted to be toxic, or good.
+TOXIC_FROM, GOOD_FROM = 0.3, 0.7
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", (F.coalesce(fold(), F.lit(-1)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), F.col("toxic").alias("over_language_threshold"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -70,11 +91,45 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_crf.quality(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.coalesce(fold(), F.lit(-1)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"), "n_lines", "good_lines")
+
+
+#: Every vector whose id is divisible by this is a query.
+QUERY_EVERY = 20
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), k=20)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_url_filter": op3_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_crf": op7_quality_crf,
+    "op9_topk_search": op9_topk_search,
+    "op10_packing": op10_packing,
 }
 ORACLES = {
     "op5_quality_rules": OP5_SQL,
+    "op9_topk_search": OP9_SQL,
 }
