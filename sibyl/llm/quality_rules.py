@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .text import Flat, Schema, Spans, group_of, map_slices, mix, per_group, repeated, windows
+from .text import Flat, Schema, Spans, filter_slices, group_of, map_slices, mix, per_group, repeated, windows
 
 #: Phrases (lower case) whose lines are boilerplate.
 BOILERPLATE = (
@@ -104,6 +104,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_slices(docs, [id_col, text_col], text_col, lambda part, flat: {"doc_id": part.column(id_col)} | measure(flat), SCHEMA)
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, with all columns."""
+    return filter_slices(docs, text_col, lambda part, flat: measure(flat)["kept"])
+
+
 def clean_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the removed lines taken out of the text column; other columns stay."""
     import pyarrow as pa

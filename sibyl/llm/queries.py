@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_crf, sentencepiece_bpe, toxicity, url_filter
+from . import pii, quality_crf, sentencepiece_bpe, toxicity, url_filter
 from .labelled import HELD_OUT, fold
+from .ngram_join import similarity_classes
 from .packing import pack_documents
 from .quality_rules import BOILERPLATE, quality_rules
 from .token_counts import token_counts
@@ -49,6 +50,25 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 9 * c >= 4 * (x.n + y.n)
+          UNION ALL SELECT a.doc_id, b.doc_id, true FROM w a JOIN w b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id <> b.doc_id),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM w UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT doc_id, (SELECT min(r) FROM reach WHERE id = doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links,
+       1 + (SELECT count(*) FROM links WHERE a = doc_id AND same) AS n_copies
+FROM w
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -97,6 +117,12 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(fold(), F.lit(-1)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"), "n_lines", "good_lines")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 #: Every vector whose id is divisible by this is a query.
 QUERY_EVERY = 20
 
@@ -123,13 +149,16 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_quality_crf": op7_quality_crf,
+    "op8_pii": op8_pii,
     "op9_topk_search": op9_topk_search,
     "op10_packing": op10_packing,
 }
 ORACLES = {
+    "op4_ngram_join": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
     "op9_topk_search": OP9_SQL,
 }

@@ -70,6 +70,18 @@ def map_slices(df: DataFrame, columns: list[str], text: str, fn: Callable, schem
     return df.select(*columns).mapInArrow(run, schema.spark)
 
 
+def filter_slices(df: DataFrame, text: str, fn: Callable, limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of df, whole and with all columns, for which fn(slice, Flat) -> mask is true. No shuffle and no join by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in cuts(batch.column(text), limit):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(fn(part, Flat(part.column(text)))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def cuts(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
