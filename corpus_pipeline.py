@@ -1,21 +1,53 @@
-"""A corpus pipeline of five stages over `documents`; each stage reads what the one before it kept."""
+"""A corpus pipeline of five stages over `documents`; each stage reads what the one before it kept.
+
+Stages but the last return the columns of documents. The first two judge every row where it is read, rows that
+repeat and rows without an id included; the third keeps the document of the smallest id of each class.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sibyl.llm import ngram_join, packing, pii, places, quality_rules, queries, toxicity
+
 
-from sibyl.llm import places, quality_rules
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic by the threshold of their language; the model learns from the labels of the documents at hand."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality_rules.quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(verdicts, "doc_id", "left_semi")
+    return quality_rules.kept_documents(docs)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return ngram_join.representatives(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-STAGES: list[tuple[str, Callable]] = [("quality_rules", rules_stage)]
+STAGES: list[tuple[str, Callable]] = [
+    ("toxicity", toxicity_stage),
+    ("quality_rules", rules_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+#: The classifier and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None
 
 
