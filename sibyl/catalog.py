@@ -1,7 +1,8 @@
-"""Registered queries over the driver's tables, with DuckDB oracles."""
+"""All registered queries over the driver's tables, with DuckDB oracles where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .plans import driver, prices  # noqa: F401  (importing registers)
+
+QUERIES, ORACLES, COVERS = driver.QUERIES, driver.ORACLES, driver.COVERS
+FLAGSHIP = "roi_summary"
