@@ -162,7 +162,8 @@ def _row_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = stored(spans(docs, id_col, text_col), "spans")
     edges = stored(pattern_graph(found), "graph")
     words = edges.select("word").distinct()
-    occurrences = stored(word_counts(docs, text_col).join(words, "word", "left_semi"), "words")
+    # an inner join, as a semi join would be moved below the counting and shuffle every word of the corpus
+    occurrences = stored(word_counts(docs, text_col).join(words, "word"), "words")
     best = discover(edges, occurrences).groupBy("identifier", "type").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     hits = found.where(F.size("candidates") > 0).select("id", "h", F.explode("candidates").alias("x"))
     hits = hits.select("id", "h", "x", F.col("x.kind").alias("type"), _identifier(F.col("x.kind"), F.col("x.m")).alias("identifier")).join(best, ["identifier", "type"])
