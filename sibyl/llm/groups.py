@@ -42,6 +42,33 @@ def bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
+#: Bits of the filter of probably_in: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def probably_in(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """df without most rows whose integer key is not in wanted, by a bitmap of fixed size; an exact join has to follow.
+
+    Only words of the bitmap that hold a bit come to the driver, at most FILTER_BITS / 64 of them. A fuller bitmap
+    lets more rows through and loses none.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {FILTER_BITS}) % 64 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("sibyl_place").to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select(columns).filter(pa.array(hit == 1))
+
+    return df.withColumn("sibyl_place", place).where("sibyl_place is not null").mapInArrow(run, df.schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (u, root) for every node of edges (u, v) that is not its component's smallest: root is that smallest node.
 

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import bounds, connected_components, whole_groups
+from .groups import bounds, connected_components, probably_in, whole_groups
 from .places import stored
 from .text import Flat, Schema, Spans, group_of, lists, map_slices, mix, per_group, repeated, windows
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
-DEPTH = 3
+DEPTH = 2
 #: Sets of a bucket, or of a block of a large one.
-BLOCK = 512
+BLOCK = 256
 _PAIRS = 1 << 20  # pairs that a task looks at together
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -266,7 +266,7 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THR
     grouped = rows.select("g", "side", "run", "node", "n", "keys", "sketch").repartition("g").sortWithinPartitions("g", "side", "node")
     needed = stored(grouped.mapInArrow(_thin(runs, threshold), NEEDED.spark), "needed")
     wanted = stored(candidates.select("node", "rep", "n", "copies", "keys").join(needed.select("node").distinct(), "node"), "wanted")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep", "node"), "rep")
+    texts = probably_in(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), wanted, "rep").join(wanted.select("rep", "node"), "rep")
 
     def per_slice(part, flat):
         grams, n = shingles(flat, size)
