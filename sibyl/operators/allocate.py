@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def allocate(df: DataFrame, group: Sequence[str], weight: str, total: float, cap: float, ties: Sequence[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def allocate(df: DataFrame, group: Sequence[str], weight: str, total: float, cap
     return d.withColumn("allocated", F.when(F.col("_first").isNull() | (F.col("_k") < F.col("_first")), F.lit(cap)).otherwise(F.col(weight) * level)).drop("_k", "_s", "_fits", "_first", "_rest")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_name(names: pd.Series) -> pd.Series:
     """Name key by Unicode decomposition, where the accent map of norm_name is not enough."""
     import re

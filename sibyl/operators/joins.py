@@ -77,9 +77,9 @@ def nearest(df: DataFrame, table: DataFrame, x: str, at: str, values: Sequence[s
 
 def with_rules(prices: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule beside the prices of its market and kind inside its range of slates. rules: tens of rows."""
-    r = F.broadcast(rules)
-    on = (prices["market"] == r["market"]) & (prices["kind"] == r["kind"]) & (prices["slate"] >= r["since"]) & (r["until"].isNull() | (prices["slate"] < r["until"]))
-    return prices.join(r.drop("market", "kind"), on)
+    r = F.broadcast(rules.withColumnsRenamed({"market": "_market", "kind": "_kind"}))
+    on = (F.col("market") == F.col("_market")) & (F.col("kind") == F.col("_kind")) & (F.col("slate") >= F.col("since")) & (F.col("until").isNull() | (F.col("slate") < F.col("until")))
+    return prices.join(r, on).drop("_market", "_kind")
 
 
 def in_bands(df: DataFrame, bands: DataFrame, value: str) -> DataFrame:

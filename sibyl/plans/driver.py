@@ -38,6 +38,10 @@ GAMES_SQL = _GAMES.replace("{day}", _DUCK["game_day"])
 TICKS_SQL = _TICKS.replace("{day}", _DUCK["tick_day"]).replace("{sec}", _DUCK["sec"])
 
 
+#: Added before rounding, so that values half-way between two roundings fall on one side in both engines.
+NUDGE = 3.3e-8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,8 +57,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded: sums differ in the last digits between engines."""
-    return df.select(*((F.round(F.col(c), digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    """Doubles rounded, off exact ties: sums differ in the last digits between engines."""
+    return df.select(*((F.round(F.col(c) + NUDGE, digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
 def query(covers: str, sql: str | None = None, doubles: str = "", name: str | None = None):
@@ -71,7 +75,7 @@ def query(covers: str, sql: str | None = None, doubles: str = "", name: str | No
             for alias, text in (("g", GAMES_SQL), ("e", TICKS_SQL)):
                 views.append(f"{alias} AS ({text})")
             inner = f"WITH {recursive}{', '.join(views)}{', ' + body.strip()[5:] if body.strip().startswith('WITH ') else ' ' + body}"
-            replace = f" REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in doubles.split())})" if doubles else ""
+            replace = f" REPLACE ({', '.join(f'round({c} + {NUDGE}, 6) + 0.0 AS {c}' for c in doubles.split())})" if doubles else ""
             ORACLES[key] = f"SELECT *{replace} FROM ({inner}) t"
         return f
 

@@ -40,8 +40,8 @@ def append_by_id(old: DataFrame, new: DataFrame, key: str, ignore: Sequence[str]
     o = old.select(key, F.struct(*compared).alias("_old"))
     j = new.join(o, key, "left")
     same = F.col("_old").eqNullSafe(F.struct(*compared))
-    checked = F.assert_true(F.col("_old").isNull() | same, F.concat(F.lit("conflicting rows of id "), F.col(key).cast("string"))).isNull()
-    return j.where(checked & F.col("_old").isNull()).select(*new.columns)
+    conflict = F.raise_error(F.concat(F.lit("conflicting rows of id "), F.col(key).cast("string"))).cast("boolean")
+    return j.where(F.when(F.col("_old").isNull(), True).when(same, False).otherwise(conflict)).select(*new.columns)
 
 
 _TEAM = "struct<homeAway:string,score:string,winner:boolean,team:struct<abbreviation:string>>"
