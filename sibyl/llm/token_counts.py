@@ -38,17 +38,20 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     tokenizer = bpe.version(tokenizer_path)
     cache_path = cache_path or places.new_path(spark, "token-counts")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    keyed = places.stored(keyed, "digests")
+    named = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    keys = [F.coalesce("id", F.xxhash64("text")).alias("k"), F.unhex(F.sha2("text", 256)).alias("digest")]
+    keyed = places.stored(named.select("id", *keys, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = stored_counts(docs, cache_path).where(F.col("tokenizer") == tokenizer)
-    misses = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti")
-    # rows of one id may hold several texts, so the digest is compared too
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    wanted = texts.join(misses.withColumnRenamed("id", "first_id"), F.col("id").eqNullSafe(F.col("first_id"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+    misses = keyed.groupBy("digest").agg(F.min("k").alias("k")).join(known, "digest", "left_anti")
+    # rows of one id may hold several texts, so the digest is compared too; rows that repeat are encoded once
+    texts = named.select("text", *keys).join(misses.withColumnRenamed("digest", "missed"), "k")
+    wanted = texts.where(F.col("digest") == F.col("missed")).dropDuplicates(["k", "digest"])
     counted = map_slices(
         wanted, ["digest", "text"], "text",
         lambda part, flat: {"digest": part.column("digest"), "n_tokens": bpe.loaded(tokenizer_path).counts(flat)}, Schema(digest="binary", n_tokens="long"),
     )
     counted.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = stored_counts(docs, cache_path).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # a table of its own, so that the join below is a plain one whose skewed digests Spark can split
+    counts = places.stored(counts, "counts")
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
