@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .groups import bounds, connected_components, probably_in, whole_groups
 from .places import stored
-from .text import Flat, Schema, Spans, group_of, lists, map_slices, mix, per_group, repeated, windows
+from .text import Flat, Schema, Spans, cuts, group_of, lists, map_slices, mix, per_group, repeated, windows
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
 DEPTH = 2
@@ -106,7 +107,7 @@ def _leaves(nodes: DataFrame, runs: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         sizes = stored(frame.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
         last = depth == DEPTH or sizes.where(F.col("size") > BLOCK).isEmpty()
-        placed = frame.join(sizes, "key")
+        placed = probably_in(frame, sizes, "key").join(sizes, "key")  # most sets are alone in their bucket
         done = placed if last else placed.where(F.col("size") <= BLOCK)
         done = done.select("node", "run", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         out = done if out is None else out.unionByName(done)
@@ -245,6 +246,23 @@ def _compare(threshold: float):
     return run
 
 
+def with_tokens(texts: DataFrame, size: int) -> DataFrame:
+    """Rows of texts whose n-grams are those of their node (an id may have several texts), with tokens in the place of the text."""
+    kept = [f for f in texts.schema.fields if f.name not in ("text", "rep")]
+    schema = T.StructType([*kept, T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in cuts(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                grams, n = shingles(Flat(part.column("text")), size)
+                columns = [*(part.column(f.name) for f in kept), lists(grams.view(np.int64), n, pa.int64())]
+                same = part.column("node").to_numpy() == node_of(grams, n)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(same))
+
+    return texts.mapInArrow(run, schema)
+
+
 def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id, n_links, n_copies): class_id is the smallest id of the documents tied by links; n_links counts
     the other documents of similarity `threshold` or more, copies included; n_copies the documents of the same set."""
@@ -265,16 +283,11 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THR
     rows = rows.withColumns({"g": F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), "side": (F.col("own") > F.col("other")).cast("int")})
     grouped = rows.select("g", "side", "run", "node", "n", "keys", "sketch").repartition("g").sortWithinPartitions("g", "side", "node")
     needed = stored(grouped.mapInArrow(_thin(runs, threshold), NEEDED.spark), "needed")
-    wanted = stored(candidates.select("node", "rep", "n", "copies", "keys").join(needed.select("node").distinct(), "node"), "wanted")
-    texts = probably_in(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), wanted, "rep").join(wanted.select("rep", "node"), "rep")
-
-    def per_slice(part, flat):
-        grams, n = shingles(flat, size)
-        return {"node": part.column("node"), "found": node_of(grams, n), "tokens": lists(grams.view(np.int64), n, pa.int64())}
-
-    tokens = map_slices(texts, ["node", "text"], "text", per_slice, Schema(node="long", found="long", tokens="array<long>"))
-    tokens = tokens.where("node = found").drop("found").dropDuplicates(["node"])  # an id with several texts
-    compared = needed.join(wanted.drop("rep"), "node").join(tokens, "node").select("g", "side", "run", "node", "n", "copies", "keys", "tokens")
+    places_ = needed.groupBy("node").agg(F.collect_list(F.struct("g", "side", "run")).alias("places"))  # at most runs * blocks of its bucket
+    wanted = stored(candidates.select("node", "rep", "n", "copies", "keys").join(places_, "node"), "wanted")
+    texts = probably_in(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), wanted, "rep").join(wanted, "rep")
+    texts = texts.dropDuplicates(["rep", "node"])  # rows that repeat
+    compared = with_tokens(texts, size).select(F.inline("places"), "node", "n", "copies", "keys", "tokens")
     compared = compared.repartition("g").sortWithinPartitions("g", "side", "node")
     linked = stored(compared.mapInArrow(_compare(threshold), LINKED.spark), "linked")
     roots = connected_components(linked.select(F.col("node").alias("u"), F.col("label").alias("v")))
