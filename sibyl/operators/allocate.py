@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def allocate(df: DataFrame, group: Sequence[str], weight: str, total: float, cap: float, ties: Sequence[str]) -> DataFrame:
-    """Shares of `total` in proportion to weights, none above `cap`; what is cut goes to the others in proportion.
+    """Shares of `total` in proportion to weights, none above `cap`; what is cut goes to the others in proportion.
 
     Sorted by weight, the k largest are capped where k is the least number for which the next share fits; so prefix
     sums over the group give the answer without a loop.

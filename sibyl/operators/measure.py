@@ -264,6 +264,12 @@ def contribution_gap(df: DataFrame, names: Sequence[str], values: str, won: str)
     return long.groupBy("feature").agg(F.avg(v1).alias("in_wins"), F.avg(v0).alias("in_losses"), (F.avg(v1) - F.avg(v0)).alias("gap"), F.sqrt(F.var_samp(v1) / F.count(v1) + F.var_samp(v0) / F.count(v0)).alias("gap_se"))
 
 
+def gap_explained(df: DataFrame, correction: str, x: str) -> DataFrame:
+    """Share of the market's correction that a feature explains, and the share of its mean gap."""
+    r2 = F.regr_r2(correction, x)
+    return df.agg(F.count("*").alias("n"), r2.alias("r2"), (F.regr_slope(correction, x) * F.avg(x) / F.avg(correction)).alias("gap_share"))
+
+
 def quantile_groups(df: DataFrame, x: str, n: int, value: str) -> DataFrame:
     """Groups cut at quantiles (equal values stay together, unlike ntile), scored each."""
     cuts = df.agg(*(F.percentile(x, F.lit(i / n)).alias(f"c{i}") for i in range(1, n)))

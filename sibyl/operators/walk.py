@@ -119,8 +119,9 @@ def shadow_record(df: DataFrame, p: str, q: str, w: float, home_ml: str, away_ml
     """Paper bets of a blend: the side of larger positive expected value."""
     from ..functions.prices import position, shrink_p
 
-    blended = df.withColumn("blend", shrink_p(F.col(p), F.col(q), w))
-    side = blended.withColumn("bet", position(F.col("blend"), F.col(home_ml), F.col(away_ml))).where("bet is not null")
+    # a lambda variable is evaluated once; as a plain column the blend would be repeated all over the generated code
+    both = F.transform(F.array(shrink_p(F.col(p), F.col(q), w)), lambda b: F.struct(b.alias("blend"), position(b, F.col(home_ml), F.col(away_ml)).alias("bet")))[0]
+    side = df.withColumn("_b", both).select("*", "_b.*").drop("_b").where("bet is not null")
     home = F.col("bet") == "home"
     ml = F.when(home, F.col(home_ml)).otherwise(F.col(away_ml))
     won = F.when(home, F.col(home_won) == 1).otherwise(F.col(home_won) == 0)

@@ -98,6 +98,18 @@ def closed_slates(rows: DataFrame, slate: str, watermark: Column) -> DataFrame:
     return rows.where(F.col(slate) < F.to_date(watermark))
 
 
+def live_track(states: DataFrame, quotes: DataFrame, key: Sequence[str], minute: str, chance: Column) -> DataFrame:
+    """Win chance from the in-game state beside the quote of the same minute. Runs on streams with watermarks as well, as an
+    equi-join on key and minute."""
+    return states.withColumn("live", chance).join(quotes, [*key, minute])
+
+
+def forward_score(log: DataFrame, results: DataFrame, key: str, p: str, y: str) -> DataFrame:
+    """Logged forecasts with their results, scored."""
+    j = log.join(results.select(key, y), key)
+    return j.agg(F.count("*").alias("n"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
+
+
 def start_state_stream(rows: DataFrame, name: str, checkpoint: str, build) -> object:
     """Run a state function over a stream of snapshots into an in-memory table (complete state after every trigger)."""
     return build(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
