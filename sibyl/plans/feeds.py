@@ -292,3 +292,13 @@ def exact_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", V.exact_name(F.col("c_name")).alias("k"))
 
 
+
+
+@query("S15", "SELECT CAST(game_id AS VARCHAR) AS id, 'Points' AS stat, 'P' || team AS name, total AS line, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS ml FROM g WHERE season = 1998", "line ml")
+def nested_prop_feed(spark, sf):
+    c = F.col
+    price = F.struct(F.concat(F.when(c("home_ml") > 0, "+").otherwise(""), c("home_ml").cast("int").cast("string")).alias("american"), c("total").cast("string").alias("handicap"))
+    market = F.struct(F.concat(F.lit("Points - P"), c("team").cast("string"), F.lit(" (BOS)")).alias("description"), F.array(F.struct(F.lit("Over").alias("description"), price.alias("price"))).alias("outcomes"))
+    event = F.struct(c("game_id").cast("string").alias("id"), F.lit(0).alias("startTime"), F.array(F.struct(F.array(market).alias("markets"))).alias("displayGroups"))
+    js = F.to_json(F.array(F.struct(F.array(event).alias("events"))))
+    return S.nested_props(games(spark, sf).where("season = 1998").select(js.alias("t")), "t").select("id", "stat", "name", "line", "ml")

@@ -203,3 +203,29 @@ def test_empty_tables(spark):
     assert causal.latest_n_before(e, ["k"], "d", ["i"], ["v"], 5).count() == 0
     assert causal.decayed(e, ["k"], ["i"], ["v"], 3.0).count() == 0
     assert scope.latest_n(e, ["k"], [F.desc("v")], 2).count() == 0
+
+
+def test_sorted_write_replaces_only_its_partitions(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    feeds.write_sorted(spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "season int, i int"), path, "season", ["i"])
+    feeds.write_sorted(spark.createDataFrame([(1, 9)], "season int, i int"), path, "season", ["i"])
+    assert sorted((r["season"], r["i"]) for r in spark.read.parquet(path).collect()) == [(1, 9), (2, 5)]
+
+
+def test_strict_scan_of_many_files(spark, tmp_path):
+    for season in (2026, 2027):
+        (tmp_path / f"log_{season}.csv").write_text(f"id,p\n{season},0.5\n")
+    got = feeds.strict_csv(spark, f"{tmp_path}/log_*.csv", ["id", "p"]).collect()
+    assert sorted((r["id"], r["source_file"]) for r in got) == [("2026", "log_2026.csv"), ("2027", "log_2027.csv")]
+
+
+def test_precedence_and_members(spark):
+    live = spark.createDataFrame([(1, "void")], "id int, s string")
+    replay = spark.createDataFrame([(1, "ok"), (2, "ok")], "id int, s string")
+    assert sorted(tuple(r) for r in scope.with_precedence([live, replay], "id").collect()) == [(1, "void"), (2, "ok")]
+
+
+def test_cells_of_one_slate_do_not_see_each_other(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0)], "i int, d int, w double").withColumn("c", F.lit(0))
+    got = {r["i"]: r["members"] for r in causal.latest_n_before(df, ["c"], "d", ["i"], ["w"], 200).collect()}
+    assert got == {1: 0, 2: 0, 3: 2}
