@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 _TYPES = {
