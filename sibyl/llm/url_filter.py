@@ -1,13 +1,13 @@
-"""URL filter: rules by host and path, and a ratio of character language models for the rest.
+"""URL filter: rules by host and path, and a ratio of character language models over the whole URL for the rest.
 
 URLs that an allow or a block rule decides are the examples of two variable-order Markov models over a fixed
-alphabet. Counts of every order come from all such URLs, in Spark; orders are blended by Witten-Bell weights. The
+alphabet. The models read each URL from its scheme to its fragment; only the rules stop at host and path. Counts of every order come from all such URLs, in Spark; orders are blended by Witten-Bell weights. The
 score of a URL is the difference of its log likelihoods for each character, and the cut is calibrated on a quarter
 of the examples that the counts leave out. With `order` symbols of 40, a model has at most 40^4 = 2,560,000
 entries, whatever the input, so it is broadcast.
 
-Defined results: null URLs and those without `://` have an empty host and path, no rule and the score 0; without
-examples of both kinds every undecided URL is allowed; repeated rows are judged alike.
+Defined results: null URLs and those without `://` have an empty host and path and no rule; null and empty URLs
+have the score 0; without examples of both kinds every undecided URL is allowed; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -94,14 +94,14 @@ def blended(counts: np.ndarray) -> np.ndarray:
     return np.log(p).ravel()
 
 
-def _text_after_scheme() -> Column:
-    return F.concat(F.col("host"), F.col("path"))
+def _whole(url_col: str) -> Column:
+    return F.coalesce(F.col(url_col), F.lit(""))
 
 
-def fit(judged: DataFrame) -> UrlModel:
-    """Models from all URLs that a rule decides: three quarters give the counts, one quarter the cut."""
-    examples = judged.where("rule_verdict is not null").select(_text_after_scheme().alias("text"), (F.col("rule_verdict") == "allow").cast("int").alias("kind"))
-    examples = examples.withColumn("apart", (F.crc32(F.col("text").cast("binary")) % 4 == 3).cast("int"))
+def fit(judged: DataFrame, url_col: str = "url") -> UrlModel:
+    """Models from all URLs that a rule decides: three quarters give the counts, one quarter the cut. URLs of one host and path stay on one side."""
+    apart = (F.crc32(F.concat("host", "path").cast("binary")) % 4 == 3).cast("int")
+    examples = judged.where("rule_verdict is not null").select(_whole(url_col).alias("text"), (F.col("rule_verdict") == "allow").cast("int").alias("kind"), apart.alias("apart"))
     schema = Schema(kind="int", gram="long", n="long")
 
     def count(batches):
@@ -151,7 +151,7 @@ def scores(df: DataFrame, model: UrlModel, keep: list[str]) -> DataFrame:
 def filter_urls(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (id, host, path, rule, verdict, score)."""
     judged = judged_by_rules(urls.select(id_col, url_col), rules, url_col)
-    model = fit(judged)
-    scored = scores(judged.withColumn("text", _text_after_scheme()), model, [id_col, "host", "path", "rule", "rule_verdict"])
+    model = fit(judged, url_col)
+    scored = scores(judged.withColumn("text", _whole(url_col)), model, [id_col, "host", "path", "rule", "rule_verdict"])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= model.cut, "allow").otherwise("block"))
     return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -246,6 +246,20 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_url_model_reads_the_whole_url(spark):
+    """Examples and undecided URLs that differ in scheme, query string and fragment alone, or have no scheme."""
+    rng = random.Random(9)
+    word = lambda al: "".join(rng.choice(al) for _ in range(12))
+    good = [f"http://a.example.net/en/{i}?q={word('abcde')}#{word('abcde')}" for i in range(400)]
+    bad = [f"http://b.other.net/en/{i}?q={word('vwxyz')}#{word('vwxyz')}" for i in range(400)]
+    new = [f"http://c.example.org/p?q={word(al)}#{word(al)}" for al in ["abcde"] * 20 + ["vwxyz"] * 20] + ["abcdeabcdeabcde", "vwxyzvwxyzvwxyz", None, ""]
+    df = spark.createDataFrame(list(enumerate(good + bad + new)), "page_id long, url string")
+    rows = {r["page_id"] - 800: r for r in url_filter.filter_urls(df, queries.URL_RULES).where("page_id >= 800").collect()}
+    assert [rows[i]["verdict"] for i in range(40)] == ["allow"] * 20 + ["block"] * 20
+    assert rows[40]["score"] > rows[41]["score"] and rows[42]["score"] == rows[43]["score"] == 0
+    assert {(rows[i]["host"], rows[i]["path"], rows[i]["rule"]) for i in range(40, 44)} == {("", "", None)}
+
+
 def test_url_model_learns(spark):
     good, bad = [f"https://site{i}.org/fr/article-{i}" for i in range(200)], [f"http://win{i}.net/casino?x={i}" for i in range(200)]
     new = [f"https://page{i}.com/fr/article-{i}" for i in range(20)] + [f"http://other{i}.com/casino?x={i}" for i in range(20)]
