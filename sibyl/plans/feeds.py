@@ -21,23 +21,40 @@ def _american(c):
     return F.struct(F.when(c > 0, F.concat(F.lit("+"), c.cast("int").cast("string"))).otherwise(c.cast("int").cast("string")).alias("american"))
 
 
-@query("S08 S24", "SELECT game_id, 'dk' AS book, spread, total, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS current_home_ml, CASE WHEN abs(close_away_ml) >= 100 THEN close_away_ml END AS close_away_ml FROM g WHERE season = 1996", "spread total current_home_ml close_away_ml")
-def odds_feed(spark, sf):
+def _odds(g):
     c = F.col
     side = lambda s: F.struct(F.struct(_american(c(f"{s}_ml")).alias("moneyLine")).alias("current"), F.struct(_american(c(f"close_{s}_ml")).alias("moneyLine")).alias("close"))
     item = lambda pid, line: F.struct(F.struct(F.lit(pid).alias("id"), F.lit("n").alias("name")).alias("provider"), line.alias("spread"), c("total").alias("overUnder"), side("home").alias("homeTeamOdds"), side("away").alias("awayTeamOdds"))
     js = F.to_json(F.struct(F.array(item("9", c("spread") + 1), item("40", c("spread")), item("40", c("spread") + 2)).alias("items")))
-    feed = games(spark, sf).where("season = 1996").select("game_id", js.alias("t"))
-    return S.book_odds(feed, "t", "game_id", {"40": "dk"}).select("game_id", "book", "spread", "total", "current_home_ml", "close_away_ml")
+    return S.book_odds(g.select("game_id", js.alias("t")), "t", "game_id", {"40": "dk"}).select("game_id", "book", "spread", "total", "current_home_ml", "close_away_ml")
 
 
-@query("S06", "SELECT CAST(game_id AS VARCHAR) AS game_id, CAST(200 + margin AS DOUBLE) AS home_score, 'H' || team AS home FROM g WHERE season = 1997", "home_score")
-def scoreboard_feed(spark, sf):
+@query("S08 S24", "SELECT game_id, 'dk' AS book, spread, total, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS current_home_ml, CASE WHEN abs(close_away_ml) >= 100 THEN close_away_ml END AS close_away_ml FROM g WHERE season = 1996", "spread total current_home_ml close_away_ml")
+def odds_feed(spark, sf):
+    return _odds(games(spark, sf).where("season = 1996"))
+
+
+@query("S08 S24", "SELECT game_id, 'dk' AS book, spread, total, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS current_home_ml, CASE WHEN abs(close_away_ml) >= 100 THEN close_away_ml END AS close_away_ml FROM g", "spread total current_home_ml close_away_ml")
+def odds_feed_all(spark, sf):
+    return _odds(games(spark, sf))
+
+
+def _scores(g):
     c = F.col
     side = lambda h, s, t: F.struct(F.lit(h).alias("homeAway"), s.cast("string").alias("score"), F.struct(t.alias("abbreviation")).alias("team"))
     comp = F.struct(F.array(side("away", F.lit(200.0), F.lit("A")), side("home", c("margin") + 200, F.concat(F.lit("H"), c("team").cast("string")))).alias("competitors"))
     js = F.to_json(F.struct(F.array(F.struct(c("game_id").cast("string").alias("id"), F.array(comp).alias("competitions"))).alias("events")))
-    return S.scoreboard(games(spark, sf).where("season = 1997").select(js.alias("t")), "t").select("game_id", "home_score", "home")
+    return S.scoreboard(g.select(js.alias("t")), "t").select("game_id", "home_score", "home")
+
+
+@query("S06", "SELECT CAST(game_id AS VARCHAR) AS game_id, CAST(200 + margin AS DOUBLE) AS home_score, 'H' || team AS home FROM g WHERE season = 1997", "home_score")
+def scoreboard_feed(spark, sf):
+    return _scores(games(spark, sf).where("season = 1997"))
+
+
+@query("S06", "SELECT CAST(game_id AS VARCHAR) AS game_id, CAST(200 + margin AS DOUBLE) AS home_score, 'H' || team AS home FROM g", "home_score")
+def scoreboard_feed_all(spark, sf):
+    return _scores(games(spark, sf))
 
 
 @query("S07", "SELECT l_orderkey, 'A' AS team, CAST(l_partkey AS VARCHAR) AS player_id, 'Out' AS status FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'B', NULL, 'NONE' FROM lineitem")
@@ -150,6 +167,16 @@ def rule_lineage(spark, sf):
     return J.lineage(rules, ["edge"])
 
 
+@query("J28 F08", """WITH RECURSIVE r AS (SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey >= 10 THEN CAST(c_custkey // 10 AS VARCHAR) END AS parent, c_mktsegment AS edge FROM customer),
+    up AS (SELECT key AS rule, key AS ancestor, edge, 0 AS depth FROM r UNION ALL SELECT up.rule, r.parent, up.edge, up.depth + 1 FROM up JOIN r ON r.key = up.ancestor WHERE r.parent IS NOT NULL)
+    SELECT rule AS key, arg_max(ancestor, depth) AS twin FROM up JOIN r ON r.key = up.ancestor AND r.edge IS NOT DISTINCT FROM up.edge GROUP BY 1""")
+def rule_lineage_all(spark, sf):
+    """A rule for each customer; the parent's key lacks the last digit."""
+    c = F.col
+    rules = table(spark, sf, "customer").select(c("c_custkey").cast("string").alias("key"), F.when(c("c_custkey") >= 10, F.floor(c("c_custkey") / 10).cast("string")).alias("parent"), c("c_mktsegment").alias("edge"))
+    return J.lineage(rules, ["edge"])
+
+
 @query("A17 V01", "SELECT o_orderkey, sum(l_quantity / 240 * p_retailprice) AS talent FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1", "talent")
 def roster_talent(spark, sf):
     c = F.col
@@ -177,15 +204,23 @@ def frozen_upsert(spark, sf):
     return X.frozen_upsert(old, new, ["game"], "sec", "start").select("game", "sec")
 
 
-@query("X13", "SELECT game_id, day = 10000 AND game_id % 2 = 1 AS needs_lock FROM g WHERE day > 9990 AND day < 10010")
-def due_games(spark, sf):
+def _due(g):
     c = F.col
-    g = games(spark, sf).where("day > 9990 and day < 10010")
     sched = g.select("game_id", F.timestamp_seconds(c("day").cast("long") * 86400 + 3600).alias("tip"))
     state = g.select("game_id", F.when(c("game_id") % 2 == 0, F.lit(1)).alias("lock"))
     return X.due(sched, state, "game_id", "tip", F.timestamp_seconds(F.lit(10000 * 86400))).select("game_id", F.col("needs_lock"))
 
 
+@query("X13", "SELECT game_id, day = 10000 AND game_id % 2 = 1 AS needs_lock FROM g WHERE day > 9990 AND day < 10010")
+def due_games(spark, sf):
+    return _due(games(spark, sf).where("day > 9990 and day < 10010"))
+
+
+@query("X13", "SELECT game_id, day = 10000 AND game_id % 2 = 1 AS needs_lock FROM g")
+def due_games_all(spark, sf):
+    return _due(games(spark, sf))
+
+
 @query("X15 B25", "SELECT s.game, s.day, max(s.value) AS live FROM e s JOIN e q ON s.game = q.game AND s.day = q.day WHERE s.kind = 'view' AND q.kind = 'click' GROUP BY 1, 2", "live")
 def live_track(spark, sf):
     t = ticks(spark, sf)
@@ -200,6 +235,12 @@ def forward_score(spark, sf):
     return X.forward_score(g.where("game_id % 3 = 0").select("game_id", "p"), g, "game_id", "p", "won")
 
 
+@query("X16", "SELECT count(*) AS n, avg((p - won) * (p - won)) AS brier FROM g", "brier")
+def forward_score_all(spark, sf):
+    g = games(spark, sf)
+    return X.forward_score(g.select("game_id", "p"), g, "game_id", "p", "won")
+
+
 def _fit_rows(spark, terms, beta):
     return spark.createDataFrame([(t, float(b)) for t, b in zip(terms, beta, strict=True)], "term string, coef double")
 
@@ -294,11 +335,20 @@ def exact_names(spark, sf):
 
 
 
-@query("S15", "SELECT CAST(game_id AS VARCHAR) AS id, 'Points' AS stat, 'P' || team AS name, total AS line, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS ml FROM g WHERE season = 1998", "line ml")
-def nested_prop_feed(spark, sf):
+def _nested(g):
     c = F.col
     price = F.struct(F.concat(F.when(c("home_ml") > 0, "+").otherwise(""), c("home_ml").cast("int").cast("string")).alias("american"), c("total").cast("string").alias("handicap"))
     market = F.struct(F.concat(F.lit("Points - P"), c("team").cast("string"), F.lit(" (BOS)")).alias("description"), F.array(F.struct(F.lit("Over").alias("description"), price.alias("price"))).alias("outcomes"))
     event = F.struct(c("game_id").cast("string").alias("id"), F.lit(0).alias("startTime"), F.array(F.struct(F.array(market).alias("markets"))).alias("displayGroups"))
     js = F.to_json(F.array(F.struct(F.array(event).alias("events"))))
-    return S.nested_props(games(spark, sf).where("season = 1998").select(js.alias("t")), "t").select("id", "stat", "name", "line", "ml")
+    return S.nested_props(g.select(js.alias("t")), "t").select("id", "stat", "name", "line", "ml")
+
+
+@query("S15", "SELECT CAST(game_id AS VARCHAR) AS id, 'Points' AS stat, 'P' || team AS name, total AS line, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS ml FROM g WHERE season = 1998", "line ml")
+def nested_prop_feed(spark, sf):
+    return _nested(games(spark, sf).where("season = 1998"))
+
+
+@query("S15", "SELECT CAST(game_id AS VARCHAR) AS id, 'Points' AS stat, 'P' || team AS name, total AS line, CASE WHEN abs(home_ml) >= 100 THEN home_ml END AS ml FROM g", "line ml")
+def nested_prop_feed_all(spark, sf):
+    return _nested(games(spark, sf))

@@ -285,6 +285,15 @@ def graded_log(spark, sf):
     return X.apply_results(led, g, "game_id", ["won", "cq"]).groupBy("season").agg(F.count("*").alias("n"), F.sum("won").alias("wins"), F.avg("cq").alias("close_q"))
 
 
+@query("X09 X11 X16", f"SELECT game_id, season, CASE WHEN game_id % 2 = 0 THEN won ELSE 0 END AS won, CASE WHEN game_id % 3 = 0 THEN {CQ} ELSE p END AS cq FROM g", "cq")
+def graded_log_all(spark, sf):
+    """Every game is in the log, some with a result or a close already: those stay."""
+    c = F.col
+    g = priced(spark, sf)
+    led = g.select("game_id", "season", F.when(c("game_id") % 2 != 0, F.lit(0)).alias("won"), F.when(c("game_id") % 3 != 0, c("p")).alias("cq"))
+    return X.apply_results(led, g, "game_id", ["won", "cq"])
+
+
 @query("M14", "SELECT book, regr_count(margin, spread) AS n, regr_slope(margin, spread) AS slope, sqrt((regr_syy(margin, spread) - pow(regr_sxy(margin, spread), 2) / regr_sxx(margin, spread)) / (regr_count(margin, spread) - 2) / regr_sxx(margin, spread)) AS slope_se FROM g GROUP BY 1", "slope slope_se")
 def slope_se(spark, sf):
     return M.slope(games(spark, sf), "spread", "margin", ["book"]).select("book", F.col("n").cast("long").alias("n"), "slope", "slope_se")
@@ -310,6 +319,13 @@ def aged_refits(spark, sf):
     return d.join(F.broadcast(first)).where("day % 20 = 0 and day > f + 20").select("day", "slope")
 
 
+@query("B03", """WITH d AS (SELECT day, pow(2, (day - (SELECT min(day) FROM g)) / 100e0) AS w, count(*) AS n, sum(spread) AS sx, sum(margin) AS sy, sum(spread * spread) AS sxx, sum(spread * margin) AS sxy FROM g GROUP BY 1),
+    f AS (SELECT a.day, sum(b.w * b.n) AS n, sum(b.w * b.sx) AS sx, sum(b.w * b.sy) AS sy, sum(b.w * b.sxx) AS sxx, sum(b.w * b.sxy) AS sxy FROM d a LEFT JOIN d b ON b.day < a.day GROUP BY 1)
+    SELECT day, CASE WHEN n * sxx - sx * sx > 1e-9 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM f""", "slope")
+def aged_refits_all(spark, sf):
+    return B.aged_refits(games(spark, sf), "spread", "margin", "day", 100.0)
+
+
 @query("B04 B11 B19 B20 B21", f"""WITH x AS (SELECT *, {QSQL} AS q FROM g), l AS (SELECT season, 'model' AS arm, p, won FROM x WHERE q IS NOT NULL UNION ALL SELECT season, 'price', q, won FROM x WHERE q IS NOT NULL) SELECT season, arm, count(*) AS n, avg(-ln(CASE WHEN won = 1 THEN p ELSE 1 - p END)) AS loss, avg((p - won) * (p - won)) AS brier FROM l GROUP BY 1, 2""", "loss brier")
 def arm_comparison(spark, sf):
     return B.compare_arms(priced(spark, sf), ["season"], {"model": F.col("p"), "price": F.col("q")}, "won")

@@ -106,6 +106,15 @@ def team_codes(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.when(c("n_nationkey") < 10, S.unique_code(c("n_name"), codes)).alias("code"), m["away"].alias("away"), m["home"].alias("home"))
 
 
+@query("T03 T04", """SELECT c_custkey, CASE WHEN right(c_name, 2) <> '07' AND right(c_name, 2) < '90' THEN 'T' || right(c_name, 2) END AS code, c_mktsegment AS away, 'CD' AS home FROM customer""")
+def team_codes_all(spark, sf):
+    """The last two digits of each customer's name against 90 full names, two of which end alike."""
+    c = F.col
+    codes = [(f"Team {i:02d}", f"T{i:02d}") for i in range(90)] + [("Other 07", "O07")]
+    m = S.matchup(F.concat(c("c_mktsegment"), F.lit("@CD")))
+    return table(spark, sf, "customer").select("c_custkey", S.unique_code(F.substring("c_name", -2, 2), codes).alias("code"), m["away"].alias("away"), m["home"].alias("home"))
+
+
 @query("T05 T06 T07 T08 T09 T10 T13", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS utc, 65e0 AS clock, (2 - 1) * 720 + (720 - 65) + 0e0 AS elapsed, (2 * 720 + 65) / 2880e0 AS tau, CAST(year(o_orderdate) + CAST(month(o_orderdate) >= 8 AS INT) AS INT) AS season,
     strftime(o_orderdate - INTERVAL 6 HOUR, '%Y-%m-%d') AS shown, greatest(0e0, least(1e0, date_diff('day', make_date(CAST(year(o_orderdate) AS BIGINT), 1, 1), CAST(o_orderdate AS DATE)) / 175e0)) AS phase, dayofweek(o_orderdate) IN (2, 3, 4) AS midweek, dayofweek(o_orderdate) IN (0, 1) AS sun_mon FROM orders""", "clock elapsed tau phase")
 def calendar_scalars(spark, sf):
@@ -375,6 +384,17 @@ def band_matrix(spark, sf):
     return A.matrix(g, "pb", "season", [1996, 1997], "margin")
 
 
+_SEASONS = range(1995, 2002)
+
+
+@query("A29", f"SELECT CAST(floor(p * 4) AS INT) AS pb, {', '.join(f'avg(CASE WHEN season = {s} THEN margin END) AS "{s}"' for s in _SEASONS)} FROM g GROUP BY 1", " ".join(f'"{s}"' for s in _SEASONS))
+def band_matrix_all(spark, sf):
+    """A column for each season of the table; the SQL names those that the driver's tables have."""
+    g = games(spark, sf).withColumn("pb", F.floor(F.col("p") * 4).cast("int"))
+    seasons = [r["season"] for r in g.select("season").distinct().orderBy("season").collect()]
+    return A.matrix(g, "pb", "season", seasons, "margin")
+
+
 @query("A30 A32", f"SELECT book, count(*) AS n, avg(u) AS roi, avg(q * d - 1) AS roi_null, avg(u - (q * d - 1)) AS gain, stddev_samp(u - (q * d - 1)) / sqrt(count(u - (q * d - 1))) AS gain_se FROM (SELECT book, {UNITS} AS u, {QSQL} AS q, {_DEC.format('home_ml')} AS d FROM g) t WHERE u IS NOT NULL GROUP BY 1", "roi roi_null gain gain_se")
 def cell_returns(spark, sf):
     return A.cell_roi(priced(spark, sf), ["book"], "home_ml", "home_won", "q")
@@ -393,6 +413,13 @@ def price_windows(spark, sf):
     return A.price_window(g.where("season = 1996").select(F.col("home_ml").alias("price_at")).distinct(), g, "price_at", "home_ml", "won", 2.0, 6.0)
 
 
+@query("A34", """WITH k AS (SELECT home_ml AS price_at, count(*) AS n, sum(won) AS s FROM g GROUP BY 1), w AS (SELECT a.price_at, ww, sum(b.n) AS n, sum(b.s) AS s FROM k a JOIN (SELECT unnest([2e0, 3e0, 4.5e0, 6e0]) AS ww) x ON true JOIN k b ON abs(b.price_at - a.price_at) <= ww GROUP BY 1, 2)
+    SELECT price_at, CAST(n AS BIGINT) AS n, ww AS width, CASE WHEN n >= 10 THEN s / n END AS rate FROM (SELECT *, row_number() OVER (PARTITION BY price_at ORDER BY CASE WHEN n >= 60 THEN 0 ELSE 1 END, CASE WHEN n >= 60 THEN ww ELSE -ww END) AS i FROM w) y WHERE i = 1""", "price_at width rate")
+def price_windows_all(spark, sf):
+    g = games(spark, sf)
+    return A.price_window(g.select(F.col("home_ml").alias("price_at")).distinct(), g, "price_at", "home_ml", "won", 2.0, 6.0)
+
+
 @query("A38", "WITH c AS (SELECT quantile_cont(amount, 1 / 3) AS a, quantile_cont(amount, 2 / 3) AS b FROM g) SELECT CAST(CAST(amount > a AS INT) + CAST(amount > b AS INT) AS INT) AS \"group\", count(*) AS n, avg(amount) AS x, avg(margin) AS value FROM g, c GROUP BY 1", "x value")
 def quantile_groups(spark, sf):
     return A.quantile_groups(games(spark, sf), "amount", 3, "margin")
