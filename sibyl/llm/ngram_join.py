@@ -247,18 +247,26 @@ def _compare(threshold: float):
 
 
 def with_tokens(texts: DataFrame, size: int) -> DataFrame:
-    """Rows of texts whose n-grams are those of their node (an id may have several texts), with tokens in the place of the text."""
+    """One row of each node from texts whose n-grams are those of the node (an id may have several texts), with tokens in the place
+    of the text. The rows of a node stand together in one partition."""
     kept = [f for f in texts.schema.fields if f.name not in ("text", "rep")]
     schema = T.StructType([*kept, T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def run(batches):
+        last = None
         for batch in batches:
             for lo, hi in cuts(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 grams, n = shingles(Flat(part.column("text")), size)
                 columns = [*(part.column(f.name) for f in kept), lists(grams.view(np.int64), n, pa.int64())]
-                same = part.column("node").to_numpy() == node_of(grams, n)
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(same))
+                node = part.column("node").to_numpy()
+                mask = node == node_of(grams, n)
+                fit = np.flatnonzero(mask)
+                if len(fit):
+                    mask[fit[1:]] = node[fit[1:]] != node[fit[:-1]]
+                    mask[fit[0]] = node[fit[0]] != last
+                    last = node[fit[-1]]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(mask))
 
     return texts.mapInArrow(run, schema)
 
@@ -286,7 +294,9 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THR
     places_ = needed.groupBy("node").agg(F.collect_list(F.struct("g", "side", "run")).alias("places"))  # at most runs * blocks of its bucket
     wanted = stored(candidates.select("node", "rep", "n", "copies", "keys").join(places_, "node"), "wanted")
     texts = probably_in(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), wanted, "rep").join(wanted, "rep")
-    texts = texts.dropDuplicates(["rep", "node"])  # rows that repeat
+    # rows that repeat; other texts of an id stay until their n-grams are compared with the node's. The window keeps rows of a node together.
+    again = F.lag("h").over(Window.partitionBy("rep", "node").orderBy("h")).eqNullSafe(F.col("h"))
+    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("again", again).where("not again").drop("h", "again")
     compared = with_tokens(texts, size).select(F.inline("places"), "node", "n", "copies", "keys", "tokens")
     compared = compared.repartition("g").sortWithinPartitions("g", "side", "node")
     linked = stored(compared.mapInArrow(_compare(threshold), LINKED.spark), "linked")

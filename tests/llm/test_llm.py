@@ -173,6 +173,24 @@ def test_join_of_large_groups(spark, monkeypatch):
     assert ngram_join.representatives(df.withColumn("lang", F.lit("en"))).columns == ["doc_id", "text", "lang"]
 
 
+def test_join_of_ids_with_two_texts(spark):
+    """Two texts under one id, each with a near duplicate, and two writings of one set under one id."""
+    words = lambda tag, n=60: [f"{tag}{k}" for k in range(n)]
+    rows = []
+    for i in range(12):
+        for side in (0, 1):
+            w = words(f"i{i}s{side}w")
+            rows += [(i, " ".join(w)), (100 + 2 * i + side, " ".join([*w[:-1], "other"]))]
+    w = words("same")
+    rows += [(50, " ".join(w)), (50, "  ".join(w)), (51, " ".join([*w[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(i, frozenset(tuple(t.split()[k : k + 5]) for k in range(56))) for i, t in rows]
+    want = sorted((i, sum(len(a & b) >= 0.8 * len(a | b) for j, (_, b) in enumerate(sets) if j != at)) for at, (i, a) in enumerate(sets))
+    got = ngram_join.similarity_classes(df).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i if i < 51 else 50 if i == 51 else (i - 100) // 2 for i, _ in rows}
+
+
 def brute_spans(t: str) -> list[tuple[str, int, int]]:
     rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
