@@ -2,14 +2,18 @@
 
 Vectors are quantised to integers and cut into segments of rows. A segment stores, for each attribute, the bits of
 its offset values as bitmaps over the rows. The score of a query against all rows of a segment is a sum of such
-bitmaps, each at the level of its weight; carry-save adders reduce the bitmaps of a level to one and pass carries
-on. From the most significant slice of the sum downward, rows that are surely among the k best and rows still tied
-are kept apart; the rows tied at the boundary are resolved exactly, by the smaller id.
+bitmaps: the query's numbers are written in signed digits, so that few bitmaps take part, each at the level of its
+weight; carry-save adders reduce the bitmaps of a level to one and pass carries on. From the most significant slice
+of the sum downward, rows that are surely among the k best and rows still tied are kept apart; the rows tied at the
+boundary are resolved exactly, by the smaller id.
 
-Every segment meets every block of queries in some task, and the best k of each segment are ranked again.
+Segments and blocks of queries are built once, as tables of one row each. Every segment meets every block in a
+group of its own, and the best k of each segment are ranked again.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a shorter vector counts
-as ending in zeros; rows that share the query's id are its own; fewer than k candidates are all returned.
+as ending in zeros; rows of one id are one vector, the smallest of theirs; fewer than k candidates are all returned;
+an empty table gives no rows; columns other than id and vector are not read. Any component of 64 bits is exact; a
+score is a number of 64 bits, so larger ones come out modulo 2^64.
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .places import stored
-from .text import Schema
+from .text import Schema, need_whole_ids
 
-#: Rows of a segment and queries of a block, about.
-SEGMENT_ROWS, BLOCK_QUERIES = 8192, 512
+#: Rows of a segment and queries of a block, at most about; blocks are smaller while there are fewer than CELLS pairs of both.
+SEGMENT_ROWS, BLOCK_QUERIES, CELLS = 8192, 2048, 48
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (id, v array<int>) of usable vectors: floor(scale * x) of every component."""
+    """Rows (id, v array<long>) of usable vectors, one of each id: floor(scale * x) of every component."""
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     usable = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(~F.coalesce(bad, F.lit(True)))
-    return usable.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+    rows = usable.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -45,50 +50,64 @@ def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return out
 
 
+INDEX = Schema(segment="long", ids="binary", low="binary", bits="binary", planes="binary")
+QUERIES = Schema(block="long", ids="binary", values="binary")
+
+
+def _segment_row(number: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """The index of one segment: rows in the order of ids, offset values of every attribute cut into bitmaps."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    low = values.min(0) if values.shape[1] else np.zeros(0, np.int64)
+    lifted = values.view(np.uint64) - low.view(np.uint64)
+    bits = np.array([int(x).bit_length() for x in lifted.max(0)] if values.shape[1] else [], np.int64)
+    planes = np.zeros((int(bits.sum()), -(-len(ids) // 64) * 8), np.uint8)
+    row = 0
+    for d in range(values.shape[1]):
+        for b in range(int(bits[d])):
+            packed = np.packbits(((lifted[:, d] >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little")
+            planes[row, : len(packed)] = packed
+            row += 1
+    return INDEX.batch({"segment": [number], "ids": [ids.astype("<i8").tobytes()], "low": [low.astype("<i8").tobytes()], "bits": [bits.astype("<i8").tobytes()], "planes": [planes.tobytes()]})
+
+
 class Segment:
-    """Bit slices of the attributes of up to SEGMENT_ROWS rows, ordered by id."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, values = ids[order], values[order]
-        self.words = -(-len(ids) // 64)
-        self.low = values.min(0) if values.shape[1] else np.zeros(0, np.int64)
-        self.high = values.max(0) if values.shape[1] else np.zeros(0, np.int64)
-        lifted = values - self.low
-        self.bits = np.array([int(x).bit_length() for x in (self.high - self.low)], np.int64)
+    """A segment of the index as read from its row."""
+
+    def __init__(self, row: dict[str, bytes]):
+        self.ids, self.low, self.bits = (np.frombuffer(row[c], "<i8") for c in ("ids", "low", "bits"))
+        self.words = -(-len(self.ids) // 64)
         self.first = np.cumsum(self.bits) - self.bits
-        total = int(self.bits.sum())
-        planes = np.zeros((total, self.words * 8), np.uint8)
-        for d in range(values.shape[1]):
-            for b in range(int(self.bits[d])):
-                packed = np.packbits(((lifted[:, d] >> b) & 1).astype(np.uint8), bitorder="little")
-                planes[self.first[d] + b, : len(packed)] = packed
-        plain = planes.view(np.uint64)
-        self.planes = np.concatenate([plain, ~plain])  # the second half serves negative weights: high - x = (2^bits - 1 - lifted) + const
+        plain = np.frombuffer(row["planes"], np.uint64).reshape(int(self.bits.sum()), self.words)
+        self.planes = np.concatenate([plain, ~plain])  # the second half serves negative digits: -x = (2^bits - 1 - x) - (2^bits - 1)
         live = np.zeros(self.words * 8, np.uint8)
-        packed = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
+        packed = np.packbits(np.ones(len(self.ids), np.uint8), bitorder="little")
         live[: len(packed)] = packed
         self.live = live.view(np.uint64)
 
     def slices(self, query: np.ndarray) -> tuple[np.ndarray, int]:
         """Bit slices of the scores of all rows, least significant first, and the constant to add to them."""
         n = len(self.low)
-        q = np.zeros(n, np.int64)
-        q[: min(n, len(query))] = query[:n]
-        size = np.abs(q)
-        top = (np.int64(1) << self.bits) - 1
-        constant = int((q * self.low).sum() - (size * top)[q < 0].sum())
+        rest = [0] * n
+        rest[: min(n, len(query))] = query[:n].tolist()
+        constant = sum(x * y for x, y in zip(rest, self.low.tolist(), strict=True))
+        wide = max(map(abs, rest), default=0) >> 62
+        rest = np.array(rest, object if wide else np.int64)
         levels: list[list[np.ndarray]] = []
-        width = int(size.max(initial=0)).bit_length()
-        for b in range(width):
-            d = np.flatnonzero((size >> b) & 1)
-            k = self.bits[d]
+        b = 0
+        while rest.any():
+            digit = np.where(rest & 1, 2 - (rest & 3), 0).astype(np.int64)  # signed digits: 1, 0 or -1
+            rest = (rest - digit) >> 1
+            d = np.flatnonzero(digit)
+            k, minus = self.bits[d], digit[d] < 0
+            constant -= sum(((1 << x) - 1) << b for x in k[minus].tolist())
             bit = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            plane = np.repeat(self.first[d] + np.where(q[d] < 0, len(self.planes) // 2, 0), k) + bit
+            plane = np.repeat(self.first[d] + np.where(minus, len(self.planes) // 2, 0), k) + bit
             for level in np.unique(bit):
                 while len(levels) <= b + level:
                     levels.append([])
                 levels[b + level].append(plane[bit == level])
+            b += 1
         out, carried = [], [np.zeros((0, self.words), np.uint64)]
         level = 0
         while level < len(levels) or sum(map(len, carried)):
@@ -131,7 +150,10 @@ class Segment:
                     break
         rows = np.concatenate([_set_bits(sure), _set_bits(open_)])[:k]  # rows are in the order of ids
         bits = (slices[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-        return self.ids[rows], (bits.astype(np.int64) << np.arange(len(slices))[:, None]).sum(0) + constant
+        score = np.full(len(rows), constant % (1 << 64), np.uint64)
+        for level, x in enumerate(bits[:64]):
+            score += x << np.uint64(level)
+        return self.ids[rows], score.view(np.int64)
 
 
 def _set_bits(bitmap: np.ndarray) -> np.ndarray:
@@ -141,47 +163,50 @@ def _set_bits(bitmap: np.ndarray) -> np.ndarray:
 FOUND = Schema(query_id="long", vec_id="long", score="long")
 
 
+def built_index(rows: DataFrame, segments: int) -> DataFrame:
+    """One row of INDEX for each segment; rows: (id, v)."""
+
+    def build(data: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_segment_row(data["s"][0].as_py(), data["id"].to_numpy(), _matrix(data["v"]))])
+
+    return rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(segments))).groupBy("s").applyInArrow(build, INDEX.spark)
+
+
+def query_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """One row of QUERIES for each block of queries; rows: (id, v)."""
+
+    def build(data: pa.Table) -> pa.Table:
+        values = _matrix(data["v"])
+        return pa.Table.from_batches([QUERIES.batch({"block": [data["b"][0].as_py()], "ids": [data["id"].to_numpy().astype("<i8").tobytes()], "values": [values.astype("<i8").tobytes()]})])
+
+    return rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").applyInArrow(build, QUERIES.spark)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): for every row of queries the k rows of vectors of the highest inner product."""
+    """Rows (query_id, rank, vec_id, score): for every id of queries the k rows of vectors of the highest inner product."""
+    need_whole_ids(vectors, id_col)
     rows = stored(quantised(vectors, scale, id_col, vector_col), "vectors")
     asked = stored(quantised(queries, scale, id_col, vector_col), "queries")
     segments = max(1, -(-rows.count() // SEGMENT_ROWS))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    # a cell of the grid (segment, block) is one group of one task; rows go to every block and queries to every segment, in bulk
-    cell = lambda s, b: (s.cast("long") * blocks + b).alias("cell")
-    left = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(segments))).select("id", "v", F.lit(0).alias("side"), "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).select("id", "v", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("s"), "b")
-    both = left.select("id", "v", "side", cell(F.col("s"), F.col("b"))).unionByName(right.select("id", "v", "side", cell(F.col("s"), F.col("b"))))
-    grid = both.repartition(segments * blocks, "cell").sortWithinPartitions("cell", "side", "id")
-
-    def search(batches):
-        held: list[pa.RecordBatch] = []
-
-        def solve():
-            data = pa.Table.from_batches(held)
-            side = data["side"].to_numpy()
-            n = int((side == 0).sum())
-            if n == 0 or n == len(side):
-                return
-            ids = data["id"].to_numpy()
-            values = _matrix(data["v"].combine_chunks())
-            segment = Segment(ids[:n], values[:n])
-            parts = [(i, *segment.top(int(i), q, k)) for i, q in zip(ids[n:], values[n:], strict=True)]
-            yield FOUND.batch({"query_id": np.repeat([i for i, _, _ in parts], [len(x) for _, x, _ in parts]).astype(np.int64), "vec_id": np.concatenate([x for _, x, _ in parts]), "score": np.concatenate([y for _, _, y in parts])})
-
-        current = None
-        for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            at = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]) if len(cells) else [0]
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if current is not None and cells[lo] != current:
-                    yield from solve()
-                    held = []
-                current = cells[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from solve()
-
-    found = grid.mapInArrow(search, FOUND.spark)
+    number = asked.count()
+    blocks = max(1, -(-number // BLOCK_QUERIES), min(-(-number // 64), -(-CELLS // segments)))
+    index, asked = stored(built_index(rows, segments), "index"), stored(query_blocks(asked, blocks), "blocks")
+    # a cell of the grid (segment, block) is one group: segments go to every block and blocks to every segment, as single rows
+    cell = (F.col("segment") * blocks + F.col("block")).alias("cell")
+    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("ids", "low", "bits", "planes", cell)
+    right = asked.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))).select("ids", "values", cell)
+    cells = segments * blocks
+
+    def search(segment: pa.Table, block: pa.Table) -> pa.Table:
+        if not segment.num_rows or not block.num_rows:
+            return pa.Table.from_batches([], pa.schema([(c, pa.int64()) for c in FOUND.kinds]))
+        index_ = Segment(segment.to_pylist()[0])
+        ids = np.frombuffer(block["ids"][0].as_py(), "<i8")
+        values = np.frombuffer(block["values"][0].as_py(), "<i8").reshape(len(ids), -1)
+        parts = [(i, *index_.top(int(i), q, k)) for i, q in zip(ids, values, strict=True)]
+        return pa.Table.from_batches([FOUND.batch({"query_id": np.repeat(ids, [len(x) for _, x, _ in parts]).astype(np.int64), "vec_id": np.concatenate([x for _, x, _ in parts]), "score": np.concatenate([y for _, _, y in parts])})])
+
+    left, right = left.repartition(cells, "cell"), right.repartition(cells, "cell")
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, FOUND.spark)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
