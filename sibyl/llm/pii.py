@@ -3,8 +3,8 @@ r"""Personal data by base patterns and bootstrapped contextual extraction, in Da
 Base spans are regular-expression matches with a test for each kind. They seed the method: words left and right of
 seeds are lexical patterns, and patterns and identifiers form a graph. The confidence of a pattern for a kind is
 the score of the identifiers beside it against all occurrences of its word in the corpus; an identifier that is
-not a seed scores the noisy-or of its patterns. Scores go round a few times, so that identifiers found in one round
-bring patterns in the next. Identifiers over the threshold are spans wherever they stand, if nothing of the base
+not a seed scores the noisy-or of its patterns. Scores go round until a round finds no new identifier: those found
+in one round bring patterns in the next. Identifiers over the threshold are spans wherever they stand, if nothing of the base
 overlaps them there.
 
 Candidates are what looks like an identifier without being a seed: groups of seven digits or more, addresses
@@ -42,24 +42,35 @@ CANDIDATES = {
 }
 _CANDIDATE_HINTS = {"digits": r"[0-9](?:[\x20()./-]{0,2}[0-9]){6}", "address": r"@|[\[(](?:at|AT)[\])]", "groups": r"[0-9A-Fa-f]:[0-9A-Fa-f]++:"}
 COMPATIBLE = {"digits": ("card", "phone"), "address": ("email",), "groups": ("ip",)}
-ROUNDS = 3
 #: A pattern needs this confidence and so many different identifiers; an identifier this score.
 PATTERN_CONFIDENCE, PATTERN_SUPPORT, IDENTIFIER_SCORE, SMOOTHING = 0.5, 3, 0.6, 2
 _SPACE = r"[\x20\x09-\x0D]"
-_CONTEXT = 64  # characters beside a match in which its neighbour word is looked for
+_FOLD = 256  # matches that a fold appends to one array before it begins the next
+
+
+def _last_word(gap: str) -> str:
+    """SQL of the last word of a text. The reversed text is looked at from its start, so the time is linear."""
+    return f"reverse({_first_word(f'reverse({gap})')})"
+
+
+def _first_word(gap: str) -> str:
+    return rf"regexp_extract({gap}, '^[\\x20\\x09-\\x0D]*+([^\\x20\\x09-\\x0D]++)', 1)"
 
 
 def _matches(text: str, pattern: str, hint: str) -> Column:
-    """Array of (s, e, m, l, r): bounds, the match, and what stands left and right of it. One fold over matches and the gaps between them."""
+    """Array of (s, e, m, l, r): bounds, the match, and the words left and right of it, empty at the ends of a text and beside another
+    match. One fold over matches and the gaps between them, in arrays of at most _FOLD that are joined at the end."""
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     empty = "cast(array() as array<struct<s:int,e:int,m:string,l:string,r:string>>)"
+    begin = "a.p + length(x.g[i - 1])"
+    part = f"""
+        aggregate(sequence(j * {_FOLD} + 1, least(size(x.m), (j + 1) * {_FOLD})), named_struct('p', b.p, 'o', {empty}),
+            (a, i) -> named_struct('p', {begin} + length(x.m[i - 1]), 'o', array_append(a.o, named_struct(
+                's', {begin}, 'e', {begin} + length(x.m[i - 1]), 'm', x.m[i - 1], 'l', lower({_last_word("x.g[i - 1]")}), 'r', lower({_first_word("x.g[i]")})))))"""
     fold = f"""
-        aggregate(sequence(1, size(m)), named_struct('p', 0, 'o', {empty}),
-            (a, i) -> named_struct('p', a.p + length(g[i - 1]) + length(m[i - 1]), 'o', array_append(a.o, named_struct(
-                's', a.p + length(g[i - 1]), 'e', a.p + length(g[i - 1]) + length(m[i - 1]), 'm', m[i - 1], 'l', right(g[i - 1], {_CONTEXT}), 'r', left(g[i], {_CONTEXT})))),
-            a -> a.o)"""
-    whole = f"if(size(m) = 0, {empty}, {fold})"
-    body = f"element_at(transform(array(named_struct('m', regexp_extract_all({text}, {quoted}, 0), 'g', split({text}, {quoted}, -1))), x -> {whole.replace('size(m)', 'size(x.m)').replace('m[i', 'x.m[i').replace('g[i', 'x.g[i')}), 1)"
+        aggregate(sequence(0, cast((size(x.m) - 1) div {_FOLD} as int)), named_struct('p', 0, 'o', array({empty})),
+            (b, j) -> element_at(transform(array({part}), y -> named_struct('p', y.p, 'o', array_append(b.o, y.o))), 1), b -> flatten(b.o))"""
+    body = f"element_at(transform(array(named_struct('m', regexp_extract_all({text}, {quoted}, 0), 'g', split({text}, {quoted}, -1))), x -> if(size(x.m) = 0, {empty}, {fold})), 1)"
     return F.when(F.col(text).rlike(hint), F.expr(body)).otherwise(F.expr(empty))
 
 
@@ -98,7 +109,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def of(kind: str, name: str, test) -> Column:
         kept = F.filter(F.col(name), lambda x: test(kind, x["m"]))
-        return F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _word(x["l"], True).alias("l"), _word(x["r"], False).alias("r")))
+        return F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"], x["r"]))
 
     base = F.concat(*(of(k, k, _passes) for k in KINDS))
     maybe = F.concat(*(of(k, f"c_{k}", lambda *_: F.lit(True)) for k in CANDIDATES))
@@ -107,11 +118,6 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.select("id", "h", "base", free.alias("candidates"))
 
 
-def _word(context: Column, last: bool) -> Column:
-    """The neighbour word, lower-cased; empty at the ends of a text and beside another match."""
-    return F.lower(F.regexp_extract(context, rf"([^\x20\x09-\x0D]++){_SPACE}*+$" if last else rf"^{_SPACE}*+([^\x20\x09-\x0D]++)", 1))
-
-
 def _identifier(kind: Column, m: Column) -> Column:
     """Different writings of one identifier are one node."""
     return F.when(kind.isin("card", "phone", "digits"), _digits(m)).otherwise(F.lower(m))
@@ -132,26 +138,29 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("occurrences"))
 
 
-def discover(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (identifier, type, kind, score) of candidates over the threshold after some rounds over the graph."""
+def discover(edges: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Rows (identifier, type, kind, score) of candidates over the threshold. Rounds over the graph go on until one finds no new identifier;
+    what was found stays found, with its best score, so they end."""
     seeds = edges.where("seed").select("identifier", "kind").distinct().withColumn("score", F.lit(1.0))
-    patterns = stored(edges.where("seed").select("side", "word").distinct().join(occurrences, "word", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0))), "patterns")
-    known = edges.select("side", "word", "identifier", F.col("kind").alias("type"), "seed", "n")
+    words = edges.select("side", "word").distinct().join(occurrences, "word", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
+    known = stored(edges.join(words, ["side", "word"]).select("side", "word", "occurrences", "identifier", F.col("kind").alias("type"), "seed", "n"), "known")
     allowed = F.create_map(*(x for t, kinds in COMPATIBLE.items() for x in (F.lit(t), F.array(*map(F.lit, kinds)))))
-    scores, gained = seeds, None
-    for turn in range(rounds):
-        of_pattern = known.join(scores, "identifier").groupBy("side", "word", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count("*").alias("support"), F.sum("n").alias("n"))
-        if turn:  # words that only discovered identifiers have beside them
-            new = of_pattern.select("side", "word").distinct().join(patterns, ["side", "word"], "left_anti").join(occurrences, "word", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
-            patterns = stored(patterns.unionByName(new.select(*patterns.columns)), "patterns")
-        confident = of_pattern.join(patterns, ["side", "word"]).withColumn("confidence", F.col("mass") / (F.greatest("occurrences", "n") + SMOOTHING))
+    scores, gained, size = seeds, None, -1
+    while True:
+        of_pattern = known.join(scores, "identifier").groupBy("side", "word", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count("*").alias("support"), F.sum("n").alias("n"), F.max("occurrences").alias("occurrences"))
+        confident = of_pattern.withColumn("confidence", F.col("mass") / (F.greatest("occurrences", "n") + SMOOTHING))
         confident = confident.where((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= PATTERN_SUPPORT)).select("side", "word", "kind", "confidence")
         reached = known.where("not seed").join(confident, ["side", "word"]).where(F.array_contains(F.element_at(allowed, F.col("type")), F.col("kind")))
         score = 1 - F.exp(F.sum(F.ln(1 - F.least(F.col("confidence"), F.lit(0.999)))))
-        gained = reached.select("identifier", "type", "kind", "side", "word", "confidence").distinct().groupBy("identifier", "type", "kind").agg(score.alias("score")).where(F.col("score") >= IDENTIFIER_SCORE)
-        gained = stored(gained, "identifiers")
-        scores = seeds.unionByName(gained.select("identifier", "kind", "score"))
-    return gained
+        found = reached.select("identifier", "type", "kind", "side", "word", "confidence").distinct().groupBy("identifier", "type", "kind").agg(score.alias("score")).where(F.col("score") >= IDENTIFIER_SCORE)
+        if gained is not None:
+            found = found.unionByName(gained).groupBy("identifier", "type", "kind").agg(F.max("score").alias("score"))
+        gained = stored(found, "identifiers")
+        now = gained.count()
+        if now == size or not now:
+            return gained
+        size = now
+        scores = seeds.unionByName(gained.groupBy("identifier", "kind").agg(F.max("score").alias("score")))
 
 
 _SPANS = "array<struct<kind:string,s:int,e:int,m:string>>"
@@ -193,14 +202,13 @@ def listed(spans_: Column) -> Column:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; other columns stay, rows that repeat too."""
-    names = docs.columns
-    every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))).alias("pii_spans")
-    held = _row_spans(docs, id_col, text_col).where("size(base) + size(added) > 0").select(F.col("id").alias("pii_id"), F.col("h").alias("pii_h"), every)
-    held = held.groupBy("pii_id", "pii_h").agg(F.first("pii_spans").alias("pii_spans"))  # rows that repeat have equal spans
-    text = f"`{text_col}`"
-    joined = docs.join(held, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).eqNullSafe(F.col("pii_h")) & F.col(id_col).eqNullSafe(F.col("pii_id")), "left")
-    cut = F.expr(f"""
-        if(pii_spans is null, {text}, aggregate(pii_spans, named_struct('p', 0, 'o', ''),
-            (a, x) -> if(x.e <= a.p, a, named_struct('p', x.e, 'o', if(x.s < a.p, a.o, concat(a.o, substring({text}, a.p + 1, x.s - a.p), '[', upper(x.kind), ']')))),
-            a -> concat(a.o, substring({text}, a.p + 1))))""")
-    return joined.withColumn(text_col, cut).select(*names)
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))).alias("spans")
+    held = _row_spans(docs, id_col, text_col).where("size(base) + size(added) > 0").select("id", "h", every)
+    held = held.groupBy("id", "h").agg(F.first("spans").alias("spans"))  # rows that repeat have equal spans
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("t"))
+    joined = rows.alias("d").join(held.alias("f"), F.col("d.h").eqNullSafe(F.col("f.h")) & F.col("d.id").eqNullSafe(F.col("f.id")), "left").select("row", "t", "spans")
+    cut = F.expr("""
+        if(spans is null, t, aggregate(spans, named_struct('p', 0, 'o', array('')),
+            (a, x) -> if(x.e <= a.p, a, named_struct('p', x.e, 'o', if(x.s < a.p, a.o, array_append(a.o, concat(substring(t, a.p + 1, x.s - a.p), '[', upper(x.kind), ']'))))),
+            a -> concat(array_join(a.o, ''), substring(t, a.p + 1))))""")
+    return joined.select(F.col("row").withField(f"`{text_col}`", cut).alias("row")).select("row.*")
