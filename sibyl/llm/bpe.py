@@ -64,7 +64,7 @@ class Bpe:
 
     def _looked_up(self, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, per_text = chunks(flat)
-        return *self.cache.look_up(flat.buf, Spans(flat.buf).hash(starts, ends), starts, ends), per_text
+        return *self.cache.look_up(flat.buf, Spans(flat.buf), starts, ends), per_text
 
     def counts(self, flat: Flat) -> np.ndarray:
         """Tokens of each text."""

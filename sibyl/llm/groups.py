@@ -73,8 +73,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (u, root) for every node of edges (u, v) that is not its component's smallest: root is that smallest node.
 
     Large and small stars in turn: neighbours are tied to the smallest one, until
-    nothing changes. Minima are partial sums before a shuffle; a node with very many edges is a skewed join key,
-    which adaptive execution splits.
+    nothing changes. Minima are partial before a shuffle and become tables of their own, so that the joins with them
+    are plain ones: a node with very many edges is a skewed join key there, which adaptive execution splits.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = stored(e, "edges")
@@ -82,9 +82,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        down = stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = stored(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = mark(e)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Remainders of crc32(id as text) modulo 4: one is held out, one calibrates, the others train.
@@ -15,13 +17,19 @@ def fold(id_col: str = "doc_id"):
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS).cast("int")
 
 
+#: Bytes of the texts of a class and fold in a sample, but for one text that goes beyond.
+SAMPLE_BYTES = 8 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> pa.Table:
-    """At most per_class labelled documents of each class and fold that is not held out, chosen by a hash of the id.
+    """At most per_class labelled documents, and about SAMPLE_BYTES, of each class and fold that is not held out, chosen by a hash of the id.
 
-    The bound does not depend on the input, so the chosen ids are broadcast and the texts go to the driver.
+    The bounds do not depend on the input, so the chosen ids are broadcast and the texts go to the driver. An id with
+    both labels is left out; of documents with one id the smallest text is taken.
     Columns: text, y, fold, group (null without group_col), weight (rows of the class and fold for each one chosen).
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     known = known.withColumn("fold", F.coalesce(fold("id"), F.lit(HELD_OUT))).where(F.col("fold") != HELD_OUT)
     sizes = {(r["y"], r["fold"]): r["n"] for r in known.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
     parts = []
@@ -35,8 +43,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), group.alias("group"))
-    got = texts.join(F.broadcast(chosen), "id").select("text", "y", "fold", "group").toArrow()
-    weight = [max(1.0, sizes[y, k] / per_class) for y, k in zip(got["y"].to_pylist(), got["fold"].to_pylist(), strict=True)]
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y", "fold").agg(F.min(F.struct("text", "group")).alias("x")).select("id", "y", "fold", "x.*")
+    before = Window.partitionBy("y", "fold").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)  # at most per_class rows
+    found = found.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
+    got = found.select("text", "y", "fold", "group").toArrow()
+    held = collections.Counter(zip(got["y"].to_pylist(), got["fold"].to_pylist(), strict=True))
+    weight = [max(1.0, sizes[y, k] / held[y, k]) for y, k in zip(got["y"].to_pylist(), got["fold"].to_pylist(), strict=True)]
     return got.append_column("weight", pa.array(weight, pa.float64())).cast(kind)
 
 

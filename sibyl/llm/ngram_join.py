@@ -15,7 +15,8 @@ bucket, which is enough for the classes.
 
 Defined results: texts of fewer words than n have one token, all their words; texts without words (null, empty)
 are copies of each other; rows without an id come back with no class and no links; rows that repeat are copies; an
-empty table gives no rows. Nodes are named by a 64-bit digest of their set.
+empty table gives no rows; columns other than id and text are not read. Sets are told apart by digests of 128 bits, their tokens
+are hashes of 64 bits (two different n-grams of one hash change a similarity by one token).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from .groups import bounds, connected_components, probably_in, whole_groups
 from .places import stored
-from .text import Flat, Schema, Spans, cuts, group_of, lists, map_slices, mix, per_group, repeated, windows
+from .text import Flat, Schema, Spans, classes, cuts, group_of, lists, map_slices, mix, need_whole_ids, per_group, repeated, windows
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
 DEPTH = 2
@@ -60,15 +61,18 @@ def shingles(flat: Flat, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
         grams = np.insert(grams, (np.cumsum(made) - made)[short], value)
         made = made.copy()
         made[short] = 1
-    new = ~repeated(mix(grams + group_of(made).astype(np.uint64) * _SALT), first_too=False)
+    of = group_of(made)
+    new = ~repeated(*classes(mix(grams + of.astype(np.uint64) * _SALT), lambda i, j: (grams[i] == grams[j]) & (of[i] == of[j])), first_too=False)
     return grams[new], per_group(new, made)
 
 
-def node_of(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A digest of each set, whatever the order of its members."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)))])
-    ends = np.cumsum(n)
-    return mix(total[ends] - total[ends - n] + n.astype(np.uint64) * _SALT).view(np.int64)
+def digest_of(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of 128 bits of each set, in two halves, whatever the order of its members."""
+    ends, out = np.cumsum(n), []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(salt)))])
+        out.append(mix(total[ends] - total[ends - n] + n.astype(np.uint64) * _SALT).view(np.int64))
+    return out[0], out[1]
 
 
 def _ranks(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +82,7 @@ def _ranks(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, runs: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, node, n, mins, sketch): mins has the chosen token of every run and depth, sketch 16 bits of each."""
+    """Rows (id, d1, d2, n, mins, sketch): d1 and d2 are the digest of the set, mins has the chosen token of every run and depth, sketch 16 bits of each."""
     factor, shift = _ranks(runs * DEPTH)
 
     def per_slice(part, flat):
@@ -89,13 +93,14 @@ def signatures(docs: DataFrame, runs: int, size: int, id_col: str, text_col: str
         for k in range(runs * DEPTH):
             if len(first):
                 mins[some, k] = np.minimum.reduceat((grams ^ shift[k]) * factor[k], first)
+        d1, d2 = digest_of(grams, n)
         sketch = ((mins >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
         return {
-            "id": part.column(id_col), "node": node_of(grams, n), "n": n,
+            "id": part.column(id_col), "d1": d1, "d2": d2, "n": n,
             "mins": lists(mins.view(np.int64).ravel(), np.full(flat.n, runs * DEPTH), pa.int64()), "sketch": [x.tobytes() for x in sketch],
         }
 
-    schema = Schema(id="long", node="long", n="long", mins="array<long>", sketch="binary")
+    schema = Schema(id="long", d1="long", d2="long", n="long", mins="array<long>", sketch="binary")
     return map_slices(docs, [id_col, text_col], text_col, per_slice, schema)
 
 
@@ -159,7 +164,7 @@ def _thin(runs: int, threshold: float):
 
     def run(batches):
         for data in whole_groups(batches, "g"):
-            keys, sketch = _fixed(data["keys"], "int32"), _fixed(data["sketch"], "<u2")
+            keys, sketch = _fixed(data["keys"], "int64"), _fixed(data["sketch"], "<u2")
             n, turn = data["n"].to_numpy(), data["run"].to_numpy()
             begin, end = _partners(data)
             cost = np.concatenate([[0], np.cumsum(end - begin)])
@@ -212,7 +217,7 @@ def _compare(threshold: float):
     def run(batches):
         for data in whole_groups(batches, "g", rows=2_000):
             at = bounds(data["g"].to_numpy())
-            keys, n, turn = _fixed(data["keys"], "int32"), data["n"].to_numpy(), data["run"].to_numpy()
+            keys, n, turn = _fixed(data["keys"], "int64"), data["n"].to_numpy(), data["run"].to_numpy()
             copies, node = data["copies"].to_numpy(), data["node"].to_numpy()
             begin, end = _partners(data)
             lists_ = data["tokens"].combine_chunks()
@@ -249,7 +254,7 @@ def _compare(threshold: float):
 def with_tokens(texts: DataFrame, size: int) -> DataFrame:
     """One row of each node from texts whose n-grams are those of the node (an id may have several texts), with tokens in the place
     of the text. The rows of a node stand together in one partition."""
-    kept = [f for f in texts.schema.fields if f.name not in ("text", "rep")]
+    kept = [f for f in texts.schema.fields if f.name not in ("text", "rep", "d1", "d2")]
     schema = T.StructType([*kept, T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -259,8 +264,8 @@ def with_tokens(texts: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 grams, n = shingles(Flat(part.column("text")), size)
                 columns = [*(part.column(f.name) for f in kept), lists(grams.view(np.int64), n, pa.int64())]
-                node = part.column("node").to_numpy()
-                mask = node == node_of(grams, n)
+                node, (d1, d2) = part.column("node").to_numpy(), digest_of(grams, n)
+                mask = (part.column("d1").to_numpy() == d1) & (part.column("d2").to_numpy() == d2)
                 fit = np.flatnonzero(mask)
                 if len(fit):
                     mask[fit[1:]] = node[fit[1:]] != node[fit[:-1]]
@@ -274,16 +279,18 @@ def with_tokens(texts: DataFrame, size: int) -> DataFrame:
 def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id, n_links, n_copies): class_id is the smallest id of the documents tied by links; n_links counts
     the other documents of similarity `threshold` or more, copies included; n_copies the documents of the same set."""
+    need_whole_ids(docs, id_col)
     runs = runs_needed(threshold, recall)
     named = docs.where(F.col(id_col).isNotNull())
     sig = stored(signatures(named, runs, size, id_col, text_col), "signatures")
     best = F.min_by(F.struct("n", "mins", "sketch"), "id").alias("x")
-    nodes = sig.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), best).select("node", "rep", "copies", "x.*")
-    nodes = stored(nodes, "nodes")
+    nodes = sig.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), best).select("d1", "d2", "rep", "copies", "x.*")
+    # the number of a row of a stored table is a short name without collisions
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     leaves = _leaves(nodes, runs)
     of_run = lambda c, r: F.max(F.when(F.col("run") == r, F.col(c)))
     paths = leaves.groupBy("node").agg(F.array(*(of_run("key", r) for r in range(runs))).alias("path"), F.array(*(of_run("blocks", r) for r in range(runs))).alias("blocks"))
-    candidates = nodes.drop("mins").join(paths, "node").withColumn("keys", F.transform("path", lambda k: F.coalesce(F.shiftright(k, 32).cast("int"), F.lit(0))))
+    candidates = nodes.drop("mins").join(paths, "node").withColumn("keys", F.transform("path", lambda k: F.coalesce(k.bitwiseOR(F.lit(1)), F.lit(0))))  # 0: alone in the bucket of that run
     candidates = stored(candidates, "candidates")
     each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.get("path", r).isNotNull()))
     rows = candidates.withColumn("run", each).withColumns({"key": F.get("path", F.col("run")), "nb": F.get("blocks", F.col("run"))})
@@ -292,7 +299,7 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THR
     grouped = rows.select("g", "side", "run", "node", "n", "keys", "sketch").repartition("g").sortWithinPartitions("g", "side", "node")
     needed = stored(grouped.mapInArrow(_thin(runs, threshold), NEEDED.spark), "needed")
     places_ = needed.groupBy("node").agg(F.collect_list(F.struct("g", "side", "run")).alias("places"))  # at most runs * blocks of its bucket
-    wanted = stored(candidates.select("node", "rep", "n", "copies", "keys").join(places_, "node"), "wanted")
+    wanted = stored(candidates.select("node", "d1", "d2", "rep", "n", "copies", "keys").join(places_, "node"), "wanted")
     texts = probably_in(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), wanted, "rep").join(wanted, "rep")
     # rows that repeat; other texts of an id stay until their n-grams are compared with the node's. The window keeps rows of a node together.
     again = F.lag("h").over(Window.partitionBy("rep", "node").orderBy("h")).eqNullSafe(F.col("h"))
@@ -302,13 +309,13 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THR
     linked = stored(compared.mapInArrow(_compare(threshold), LINKED.spark), "linked")
     roots = connected_components(linked.select(F.col("node").alias("u"), F.col("label").alias("v")))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "rep", "copies").join(links, "node", "left").join(roots.withColumnRenamed("u", "node"), "node", "left")
+    joined = nodes.select("node", "d1", "d2", "rep", "copies").join(links, "node", "left").join(roots.withColumnRenamed("u", "node"), "node", "left")
     joined = joined.withColumn("root", F.when(F.col("links").isNotNull(), F.coalesce("root", "node")))
     classes = joined.where("root is not null").groupBy("root").agg(F.min("rep").alias("class_id"))
     info = joined.join(classes, "root", "left").select(
-        "node", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "d1", "d2", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    out = sig.select("id", "node").join(info, "node").select(F.col("id").alias(id_col), "class_id", "n_links", F.col("copies").alias("n_copies"))
+    out = sig.select("id", "d1", "d2").join(info, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("copies").alias("n_copies"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(nameless)
 
@@ -316,7 +323,7 @@ def similarity_classes(docs: DataFrame, size: int = SIZE, threshold: float = THR
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each class, that of the smallest id, and once of rows that repeat. Rows without an id stay."""
     classes = similarity_classes(docs, id_col=id_col, text_col=text_col, **options)
-    first = classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    copy = F.row_number().over(Window.partitionBy(id_col, "sibyl_h").orderBy("sibyl_h"))
-    kept = docs.join(first, id_col, "left_semi").withColumn("sibyl_h", F.xxhash64(text_col)).withColumn("sibyl_copy", copy).where("sibyl_copy = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    first = classes.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("id")).distinct()
+    kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(first, "id", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("id", "h").orderBy("h")).alias("copy")
+    return kept.select("row", copy).where("copy = 1").select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

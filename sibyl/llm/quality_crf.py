@@ -7,7 +7,8 @@ good). Forward and backward passes give the chance that a line is good; their me
 lines, is calibrated to a document score on rows kept apart.
 
 Defined results: null and empty texts, and texts without words, get the score of an even chance; labels without
-both classes give every text that share of positives; rows that repeat are scored alike.
+both classes give every text that share of positives; rows that repeat are scored alike; a text is scored whole,
+however many lines; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .labelled import CALIBRATION, labelled_sample, platt, sigmoid
-from .quality_rules import _IN, _POINT, _SMALL, _UPPER
-from .text import Flat, Schema, Spans, cuts, group_of, map_slices, mix, per_group, repeated, windows
+from .quality_rules import _IN, _POINT, _SMALL, _UPPER, repeated_lines
+from .text import Flat, Schema, Spans, classes, cuts, group_of, map_slices, mix, per_group, repeated, repeated_windows, type_of, window_places
 
 #: Labelled documents of a class and fold that the fit may take.
 PER_CLASS = 1500
@@ -37,15 +38,11 @@ def line_features(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     has = words > 0
     text = group_of(per_text)
     spans = Spans(flat.buf)
-    key = mix(spans.hash(ls, le) + text.astype(np.uint64) * _SALT)
-    again = np.zeros(len(ls), bool)
-    again[has] = repeated(key[has], first_too=True)
-    h = spans.hash(ws, we)
-    within = repeated(mix(h + group_of(words).astype(np.uint64) * _SALT), first_too=False)
-    tri, made = windows(h, per_words, 3)
-    twice = repeated(mix(tri + group_of(made).astype(np.uint64) * _SALT), first_too=True)
-    start = np.cumsum(per_words) - per_words
-    place = start[group_of(made)] + np.arange(len(tri)) - (np.cumsum(made) - made)[group_of(made)]
+    again = repeated_lines(spans, ls, le, text, has, first_too=True)
+    word, line = spans.classes(spans.hash(ws, we), ws, we)[0], group_of(words)
+    within = repeated(*classes(mix(word.astype(np.uint64) + line.astype(np.uint64) * _SALT), lambda i, j: (word[i] == word[j]) & (line[i] == line[j])), first_too=False)
+    place, of = window_places(per_words, 3)
+    twice = repeated_windows(word, place, of, 3)
     cover = np.zeros(len(ws) + 3, bool)
     for k in range(3):
         cover[place[twice] + k] = True
@@ -90,8 +87,8 @@ def _steps(counts: np.ndarray) -> list[np.ndarray]:
     return [start[:n] + t for t, n in enumerate(n_at)]
 
 
-def forward_backward(u: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance that each line is good, and expected counts of the four moves. u: log odds of each line alone."""
+def forward_backward(u: np.ndarray, counts: np.ndarray, moves: np.ndarray, count_moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Chance that each line is good, and expected counts of the four moves (zeros without count_moves). u: log odds of each line alone."""
     emit = np.stack([sigmoid(-u), sigmoid(u)], 1)
     M = np.exp(moves)
     alpha, beta = emit.copy(), np.ones_like(emit)
@@ -103,8 +100,9 @@ def forward_backward(u: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tu
     pairs = np.zeros((2, 2))
     for at in steps[:0:-1]:
         ahead = emit[at] * beta[at]
-        both = alpha[at - 1][:, :, None] * M[None] * ahead[:, None, :]
-        pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
+        if count_moves:
+            both = alpha[at - 1][:, :, None] * M[None] * ahead[:, None, :]
+            pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
         back = ahead @ M.T
         beta[at - 1] = back / back.sum(1, keepdims=True)
     both = alpha * beta
@@ -123,18 +121,22 @@ class LineField:
     def marginals(self, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         X, chars, counts = line_features(flat)
         Z = with_neighbours((X - self.mean) / self.scale, counts)
-        return forward_backward(Z @ self.weights, counts, self.moves)[0], chars, counts
+        return forward_backward(Z @ self.weights, counts, self.moves, False)[0], chars, counts
 
     def evidence(self, flat: Flat) -> np.ndarray:
         """Log odds of the length-weighted mean chance that a line is good."""
-        good, chars, counts = self.marginals(flat)
+        return self._evidence(*self.marginals(flat))
+
+    @staticmethod
+    def _evidence(good: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = per_group(chars, counts)
         share = np.where(weight > 0, per_group(good * chars, counts) / np.maximum(weight, 1), 0.5)
         share = np.clip(share, 1e-3, 1 - 1e-3)
         return np.log(share / (1 - share))
 
-    def score(self, flat: Flat) -> np.ndarray:
-        return sigmoid(self.slope * self.evidence(flat) + self.intercept)
+    def score(self, good: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Scores of texts from the marginals of their lines."""
+        return sigmoid(self.slope * self._evidence(good, chars, counts) + self.intercept)
 
 
 def _fit_lines(Z: np.ndarray, y: np.ndarray, counts: np.ndarray, weight: np.ndarray, w: np.ndarray, moves: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +199,6 @@ def quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col:
     def per_slice(part, flat):
         m = shared.value
         good, chars, counts = m.marginals(flat)
-        return {id_col: part.column(id_col), "score": m.score(flat), "n_lines": counts, "good_lines": per_group(good > 0.5, counts)}
+        return {id_col: part.column(id_col), "score": m.score(good, chars, counts), "n_lines": counts, "good_lines": per_group(good > 0.5, counts)}
 
-    return map_slices(docs, [id_col, text_col], text_col, per_slice, Schema(**{id_col: "long", "score": "double", "n_lines": "long", "good_lines": "long"}))
+    return map_slices(docs, [id_col, text_col], text_col, per_slice, Schema(**{id_col: type_of(docs, id_col), "score": "double", "n_lines": "long", "good_lines": "long"}))

@@ -11,9 +11,10 @@ one line; rows that repeat are judged alike; columns other than the id and the t
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import Flat, Schema, Spans, filter_slices, group_of, map_slices, mix, per_group, repeated, windows
+from .text import Flat, Schema, Spans, classes, filter_slices, group_of, map_rows, map_slices, mix, per_group, repeated, repeated_windows, type_of, window_places
 
 #: Phrases (lower case) whose lines are boilerplate.
 BOILERPLATE = (
@@ -32,10 +33,19 @@ _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _SMALL = (np.arange(256) >= 97) & (np.arange(256) <= 122)
 _POINT = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
 
-SCHEMA = Schema(
-    doc_id="long", n_words="long", word_chars="long", n_symbols="long", n_dup_lines="long", n_repeat_words="long",
-    base_failed="boolean", kept="boolean", n_lines="long", n_bad_lines="long", removed_chars="long",
-)
+MEASURES = {
+    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
+    "base_failed": "boolean", "kept": "boolean", "n_lines": "long", "n_bad_lines": "long", "removed_chars": "long",
+}
+
+
+def repeated_lines(spans: Spans, ls: np.ndarray, le: np.ndarray, text: np.ndarray, worded: np.ndarray, first_too: bool) -> np.ndarray:
+    """Lines with words that their text has twice or more, compared byte by byte: all of them, or all but the first."""
+    ls_, le_, of = ls[worded], le[worded], text[worded]
+    key = mix(spans.hash(ls_, le_) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros(len(ls), bool)
+    out[worded] = repeated(*classes(key, lambda i, j: (of[i] == of[j]) & spans.same(ls_[i], le_[i], spans, ls_[j], le_[j])), first_too)
+    return out
 
 
 def judge_lines(flat: Flat) -> dict[str, np.ndarray]:
@@ -55,9 +65,7 @@ def judge_lines(flat: Flat) -> dict[str, np.ndarray]:
         return t[le] - t[ls]
 
     symbols, pipes, upper, small = (count(x) for x in (_IN["symbol"], _IN["pipe"], _UPPER, _SMALL))
-    key = mix(spans.hash(ls, le) + group_of(per_text).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    again = np.zeros(len(ls), bool)
-    again[worded] = repeated(key[worded], first_too=False)
+    again = repeated_lines(spans, ls, le, group_of(per_text), worded, first_too=False)
     ending = np.zeros(len(ls), bool)
     ending[worded] = _IN["ending"][flat.buf[we[last[worded] - 1] - 1]]
     phrase = np.zeros(len(ls), bool)
@@ -77,10 +85,9 @@ def judge_lines(flat: Flat) -> dict[str, np.ndarray]:
 def repeat_words(flat: Flat, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Per text: its words, and those inside a run of `size` words that the text has twice or more."""
     ws, we, counts = flat.words()
-    h, made = windows(Spans(flat.buf).hash(ws, we), counts, size)
-    twice = repeated(mix(h + group_of(made).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first_too=True)
-    starts = np.cumsum(counts) - counts
-    place = starts[group_of(made)] + np.arange(len(h)) - (np.cumsum(made) - made)[group_of(made)]
+    spans = Spans(flat.buf)
+    place, text = window_places(counts, size)
+    twice = repeated_windows(spans.classes(spans.hash(ws, we), ws, we)[0], place, text, size)
     cover = np.zeros(len(ws) + size, bool)
     for k in range(size):
         cover[place[twice] + k] = True
@@ -101,7 +108,7 @@ def measure(flat: Flat) -> dict[str, np.ndarray]:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts and verdicts per row of docs. No shuffle: every text is judged where it is read."""
-    return map_slices(docs, [id_col, text_col], text_col, lambda part, flat: {"doc_id": part.column(id_col)} | measure(flat), SCHEMA)
+    return map_slices(docs, [id_col, text_col], text_col, lambda part, flat: {id_col: part.column(id_col)} | measure(flat), Schema(**{id_col: type_of(docs, id_col)}, **MEASURES))
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,22 +116,26 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return filter_slices(docs, text_col, lambda part, flat: measure(flat)["kept"])
 
 
+def without_lines(flat: Flat, line: dict[str, np.ndarray]) -> pa.Array:
+    """The texts without their removed lines."""
+    edges = np.zeros(len(flat.buf) + 1, np.int64)
+    bad = line["bad"]
+    np.add.at(edges, line["start"][bad], 1)
+    np.add.at(edges, line["end"][bad] + 1, -1)  # with its newline
+    kept = np.cumsum(edges)[:-1] == 0
+    of = group_of(line["per_text"])[~bad]
+    last = np.ones(len(of), bool)
+    last[:-1] = of[1:] != of[:-1]
+    kept[line["end"][~bad][last]] = False  # no newline after the last line
+    offsets = np.concatenate([[0], np.cumsum(kept)])[flat.offsets]
+    return pa.Array.from_buffers(pa.large_binary(), flat.n, [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(flat.buf[kept].tobytes())]).cast(pa.large_string())
+
+
 def clean_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the removed lines taken out of the text column; other columns stay."""
-    import pyarrow as pa
-
-    columns, spark_schema = docs.columns, docs.schema
-    at = columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            flat = Flat(batch.column(text_col))
-            line, raw = judge_lines(flat), flat.buf.tobytes()
-            texts, k = [], 0
-            for n in line["per_text"]:
-                kept = [raw[line["start"][i] : line["end"][i]] for i in range(k, k + n) if not line["bad"][i]]
-                texts.append(b"\n".join(kept).decode())
-                k += n
-            yield batch.set_column(at, text_col, pa.array(texts, batch.schema.field(text_col).type))
-
-    return docs.mapInArrow(run, spark_schema)
+    """docs with the removed lines taken out of the text column; other columns stay. A null text becomes an empty one."""
+
+    def clean(part: pa.RecordBatch, flat: Flat) -> pa.RecordBatch:
+        at = part.schema.get_field_index(text_col)
+        return part.set_column(at, part.schema.field(at), without_lines(flat, judge_lines(flat)).cast(part.schema.field(at).type))
+
+    return map_rows(docs, text_col, clean)

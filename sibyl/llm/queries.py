@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_crf, sentencepiece_bpe, toxicity, url_filter
+from . import pii, places, quality_crf, sentencepiece_bpe, toxicity, url_filter
 from .labelled import HELD_OUT, fold
 from .ngram_join import similarity_classes
 from .packing import pack_documents
@@ -107,7 +107,10 @@ TOKEN_LIMIT = 512
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    """Twice over one cache: the first pass meets misses alone and fills it, the second one has hits alone."""
+    docs, cache = table(spark, sf_dir, "documents"), places.new_path(spark, "token-counts")
+    token_counts(docs, tokenizer_file("byte_bpe_50k.json"), cache)
+    counts = token_counts(docs, tokenizer_file("byte_bpe_50k.json"), cache)
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
@@ -133,8 +136,8 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20

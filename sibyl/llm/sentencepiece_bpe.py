@@ -3,11 +3,11 @@
 Words (a run of word marks and what follows it) are flat symbol arrays. In each round every word finds the best
 rank among its neighbour pairs by a segmented minimum and merges all its leftmost, non-overlapping places of that
 rank at once; where a merge would make a neighbour pair of the same or a better rank, which the library would take
-next, only the leftmost place is merged. Finished words leave the arrays. A word still not finished after many
-rounds (thousands of symbols in one word) goes to an ordered heap, with the same result.
+next, the round ends for that word. Finished words leave the arrays. A word still not finished after many rounds
+(thousands of symbols in one word) goes on alone, in the same rounds, with its places filed by rank.
 
 Defined results: null and empty texts encode to the begin and end ids alone and decode to ''; characters that the
-model lacks become byte pieces; repeated rows stay; columns other than id and text are not read.
+model lacks become byte pieces; very long words are encoded whole; repeated rows stay; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .spans import SpanCache
-from .text import Flat, Schema, Spans, lists, map_slices
+from .text import Flat, Schema, Spans, lists, map_slices, type_of
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -160,9 +160,9 @@ class SentencePieceBpe:
             best = np.minimum.reduceat(rank, starts) if len(starts) else rank
             over = best == _NONE
             if turn == _ROUNDS:
-                rest = [self._by_heap(sym[s : s + n].tolist()) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+                rest = [self._by_rank(sym[s : s + n]) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                 if rest:
-                    done.append((which, np.array([len(x) for x in rest], np.int64), np.concatenate([np.array(x, np.int64) for x in rest])))
+                    done.append((which, np.array([len(x) for x in rest], np.int64), np.concatenate(rest)))
                 break
             if over.any():
                 out = np.repeat(over, counts)
@@ -226,28 +226,65 @@ class SentencePieceBpe:
         n = n[back]
         return flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(flat))], n
 
-    def _by_heap(self, sym: list[int]) -> list[int]:
-        left, right = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(pairs: list[tuple[int, int]]) -> None:
-            found = self._pairs(np.array([sym[i] for i, _ in pairs]), np.array([sym[j] for _, j in pairs])) if pairs else []
-            for (i, j), k in zip(pairs, found, strict=True):
-                if k >= 0:
-                    heapq.heappush(heap, (int(self.pair_rank[k]), i, sym[i], sym[j], int(self.pair_made[k])))
-
-        offer([(i, i + 1) for i in range(len(sym) - 1)])
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = right[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+    def _by_rank(self, sym: np.ndarray) -> np.ndarray:
+        """The same rounds for one long word. Places wait under the rank of their pair, so a round looks at its own merges alone."""
+        sym, n = sym.copy(), len(sym)
+        left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+        right[-1] = -1
+        rank, made, alive = np.full(n, _NONE), np.zeros(n, np.int64), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(r: int, places: np.ndarray) -> None:
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(places)
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            k = self._pairs(a, b)
+            return np.where(k >= 0, self.pair_rank[k], _NONE)
+
+        def offer(places: np.ndarray) -> None:
+            rank[places] = _NONE
+            places = places[right[places] >= 0]
+            k = self._pairs(sym[places], sym[right[places]])
+            places, k = places[k >= 0], k[k >= 0]
+            rank[places], made[places] = self.pair_rank[k], self.pair_made[k]
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            cut = np.flatnonzero(np.diff(rank[places])) + 1
+            for part in np.split(places, cut) if len(places) else []:
+                wait(int(rank[part[0]]), part)
+
+        offer(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            sym[i], sym[j] = made, -2
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(([(left[i], i)] if left[i] >= 0 else []) + ([(i, right[i])] if right[i] >= 0 else []))
-        return [s for s in sym if s != -2]
+            # of places that overlap (aaa) every second one counts, from the left
+            run = np.ones(len(at), bool)
+            run[1:] = right[at[:-1]] != at[1:]
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
+            # a merge that makes a pair of this rank or a better one is the last of its round
+            before, after = left[at], right[right[at]]
+            beside = np.where(before >= 0, sym[before], 0)
+            chained = np.flatnonzero(right[at[:-1]] == before[1:]) + 1
+            beside[chained] = made[at[chained - 1]]
+            early = np.minimum(np.where(before >= 0, rank_of(beside, made[at]), _NONE), np.where(after >= 0, rank_of(made[at], np.where(after >= 0, sym[after], 0)), _NONE)) <= r
+            if early.any():
+                stop = int(np.argmax(early)) + 1
+                if stop < len(at):
+                    wait(r, at[stop:])
+                at = at[:stop]
+            gone = right[at]
+            after = right[gone]
+            sym[at], rank[gone], alive[gone], right[at] = made[at], _NONE, False, after
+            left[after[after >= 0]] = at[after >= 0]
+            offer(np.unique(np.concatenate([at, left[at][left[at] >= 0]])))
+        return sym[alive]
 
     def _encode_spans(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = b"\n".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
@@ -292,7 +329,7 @@ class SentencePieceBpe:
         per_text = np.diff(np.searchsorted(starts, flat.offsets))
         ends = np.append(starts[1:], 0)
         ends[np.cumsum(per_text)[per_text > 0] - 1] = flat.end[per_text > 0]
-        at, size = self.cache.look_up(buf, Spans(buf).hash(starts, ends), starts, ends)
+        at, size = self.cache.look_up(buf, Spans(buf), starts, ends)
         ids = self.cache.gather(at, size)
         total = np.concatenate([[0], np.cumsum(size)])
         stop = np.cumsum(per_text)
@@ -328,12 +365,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         ids, n = loaded(model_path).encode(part.column(text_col))
         return {id_col: part.column(id_col), "ids": lists(ids, n, pa.int32())}
 
-    return map_slices(docs, [id_col, text_col], text_col, per_slice, Schema(**{id_col: "long", "ids": "array<int>"}))
+    return map_slices(docs, [id_col, text_col], text_col, per_slice, Schema(**{id_col: type_of(docs, id_col), "ids": "array<int>"}))
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows (id, text)."""
-    schema = Schema(**{id_col: "long", "text": "string"})
+    schema = Schema(**{id_col: type_of(encoded, id_col), "text": "string"})
 
     def run(batches):
         for batch in batches:
@@ -357,4 +394,4 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in model.decode(ids, n).to_pylist()],
         }
 
-    return map_slices(docs, [id_col, text_col], text_col, per_slice, Schema(**{id_col: "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}))
+    return map_slices(docs, [id_col, text_col], text_col, per_slice, Schema(**{id_col: type_of(docs, id_col), "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}))

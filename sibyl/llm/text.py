@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -35,14 +36,15 @@ _TYPES = {
 class Schema:
     """Column names and types, for Spark and for Arrow."""
 
-    def __init__(self, **kinds: str):
-        self.kinds = kinds
-        self.spark = T.StructType([T.StructField(c, _TYPES[k][0]) for c, k in kinds.items()])
+    def __init__(self, **kinds: str | T.DataType):
+        self.kinds = {c: k if isinstance(k, str) else (k, to_arrow_type(k)) for c, k in kinds.items()}
+        self.kinds = {c: _TYPES[k] if isinstance(k, str) else k for c, k in self.kinds.items()}
+        self.spark = T.StructType([T.StructField(c, k[0]) for c, k in self.kinds.items()])
 
     def batch(self, columns: dict) -> pa.RecordBatch:
         arrays = []
         for name, kind in self.kinds.items():
-            value, arrow = columns[name], _TYPES[kind][1]
+            value, arrow = columns[name], kind[1]
             if isinstance(value, pa.Array | pa.ChunkedArray):
                 value = value.combine_chunks() if isinstance(value, pa.ChunkedArray) else value
                 arrays.append(value if value.type == arrow else value.cast(arrow))
@@ -82,6 +84,27 @@ def filter_slices(df: DataFrame, text: str, fn: Callable, limit: int = SLICE_BYT
     return df.mapInArrow(run, df.schema)
 
 
+def map_rows(df: DataFrame, text: str, fn: Callable, limit: int = SLICE_BYTES) -> DataFrame:
+    """fn(slice, Flat) -> slice of the same columns, over all columns of df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in cuts(batch.column(text), limit):
+                part = batch.slice(lo, hi - lo)
+                yield fn(part, Flat(part.column(text)))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def type_of(df: DataFrame, column: str) -> T.DataType:
+    return df.schema[column].dataType
+
+
+def need_whole_ids(df: DataFrame, column: str) -> None:
+    if not isinstance(type_of(df, column), T.LongType | T.IntegerType | T.ShortType | T.ByteType):
+        raise TypeError(f"{column} has to be a whole number")
+
+
 def cuts(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -138,23 +161,6 @@ class Flat:
         return out
 
 
-_RANDOM = np.random.default_rng(20240229)
-_TABLE = _RANDOM.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C13)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
-
-
-def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
-        inverse = U64(pow(int(_BASE), -1, 2**64))
-        for key, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser over 64 bits; every input bit reaches every output bit."""
     h = h ^ (h >> U64(33))
@@ -165,21 +171,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
 class Spans:
-    """64-bit hashes of any byte ranges of one buffer, from one pass over it."""
+    """Hashes and comparisons of any byte ranges of one buffer, eight bytes at a time.
+
+    A hash is a sum over the lanes of a range of a mixed lane and its place, so no structure of the bytes makes two
+    ranges collide. It is still no proof that ranges are equal: `classes` and `same` compare the bytes.
+    """
 
     def __init__(self, buf: np.ndarray):
-        up, self.down = _raised(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, U64)
-        terms = _TABLE[buf]
-        terms *= up[: len(buf)]
-        np.cumsum(terms, out=self.sums[1:])
+        self.padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        self.lanes = np.ndarray((len(buf) + 1,), "<u8", self.padded, 0, (1,))
+
+    def _lanes(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Range, place in it and used bytes of every lane, and lanes of each range."""
+        n = (size + 7) >> 3
+        of = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        return of, place, _MASKS[np.minimum(size[of] - 8 * place, 8)], n
+
+    def hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        size = end - start
+        of, place, used, n = self._lanes(start, size)
+        terms = mix((self.lanes[start[of] + 8 * place] & used) ^ (place.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019 + seed)))
+        total = np.zeros(len(terms) + 1, U64)
+        np.cumsum(terms, out=total[1:])
+        ends = np.cumsum(n)
+        return mix(total[ends] - total[ends - n] + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    def same(self, start: np.ndarray, end: np.ndarray, other: Spans, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+        """Whether ranges hold the same bytes as those of another buffer (or of this one)."""
+        size = end - start
+        out = size == other_end - other_start
+        some = np.flatnonzero(out)
+        of, place, used, _ = self._lanes(start[some], size[some])
+        differ = ((self.lanes[start[some][of] + 8 * place] ^ other.lanes[other_start[some][of] + 8 * place]) & used) != 0
+        out[some[of[differ]]] = False
+        return out
+
+    def classes(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers that ranges of the same bytes share, and the first range of each number. h: their hashes."""
+        return classes(h, lambda i, j: self.same(start[i], end[i], self, start[j], end[j]))
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = self.sums[end] - self.sums[start]
-        h *= self.down[start]
-        h += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
-        return mix(h)
+
+def classes(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that equal rows share, and the first row of each number. Equal rows have equal keys; rows of equal keys are
+    equal only if equal(rows, other rows) says so."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~equal(np.arange(len(keys)), first[of]))
+    while len(odd):  # rows whose key belongs to another row too
+        _, lead, back = np.unique(keys[odd], return_index=True, return_inverse=True)
+        lead = odd[lead]
+        ok = equal(odd, lead[back])
+        of[odd[ok]] = len(first) + back[ok]
+        first, odd = np.concatenate([first, lead]), odd[~ok]
+    return of, first
 
 
 def windows(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,13 +260,24 @@ def per_group(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def repeated(keys: np.ndarray, first_too: bool) -> np.ndarray:
-    """Marks keys that occur twice or more: all of them, or all but the first."""
-    out = np.zeros(len(keys), bool)
-    if len(keys):
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        out[order[1:]] = same
-        if first_too:
-            out[order[:-1]] |= same
-    return out
+def repeated(of: np.ndarray, first: np.ndarray, first_too: bool) -> np.ndarray:
+    """Marks rows whose class (see `classes`) has two rows or more: all of them, or all but the first."""
+    if first_too:
+        return np.bincount(of, minlength=len(first))[of] > 1
+    return first[of] != np.arange(len(of))
+
+
+def repeated_windows(of: np.ndarray, place: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
+    """Marks windows of `size` words that their group has twice or more. of: class of every word; place: first word of every window."""
+    key = group.astype(U64) * U64(0x9E3779B97F4A7C15)
+    for k in range(size):
+        key = mix(key + of[place + k].astype(U64))
+    same = lambda i, j: (group[i] == group[j]) & np.logical_and.reduce([of[place[i] + k] == of[place[j] + k] for k in range(size)])
+    return repeated(*classes(key, same), first_too=True)
+
+
+def window_places(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every run of `size` words inside its group, and the group."""
+    made = np.maximum(counts - size + 1, 0)
+    group = group_of(made)
+    return (np.cumsum(counts) - counts)[group] + np.arange(len(group)) - (np.cumsum(made) - made)[group], group
