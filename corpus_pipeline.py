@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.kept_documents(docs)
+    """Documents that the quality rules keep, without the lines that fail."""
+    return quality_rules.clean_texts(quality_rules.kept_documents(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
