@@ -11,8 +11,11 @@ from .normal import norm_cdf
 from .prices import shrink_p
 from .scalars import dot, interpolate, season_phase
 
-#: Totals of one side, in order: field goals and attempts, threes and attempts, free throws and attempts, rebounds at both ends, turnovers.
+#: Totals of one side: field goals and attempts, threes and attempts, free throws and attempts, rebounds at both ends, turnovers.
 SIDE = ("fgm", "fga", "tpm", "tpa", "ftm", "fta", "orb", "drb", "tov")
+# Fixed values of the possession estimate and of win shares.
+FREE_THROW_WEIGHT, REBOUND_WEIGHT = 0.4, 1.07
+ASSIST_WEIGHT, OFFENCE_SHARE, DEFENCE_SHARE, POINTS_PER_WIN = 1.14, 0.92, 1.08, 0.32
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -20,24 +23,29 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(b != 0, a / b), F.lit(0.0))
 
 
-def possessions(t: Column) -> Column:
-    """Possessions of one side from a struct of totals."""
-    return t["fga"] - t["orb"] + t["tov"] + 0.44 * t["fta"]
+def possessions(t: Column, o: Column) -> Column:
+    """Possessions of one side from structs of its totals and its opponent's."""
+    rebounded = REBOUND_WEIGHT * ratio(t["orb"], t["orb"] + o["drb"]) * (t["fga"] - t["fgm"])
+    return t["fga"] + FREE_THROW_WEIGHT * t["fta"] - rebounded + t["tov"]
 
 
 def mean_possessions(own: Column, opp: Column) -> Column:
     """Both sides averaged."""
-    return (possessions(own) + possessions(opp)) / 2
+    return (possessions(own, opp) + possessions(opp, own)) / 2
 
 
-def four_factors(own: Column, opp: Column) -> Column:
-    """Effective field goals, turnovers, offensive rebounds and free throws, as rates of one side."""
-    return F.array(ratio(own["fgm"] + 0.5 * own["tpm"], own["fga"]), ratio(own["tov"], possessions(own)), ratio(own["orb"], own["orb"] + opp["drb"]), ratio(own["ftm"], own["fga"]))
+def eight_factors(own: Column, opp: Column, rebound_share: bool = False) -> Column:
+    """Effective field goals, turnovers, offensive rebounds and free throw attempts of a team and of its opponents, in percent, with
+    the sign of what they are worth to the team. Turnovers and rebounds are per possession; with rebound_share the latter are the share
+    of the rebounds that were there to take."""
+    p = mean_possessions(own, opp)
 
+    def four(a: Column, b: Column) -> list[Column]:
+        rebounds = ratio(a["orb"], a["orb"] + b["drb"] if rebound_share else p)
+        return [ratio(a["fgm"] + 0.5 * a["tpm"], a["fga"]), ratio(a["tov"], p), rebounds, ratio(a["fta"], a["fga"])]
 
-def eight_factors(own: Column, opp: Column) -> Column:
-    """The four rates of a team and the four of its opponents."""
-    return F.concat(four_factors(own, opp), four_factors(opp, own))
+    signs = (1, -1, 1, 1, -1, 1, -1, -1)
+    return F.array(*(100 * k * x for k, x in zip(signs, four(own, opp) + four(opp, own), strict=True)))
 
 
 def regress_threes(t: Column, rate: Column) -> Column:
@@ -46,9 +54,9 @@ def regress_threes(t: Column, rate: Column) -> Column:
     return t.withField("fgm", t["fgm"] + made - t["tpm"]).withField("tpm", made)
 
 
-def luck(own: Column, opp: Column, rate: Column, weights: Column) -> Column:
-    """Composite of the actual totals less that at the league's rate of threes."""
-    return dot(eight_factors(own, opp), weights) - dot(eight_factors(regress_threes(own, rate), regress_threes(opp, rate)), weights)
+def luck(own: Column, opp: Column, rate: Column, weights: Column, rebound_share: bool = False) -> Column:
+    """Rise of the composite if the opponents' threes had gone in at the league's rate. weights: of each factor, over its deviation."""
+    return dot(eight_factors(own, regress_threes(opp, rate), rebound_share), weights) - dot(eight_factors(own, opp, rebound_share), weights)
 
 
 def game_inputs(delta: Column, home_rest: Column, away_rest: Column, date: Column, opening: Column) -> list[Column]:
@@ -83,33 +91,57 @@ def p_over(total: Column, line: Column, played: Column, early: float, late: floa
     return norm_cdf((total - line) / F.when(played < few, early).otherwise(late))
 
 
-def live_win(lead: Column, line: Column, share_left: Column, knots: Sequence[float], a: Column, b: Column) -> Column:
-    """Chance to win from lead and pregame line with coefficients that depend on the time left; settled at the end."""
-    p = norm_cdf(lead * interpolate(share_left, knots, a) + line * interpolate(share_left, knots, b))
-    return F.when((share_left <= 0) & (lead != 0), (lead > 0).cast("double")).when(share_left <= 0, 0.5).otherwise(p)
+#: Share of regulation that an overtime lasts: a tie at the end is priced at its start.
+OVERTIME = 300 / 2880
+
+
+def _settled(lead: Column, share_left: Column, price) -> Column:
+    over = share_left <= 0
+    return F.when(over & (lead != 0), (lead > 0).cast("double")).otherwise(price(F.when(over, F.lit(OVERTIME)).otherwise(share_left)))
+
+
+def live_win(lead: Column, margin: Column, share_left: Column, knots: Sequence[float], a: Column, b: Column) -> Column:
+    """Chance to win from lead and expected margin with coefficients that depend on the time left; settled at the end."""
+    return _settled(lead, share_left, lambda t: norm_cdf(interpolate(t, knots, a) * lead / F.sqrt(t) + interpolate(t, knots, b) * margin * F.sqrt(t)))
 
 
 def brownian_win(lead: Column, margin: Column, share_left: Column, sigma: float) -> Column:
     """Brownian motion with drift: expected rest margin * tau, variance sigma^2 * tau."""
-    p = norm_cdf((lead + margin * share_left) / (sigma * F.sqrt(share_left)))
-    return F.when((share_left <= 0) & (lead != 0), (lead > 0).cast("double")).when(share_left <= 0, 0.5).otherwise(p)
-
-
-def win_shares(p: Column, t: Column, o: Column, league_points: Column, league_pace: Column) -> tuple[Column, Column]:
-    """Offensive and defensive win shares from structs of player, team and opponent totals (with pts, mp, ast, stl, blk)
-    and the league's points for each possession and pace."""
-    q = ratio(p["mp"], t["mp"] / 5)
-    team_poss = possessions(t)
-    usage = ratio(p["fga"] + 0.44 * p["fta"] + p["tov"], t["fga"] + 0.44 * t["fta"] + t["tov"])
-    produced = p["pts"] + 0.5 * p["ast"] * ratio(t["pts"], t["fgm"] + 1) * 0.5
-    own_poss = usage * team_poss
-    marginal = produced - 0.92 * league_points * own_poss
-    per_win = 0.32 * league_points * league_pace * ratio(team_poss, league_pace)
-    ows = ratio(marginal, per_win)
-    stops = p["stl"] + 0.7 * p["blk"] + 0.3 * p["drb"] + q * (ratio(t["drb"], F.lit(5.0)) * 0.2)
-    rating = 100 * ratio(o["pts"], possessions(o)) - 20 * (ratio(stops, q * team_poss) - 0.2)
-    dws = ratio(q * possessions(o) * (1.08 * league_points - rating / 100), per_win)
-    return ows, dws
+    return _settled(lead, share_left, lambda t: norm_cdf((lead + margin * t) / (sigma * F.sqrt(t))))
+
+
+def win_shares(df: DataFrame, player: str, team: str, opponent: str, league: str) -> DataFrame:
+    """Df with offensive and defensive win shares, from struct columns of player, team and opponent totals (SIDE with pts, minutes,
+    ast, stl, blk, pf) and of the league's pts, poss, minutes and games, by the published formulas: points produced over marginal points
+    for each win, and individual defensive rating. In steps, so that terms used often are computed once."""
+    p, t, o, l, w = (F.col(c) for c in (player, team, opponent, league, "_w"))
+    free = lambda x: 1 - (1 - ratio(x["ftm"], x["fta"])) * (1 - ratio(x["ftm"], x["fta"]))  # noqa: E731  (trips that score)
+    part = lambda c: ratio(t[c], t["minutes"]) * p["minutes"] * 5 - p[c]
+    step = lambda d, **terms: d.withColumn("_w", F.struct(*(["_w.*"] if "_w" in d.columns else []), *(x.alias(n) for n, x in terms.items())))
+    out = step(
+        df, share=ratio(p["minutes"], t["minutes"] / 5), mates=0.5 * ratio((t["pts"] - t["ftm"]) - (p["pts"] - p["ftm"]), 2 * (t["fga"] - p["fga"])) * p["ast"],
+        line=F.when(p["fta"] > 0, FREE_THROW_WEIGHT * p["fta"]).otherwise(0.0), scored=free(p), scoring=t["fgm"] + free(t) * t["fta"] * FREE_THROW_WEIGHT, poss=mean_possessions(t, o),
+        rebounding=ratio(t["orb"], t["orb"] + o["drb"]), boards=ratio(o["orb"], o["orb"] + t["drb"]), goals=ratio(o["fgm"], o["fga"]), each=l["pts"] / l["poss"],
+    )
+    out = step(
+        out, play=ratio(w["scoring"], t["fga"] + t["fta"] * FREE_THROW_WEIGHT + t["tov"]), forced=ratio(w["goals"] * (1 - w["boards"]), w["goals"] * (1 - w["boards"]) + (1 - w["goals"]) * w["boards"]),
+        assisted=w["share"] * ASSIST_WEIGHT * ratio(t["ast"] - p["ast"], t["fgm"]) + ratio(part("ast"), part("fgm")) * (1 - w["share"]), live=1 - REBOUND_WEIGHT * w["boards"],
+        per_win=POINTS_PER_WIN * l["pts"] / l["games"] * ratio(48 * ratio(2 * w["poss"], 2 * (t["minutes"] / 5)), 48 * l["poss"] / (l["minutes"] / 5)),
+    )
+    out = step(
+        out, weight=ratio((1 - w["rebounding"]) * w["play"], (1 - w["rebounding"]) * w["play"] + w["rebounding"] * (1 - w["play"])), shooting=1 - 0.5 * ratio(p["pts"] - p["ftm"], 2 * p["fga"]) * w["assisted"],
+        own_stops=p["stl"] + p["blk"] * w["forced"] * w["live"] + p["drb"] * (1 - w["forced"]),
+        shared_stops=(ratio(o["fga"] - o["fgm"] - t["blk"], t["minutes"]) * w["forced"] * w["live"] + ratio(o["tov"] - t["stl"], t["minutes"])) * p["minutes"]
+        + ratio(p["pf"], t["pf"]) * FREE_THROW_WEIGHT * o["fta"] * (1 - ratio(o["ftm"], o["fta"])) * (1 - ratio(o["ftm"], o["fta"])),
+    )
+    out = step(out, keep=1 - ratio(t["orb"], w["scoring"]) * w["weight"] * w["play"], own_boards=p["orb"] * w["weight"] * w["play"], stops=ratio((w["own_stops"] + w["shared_stops"]) * o["minutes"], w["poss"] * p["minutes"]), rating=100 * ratio(o["pts"], w["poss"]))
+    made = t["fgm"] - p["fgm"]
+    used = (p["fgm"] * w["shooting"] + w["mates"] + w["scored"] * w["line"]) * w["keep"] + w["own_boards"] + (p["fga"] - p["fgm"]) * (1 - REBOUND_WEIGHT * w["rebounding"]) + (1 - w["scored"]) * w["line"] + p["tov"]
+    produced = (2 * (p["fgm"] + 0.5 * p["tpm"]) * w["shooting"] + 2 * ratio(made + 0.5 * (t["tpm"] - p["tpm"]), made) * w["mates"] + p["ftm"]) * w["keep"] + w["own_boards"] * ratio(t["pts"], w["scoring"])
+    rating = w["rating"] + 0.2 * (100 * ratio(o["pts"], o["fgm"] + free(o) * o["fta"] * FREE_THROW_WEIGHT) * (1 - w["stops"]) - w["rating"])
+    offence = ratio(produced - OFFENCE_SHARE * w["each"] * used, w["per_win"])
+    defence = ratio(ratio(p["minutes"], t["minutes"]) * w["poss"] * (DEFENCE_SHARE * w["each"] - rating / 100), w["per_win"])
+    return out.withColumns({"offence": offence, "defence": defence}).drop("_w")
 
 
 def above_replacement(value: Column, minutes: Column, replacement: float, prior: float = 500.0) -> Column:

@@ -37,14 +37,16 @@ def norm_cdf_sql(x: str) -> str:
 
 
 def norm_ppf_sql(p: str) -> str:
-    """Without the refining step; see norm_ppf."""
+    """With the refining step of norm_ppf; the rough value is computed once, in a list of one."""
     low = f"sqrt(-2 * ln({p}))"
     high = f"sqrt(-2 * ln(1 - ({p})))"
     q = f"(({p}) - 0.5e0)"
     r = f"({q} * {q})"
     tail = lambda t: f"({_horner(_C, t)} / ({_horner(_D, t)} * {t} + 1e0))"
     mid = f"({_horner(_A, r)} * {q} / ({_horner(_B, r)} * {r} + 1e0))"
-    return f"(CASE WHEN ({p}) IS NULL OR ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < {_TAIL} THEN {tail(low)} WHEN ({p}) > 1 - {_TAIL} THEN -{tail(high)} ELSE {mid} END)"
+    rough = f"(CASE WHEN ({p}) IS NULL OR ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < {_TAIL} THEN {tail(low)} WHEN ({p}) > 1 - {_TAIL} THEN -{tail(high)} ELSE {mid} END)"
+    step = f"(({norm_cdf_sql('z')} - ({p})) * 2.5066282746310002e0 * exp(z * z / 2))"
+    return f"list_transform(list_transform([{rough}], lambda z: {{'z': z, 'u': {step}}}), lambda s: s.z - s.u / (1 + s.z * s.u / 2))[1]"
 
 
 def _as_column(make, x: Column) -> Column:

@@ -156,11 +156,15 @@ def _full_pair(books: Column, name: Column) -> Column:
 
 
 def mid_q(home_bid: Column, home_ask: Column, away_bid: Column, away_ask: Column) -> Column:
-    """Mean of the home mid and one less the away mid; else asks made to sum to 1."""
-    mid = lambda b, a: F.when((b > 0) & (a < 1) & (b <= a), (b + a) / 2)
-    h, a = mid(home_bid, home_ask), mid(away_bid, away_ask)
-    both = F.when(h.isNotNull() & a.isNotNull(), h / (h + a)).otherwise(F.coalesce(h, 1 - a))
-    return F.coalesce(both, home_ask / (home_ask + away_ask))
+    """The home side's part of the two midpoints; null unless both sides have a bid and an ask."""
+    home, away = (home_bid + home_ask) / 2, (away_bid + away_ask) / 2
+    return F.when((home > 0) & (away > 0), home / (home + away))
+
+
+def quoted_q(home_bid: Column, home_ask: Column, away_bid: Column, away_ask: Column) -> Column:
+    """mid_q, else the home side's part of the two costs; null unless both sides have a usable ask."""
+    home, away = exchange_cost(home_ask), exchange_cost(away_ask)
+    return F.when(home.isNotNull() & away.isNotNull(), F.coalesce(mid_q(home_bid, home_ask, away_bid, away_ask), home / (home + away)))
 
 
 def price_q(stored: Column, home_ml: Column, away_ml: Column, method: Callable[[Column, Column], Column] = devig) -> Column:

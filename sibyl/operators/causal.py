@@ -7,6 +7,7 @@ window without a partition key sees one row a day, and are then joined back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,21 +36,34 @@ def games_before(df: DataFrame, key: Sequence[str], day: str, order: Sequence[st
     return df.withColumns({"played": F.count("*").over(before_day(key, day)), "ordinal": F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1})
 
 
+#: Half-lives of a block of decayed sums, and earlier blocks that still count: what is older has a weight below 2^-256.
+BLOCK_HALF_LIVES, CARRIED = 64, 4
+
+
 def decayed(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], half_life: float, suffix: str = "_decayed") -> DataFrame:
-    """Sum over prior rows of the key of value * 0.5^(rows ago / half_life), exactly, as one prefix sum.
+    """Sum over prior rows of the key of value * 0.5^(rows ago / half_life).
 
-    sum x_k 0.5^((i-1-k)/h) = 0.5^((i-1)/h) * sum x_k 2^(k/h); keys hold a season, so the powers stay in range.
+    Rows of a key are cut into blocks of 64 half-lives. Inside a block the sum is 0.5^(i/h) times a prefix sum of x_k 2^(k/h), counted
+    from the block's first row, so powers stay below 2^64 however many rows a key has; sums of whole blocks are carried on.
     Nulls count neither in the sum nor in the weight.
     """
-    own = Window.partitionBy(*key).orderBy(*order)
-    out = df.withColumn("_k", F.row_number().over(own) - 1)
-    back, past = F.pow(F.lit(0.5), (F.col("_k") - 1) / half_life), earlier_rows(key, order)
-    grow = F.pow(F.lit(2.0), F.col("_k") / half_life)
-    made = {}
+    size = math.ceil(BLOCK_HALF_LIVES * half_life)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    out = df.withColumn("_k", place).withColumns({"_b": F.floor(F.col("_k") / size), "_i": F.col("_k") % size})
+    grow = F.pow(F.lit(2.0), F.col("_i") / half_life)
+    terms = {}
     for v in values:
-        made[v + suffix] = F.coalesce(back * F.sum(F.col(v) * grow).over(past), F.lit(0.0))
-        made[v + suffix + "_weight"] = F.coalesce(back * F.sum(F.when(F.col(v).isNotNull(), grow)).over(past), F.lit(0.0))
-    return out.withColumns(made).drop("_k")
+        terms[v + suffix] = F.col(v) * grow
+        terms[v + suffix + "_weight"] = F.when(F.col(v).isNotNull(), grow)
+    sums = out.groupBy(*key, "_b").agg(*(F.coalesce(F.sum(t), F.lit(0.0)).alias(f"_s{n}") for n, t in enumerate(terms.values())))
+    blocks = Window.partitionBy(*key).orderBy("_b")
+    carry = lambda n: sum(F.coalesce(F.lag(f"_s{n}", j).over(blocks), F.lit(0.0)) * 0.5 ** (j * size / half_life) for j in range(1, CARRIED + 1))
+    carried = sums.select(*key, "_b", *(carry(n).alias(f"_c{n}") for n in range(len(terms))))
+    inside = Window.partitionBy(*key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    back = F.pow(F.lit(0.5), (F.col("_i") - 1) / half_life)
+    names = list(terms)
+    joined = out.withColumns({f"_p{n}": F.coalesce(F.sum(t).over(inside), F.lit(0.0)) for n, t in enumerate(terms.values())}).alias("l").join(carried.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, "_b"]])
+    return joined.select(*(F.col(f"l.{c}") for c in df.columns), *((back * (F.col(f"_p{n}") + F.col(f"_c{n}"))).alias(name) for n, name in enumerate(names)))
 
 
 def decayed_mean(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, half_life: float, name: str) -> DataFrame:
@@ -152,13 +166,14 @@ def quarter_means(df: DataFrame, key: Sequence[str], day: str, quarters: Sequenc
     return df.withColumns({f"{q}_mean": F.avg(q).over(past) for q in quarters})
 
 
-def absences(grid: DataFrame, group: Sequence[str], order: Sequence[str], minutes: str, least: float, recent: int = 3, window: int = 10) -> DataFrame:
-    """Minutes that members in the rotation (seen in the last `recent` games, mean of the last `window` at least `least`) leave open."""
+def absences(grid: DataFrame, group: Sequence[str], order: Sequence[str], minutes: str, least: float, recent: int = 3, window: int = 10, total: float = 240.0) -> DataFrame:
+    """Share of the team's minutes that absent members of the rotation leave open: seen in the last `recent` games, with a mean of at
+    least `least` over the last `window`, and without minutes now. grid: every member in every game of the group."""
     past = Window.partitionBy(*group, "member").orderBy(*order)
     mean, seen = F.avg(F.coalesce(minutes, F.lit(0.0))).over(past.rowsBetween(-window, -1)), F.max((F.col(minutes) > 0).cast("int")).over(past.rowsBetween(-recent, -1))
     out = grid.withColumns({"_mean": mean, "_seen": seen})
     gone = (F.col("_seen") == 1) & (F.col("_mean") >= least) & (F.coalesce(minutes, F.lit(0.0)) == 0)
-    return out.groupBy(*group, *order).agg(F.coalesce(F.sum(F.when(gone, F.col("_mean"))), F.lit(0.0)).alias("absent_minutes"))
+    return out.groupBy(*group, *order).agg((F.coalesce(F.sum(F.when(gone, F.col("_mean"))), F.lit(0.0)) / total).alias("absent_share"))
 
 
 def running_record(df: DataFrame, key: Sequence[str], order: Sequence[str], units: str) -> DataFrame:
@@ -198,15 +213,21 @@ def adjusted(q: Column, shift: Column, lo: Column | float, hi: Column | float) -
 def drift(df: DataFrame, day: str, order: Sequence[str], residual: str, half_life: float, latest: int = 600, pseudo: float = 50.0, key: Sequence[str] = ()) -> DataFrame:
     """Half-life weighted mean residual of the latest rows on earlier days, pulled to 0 by pseudo counts.
 
-    D(k) is the decayed prefix after k rows; the window is D(k) - 0.5^(latest/h) D(k - latest). Prefixes are built
-    inside blocks of rows of one key, so powers stay in range: the key should hold a season.
+    With D(k) the decayed sum of the first k rows, the window after n rows is D(n) - 0.5^(latest/h) D(n - latest). n is one number a
+    day, so D is read by two joins of days with rows; powers stay in range as in `decayed`.
     """
-    scaled = df.withColumn("_x", F.col(residual)).withColumn("_o", F.row_number().over(Window.partitionBy(*key).orderBy(day, *order)))
-    up = F.pow(F.lit(2.0), F.col("_o") / half_life)
-    scaled = scaled.withColumns({"_gx": F.col("_x") * up, "_g1": up})
-    summed = latest_n_before(scaled, list(key), day, order, ["_gx", "_g1"], latest).withColumn("_n", F.count("*").over(before_day(list(key), day)))
-    back = F.pow(F.lit(0.5), F.col("_n") / half_life)
-    return summed.withColumn("drift", back * F.col("_gx_sum") / (back * F.col("_g1_sum") + pseudo)).select(*df.columns, "drift")
+    own = Window.partitionBy(*key).orderBy(day, *order)
+    ratio = 0.5 ** (1 / half_life)
+    rows = decayed(df, key, [day, *order], [residual], half_life, "_d").withColumn("_o", F.row_number().over(own))
+    upto = rows.select(*key, "_o", (ratio * F.col(f"{residual}_d") + F.coalesce(residual, F.lit(0.0))).alias("_D"))
+    daily = df.groupBy(*key, day).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = daily.withColumn("_n", before.cast("int")).drop("_c")
+    at = lambda n, name: upto.select(*key, F.col("_o").alias(n), F.col("_D").alias(name))
+    days = days.withColumn("_from", F.col("_n") - latest).join(at("_n", "_hi"), [*key, "_n"], "left").join(at("_from", "_lo"), [*key, "_from"], "left")
+    total = F.coalesce("_hi", F.lit(0.0)) - 0.5 ** (latest / half_life) * F.coalesce("_lo", F.lit(0.0))
+    weight = (1 - F.pow(F.lit(ratio), F.least("_n", F.lit(latest)))) / (1 - ratio)
+    return df.join(days.select(*key, day, (total / (weight + pseudo)).alias("drift")), [*key, day]).select(*df.columns, "drift")
 
 
 def both_positive(df: DataFrame, cell: Sequence[str], season: str, day: str, order: Sequence[str], gain: str) -> DataFrame:

@@ -177,14 +177,21 @@ def grid_fit(df: DataFrame, grid: Sequence[float], loss, by: Sequence[str] = ())
     return sums.select(*by, best["value"].alias("value"), best["loss"].alias("loss"))
 
 
+#: A slope beyond this means that the forecasts separate the outcomes.
+SEPARATED = 50
+
+
 def calibration_slope(df: DataFrame, p: str, y: str, least: int = 30) -> tuple[float, float, float, float] | None:
-    """Slope and intercept of y on logit(p) with standard errors; none if rows are few or one class is missing."""
+    """Slope and intercept of y on logit(p) with standard errors; none if rows are few, one class is missing or the fit separates."""
+    df = df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
     n, m = df.agg(F.count("*"), F.avg(F.col(y).cast("double"))).first()
     if n < least or not m or m >= 1:
         return None
     from ..functions.prices import logit
 
     g = glm(df, [logit(F.col(p))], y)
+    if not np.isfinite(g.beta).all() or abs(g.beta[0]) > SEPARATED:
+        return None
     return float(g.beta[0]), float(g.se[0]), float(g.beta[1]), float(g.se[1])
 
 

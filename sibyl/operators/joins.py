@@ -106,12 +106,12 @@ def with_opponent(df: DataFrame, game: str, team: str, values: Sequence[str]) ->
     return df.join(other, game).where(F.col(team) != F.col("_t")).drop("_t")
 
 
-def previous_roster(box: DataFrame, team: Sequence[str], game: str, day: str, player: str, value: Column) -> DataFrame:
-    """Sum of a value over the players of a team's previous game (on an earlier day), for each of its games."""
-    games = box.select(*team, game, day).distinct()
-    before = games.withColumn("_prev", F.lag(game).over(Window.partitionBy(*team).orderBy(day, game)))
-    sums = box.groupBy(*team, F.col(game).alias("_prev")).agg(F.sum(value).alias("talent"))
-    return before.join(sums, [*team, "_prev"], "left").drop("_prev")
+def previous_roster(box: DataFrame, team: Sequence[str], day: str, player: str, minutes: str, value: Column) -> DataFrame:
+    """For each team and day, the sum of a value over the players with minutes on the team's latest earlier day; null before the first."""
+    days = box.select(*team, day).distinct()
+    played = box.where(F.col(minutes) > 0).groupBy(*team, day).agg(F.sum(value).alias("_talent"))
+    known = days.join(played, [*team, day], "left")
+    return known.withColumn("talent", F.last("_talent", True).over(Window.partitionBy(*team).orderBy(day).rowsBetween(Window.unboundedPreceding, -1))).drop("_talent")
 
 
 def pairs(df: DataFrame, group: Sequence[str], id_: str, keep: Sequence[str]) -> DataFrame:
@@ -121,13 +121,18 @@ def pairs(df: DataFrame, group: Sequence[str], id_: str, keep: Sequence[str]) ->
     return a.join(b, list(group)).where("a < b")
 
 
-def positional_fill(missing: DataFrame, present: DataFrame, group: Sequence[str], position: str, minutes: str) -> DataFrame:
-    """Minutes of missing players given to the present ones of the group, by nearness of position."""
-    m = missing.select(*group, F.col("id").alias("gone"), F.col(position).alias("_pm"), F.col(minutes).alias("_mm"))
-    p = present.select(*group, "id", F.col(position).alias("_pp"))
-    j = m.join(p, list(group)).withColumn("_w", 1 / (1 + F.abs(F.col("_pm") - F.col("_pp"))))
-    share = F.col("_w") / F.sum("_w").over(Window.partitionBy(*group, "gone"))
-    return j.withColumn("extra", F.col("_mm") * share).groupBy(*group, "id").agg(F.sum("extra").alias("extra"))
+def positional_fill(missing: DataFrame, present: DataFrame, group: Sequence[str], position: str, minutes: str, unknown: float = 0.5) -> DataFrame:
+    """Minutes of missing players given to the present ones of the group, in proportion to their own minutes by nearness of position
+    (none from two positions away; `unknown` for a team mate without one); by minutes alone if the missing player has no position or
+    nobody is near. Rows of present with `extra`, 0 without missing players; allocate (V02) scales and caps the sums."""
+    m = missing.where(F.col(minutes) > 0).select(*group, F.col("id").alias("gone"), F.col(position).alias("_pm"), F.col(minutes).alias("_mm"))
+    p = present.select(*group, "id", F.col(position).alias("_pp"), F.col(minutes).alias("_e"))
+    near = F.when(F.col("_pm").isNull(), 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.col("_pp") - F.col("_pm")) / 2), F.lit(unknown)))
+    own = Window.partitionBy(*group, "gone")
+    j = m.join(p, list(group)).withColumn("_w", F.col("_e") * near)
+    share = F.when(F.sum("_w").over(own) > 0, F.col("_w") / F.sum("_w").over(own)).otherwise(F.col("_e") / F.sum("_e").over(own))
+    extra = j.withColumn("extra", F.col("_mm") * share).groupBy(*group, "id").agg(F.sum("extra").alias("extra"))
+    return present.join(extra, [*group, "id"], "left").withColumn("extra", F.coalesce("extra", F.lit(0.0)))
 
 
 def by_rank(players: DataFrame, slots: DataFrame, role: Sequence[str], player_order: Sequence[Column], slot_order: Sequence[Column]) -> DataFrame:

@@ -67,18 +67,24 @@ def public_stages(df: DataFrame, stages: Sequence[str]) -> DataFrame:
 
 
 def pending(df: DataFrame, today: str, days: int = 7) -> DataFrame:
-    """ungraded rows of earlier slates, and graded rows of the last days that still miss a close."""
+    """ungraded rows of earlier slates, and graded rows of the slates of the last days that still miss a closing pair."""
     day = F.lit(today).cast("date")
     ungraded = (F.col("slate") < day) & F.col("won").isNull()
-    no_close = F.col("slate").between(F.date_sub(day, days), day) & F.col("won").isNotNull() & F.col("close_ml").isNull()
+    no_pair = F.col("close_home_ml").isNull() | F.col("close_away_ml").isNull()
+    no_close = (F.col("slate") < day) & (F.col("slate") >= F.date_sub(day, days)) & F.col("won").isin(0, 1) & no_pair
     return df.where(ungraded | no_close).withColumn("why", F.when(ungraded, "result").otherwise("close"))
 
 
 def covered(games: DataFrame, rows: DataFrame) -> DataFrame:
-    """games whose two teams are both listed in a report and not pending; an unlisted team is never 'nobody out'."""
-    listed = rows.groupBy("slate", "team").agg(F.bool_or(F.col("status") == "PENDING").alias("late")).where("not late").select("slate", "team")
-    home, away = listed.withColumnRenamed("team", "home"), listed.withColumnRenamed("team", "away")
-    return games.join(home, ["slate", "home"], "left_semi").join(away, ["slate", "away"], "left_semi")
+    """games that a report speaks for: their matchup, or both teams, are on it, and neither team is still to file. A game that
+    it does not reach is never read as 'nobody out'. rows: (slate, team, status, away, home), the last two from the matchup or null."""
+    late = rows.where("status = 'PENDING'").select("slate", "team").distinct()
+    teams, matchups = rows.where("team is not null").select("slate", "team").distinct(), rows.select("slate", "away", "home").where("away is not null and home is not null").distinct()
+    as_side = lambda d, side, mark: d.withColumnRenamed("team", side).withColumn(mark, F.lit(True))
+    out = games.join(matchups.withColumn("_m", F.lit(True)), ["slate", "away", "home"], "left")
+    for side in ("home", "away"):
+        out = out.join(as_side(teams, side, f"_t_{side}"), ["slate", side], "left").join(as_side(late, side, f"_l_{side}"), ["slate", side], "left_anti")
+    return out.where("_m or (_t_home and _t_away)").select(*games.columns)
 
 
 def stale_entities(have: DataFrame, finals: DataFrame, key: str, date: str) -> DataFrame:

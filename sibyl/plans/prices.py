@@ -98,16 +98,8 @@ def name_keys(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.norm_name(c("c_name")).alias("norm"), S.first_last(F.concat(c("c_name"), F.lit(", Ana"))).alias("flipped"), S.position_group(pos).alias("role"), S.position_number(pos).alias("position"))
 
 
-@query("T03 T04", """SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'N' || n_nationkey END AS code, 'AB' AS away, 'CD' AS home FROM nation""")
-def team_codes(spark, sf):
-    c = F.col
-    codes = [("NATION_0", "N0"), ("NATION_1", "N1"), ("NATION_2", "N2"), ("X NATION_9", "N9"), ("Y NATION_9", "N8")]
-    m = S.matchup(F.lit("AB@CD"))
-    return table(spark, sf, "nation").select("n_nationkey", F.when(c("n_nationkey") < 10, S.unique_code(c("n_name"), codes)).alias("code"), m["away"].alias("away"), m["home"].alias("home"))
-
-
 @query("T03 T04", """SELECT c_custkey, CASE WHEN right(c_name, 2) <> '07' AND right(c_name, 2) < '90' THEN 'T' || right(c_name, 2) END AS code, c_mktsegment AS away, 'CD' AS home FROM customer""")
-def team_codes_all(spark, sf):
+def team_codes(spark, sf):
     """The last two digits of each customer's name against 90 full names, two of which end alike."""
     c = F.col
     codes = [(f"Team {i:02d}", f"T{i:02d}") for i in range(90)] + [("Other 07", "O07")]
@@ -202,10 +194,10 @@ def nested_arm(spark, sf):
     return B.nested_select(losses, "season", "book", "loss")
 
 
-@query("U01", """SELECT game_id, 'live' AS source FROM g WHERE basis = 'F' AND game_id % 4 = 0 UNION ALL SELECT game_id, 'replay' FROM g WHERE basis = 'F' AND game_id % 4 <> 0""")
+@query("U01", """SELECT game_id, CASE WHEN won = 1 THEN 'live' ELSE 'replay' END AS source FROM g""")
 def precedence_union(spark, sf):
-    g = games(spark, sf).where("basis = 'F'").select("game_id")
-    return Q.with_precedence([g.where("game_id % 4 = 0").withColumn("source", F.lit("live")), g.withColumn("source", F.lit("replay"))], "game_id")
+    g = games(spark, sf)
+    return Q.with_precedence([g.where("won = 1").select("game_id", F.lit("live").alias("source")), g.select("game_id", F.lit("replay").alias("source"))], "game_id")
 
 
 @query("U03 J23", "SELECT game_id, CASE WHEN game_id % 5 = 0 THEN p / 2 ELSE p END AS p FROM g", "p")
@@ -378,17 +370,11 @@ def group_variance(spark, sf):
     return A.group_share(games(spark, sf), "team", "margin")
 
 
-@query("A29", "SELECT CAST(floor(p * 4) AS INT) AS pb, avg(CASE WHEN season = 1996 THEN margin END) AS \"1996\", avg(CASE WHEN season = 1997 THEN margin END) AS \"1997\" FROM g GROUP BY 1", '"1996" "1997"')
-def band_matrix(spark, sf):
-    g = games(spark, sf).withColumn("pb", F.floor(F.col("p") * 4).cast("int"))
-    return A.matrix(g, "pb", "season", [1996, 1997], "margin")
-
-
 _SEASONS = range(1995, 2002)
 
 
 @query("A29", f"SELECT CAST(floor(p * 4) AS INT) AS pb, {', '.join(f'avg(CASE WHEN season = {s} THEN margin END) AS "{s}"' for s in _SEASONS)} FROM g GROUP BY 1", " ".join(f'"{s}"' for s in _SEASONS))
-def band_matrix_all(spark, sf):
+def band_matrix(spark, sf):
     """A column for each season of the table; the SQL names those that the driver's tables have."""
     g = games(spark, sf).withColumn("pb", F.floor(F.col("p") * 4).cast("int"))
     seasons = [r["season"] for r in g.select("season").distinct().orderBy("season").collect()]
@@ -406,16 +392,9 @@ def confidence_bands(spark, sf):
     return A.confidence_bands(priced(spark, sf), "p", "q", "won", [0.5, 0.6, 0.75, 1.0])
 
 
-@query("A34", """WITH RECURSIVE k AS (SELECT DISTINCT home_ml AS price_at FROM g WHERE season = 1996), w AS (SELECT price_at, ww, (SELECT count(*) FROM g WHERE abs(home_ml - price_at) <= ww) AS n, (SELECT sum(won) FROM g WHERE abs(home_ml - price_at) <= ww) AS s FROM k, (SELECT unnest([2e0, 3e0, 4.5e0, 6e0]) AS ww) x)
-    SELECT price_at, n, ww AS width, CASE WHEN n >= 10 THEN s / n END AS rate FROM (SELECT *, row_number() OVER (PARTITION BY price_at ORDER BY CASE WHEN n >= 60 THEN 0 ELSE 1 END, CASE WHEN n >= 60 THEN ww ELSE -ww END) AS i FROM w) y WHERE i = 1""", "price_at width rate")
-def price_windows(spark, sf):
-    g = games(spark, sf)
-    return A.price_window(g.where("season = 1996").select(F.col("home_ml").alias("price_at")).distinct(), g, "price_at", "home_ml", "won", 2.0, 6.0)
-
-
 @query("A34", """WITH k AS (SELECT home_ml AS price_at, count(*) AS n, sum(won) AS s FROM g GROUP BY 1), w AS (SELECT a.price_at, ww, sum(b.n) AS n, sum(b.s) AS s FROM k a JOIN (SELECT unnest([2e0, 3e0, 4.5e0, 6e0]) AS ww) x ON true JOIN k b ON abs(b.price_at - a.price_at) <= ww GROUP BY 1, 2)
     SELECT price_at, CAST(n AS BIGINT) AS n, ww AS width, CASE WHEN n >= 10 THEN s / n END AS rate FROM (SELECT *, row_number() OVER (PARTITION BY price_at ORDER BY CASE WHEN n >= 60 THEN 0 ELSE 1 END, CASE WHEN n >= 60 THEN ww ELSE -ww END) AS i FROM w) y WHERE i = 1""", "price_at width rate")
-def price_windows_all(spark, sf):
+def price_windows(spark, sf):
     g = games(spark, sf)
     return A.price_window(g.select(F.col("home_ml").alias("price_at")).distinct(), g, "price_at", "home_ml", "won", 2.0, 6.0)
 

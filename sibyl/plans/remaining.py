@@ -103,10 +103,11 @@ def listed_share(spark, sf):
     return J.listing_share(games(spark, sf), _reports(spark, sf), ["team"], ["basis", "season"])
 
 
-@query("F11", "SELECT game_id, CASE WHEN won IS NULL AND slate < DATE '1998-01-01' THEN 'result' ELSE 'close' END AS why FROM (SELECT game_id, slate, CASE WHEN margin > 0 THEN won END AS won, CASE WHEN spread > 0 THEN close_home_ml END AS c FROM g) t WHERE (slate < DATE '1998-01-01' AND won IS NULL) OR (slate BETWEEN DATE '1997-12-25' AND DATE '1998-01-01' AND won IS NOT NULL AND c IS NULL)")
+@query("F11", """SELECT game_id, CASE WHEN won IS NULL THEN 'result' ELSE 'close' END AS why FROM (SELECT game_id, slate, CASE WHEN margin > 0 THEN won END AS won, CASE WHEN spread > 0 THEN close_home_ml END AS h, close_away_ml AS a FROM g) t
+    WHERE slate < DATE '1998-01-01' AND (won IS NULL OR (slate >= DATE '1997-12-25' AND (h IS NULL OR a IS NULL)))""")
 def pending_games(spark, sf):
     c = F.col
-    g = games(spark, sf).select("game_id", "slate", F.when(c("margin") > 0, c("won")).alias("won"), F.when(c("spread") > 0, c("close_home_ml")).alias("close_ml"))
+    g = games(spark, sf).select("game_id", "slate", F.when(c("margin") > 0, c("won")).alias("won"), F.when(c("spread") > 0, c("close_home_ml")).alias("close_home_ml"), "close_away_ml")
     return K.pending(g, "1998-01-01").select("game_id", "why")
 
 
@@ -228,10 +229,15 @@ def rookie_values(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", E.rookie_value(F.col("o_orderkey") + 1, 3.0, -0.5, -2.0).alias("value"))
 
 
-@query("P15", "SELECT game_id, CASE WHEN p > 0.9 THEN p - 0.03025e0 WHEN p < 0.0605 THEN p + 0.01e0 ELSE (p + 0.01e0) / ((p + 0.01e0) + (1 - p + 0.03025e0)) END AS q FROM g", "q")
+_ASK = "({0} + 0.07e0 * {0} * (1 - {0}))"
+
+
+@query("P15", f"""SELECT game_id, (hb + ha) / 2 / ((hb + ha) / 2 + (ab + aa) / 2) AS mid, CASE WHEN ha < 1 AND aa < 1 THEN coalesce((hb + ha) / 2 / ((hb + ha) / 2 + (ab + aa) / 2), {_ASK.format('ha')} / ({_ASK.format('ha')} + {_ASK.format('aa')})) END AS q
+    FROM (SELECT game_id, CASE WHEN p <= 0.9 THEN p END AS hb, p + 0.02e0 AS ha, CASE WHEN p >= 0.2 THEN 1 - p END AS ab, 1 - p + 0.0605e0 AS aa FROM g) t""", "mid q")
 def mid_chances(spark, sf):
     p = F.col("p")
-    return games(spark, sf).select("game_id", P.mid_q(F.when(p <= 0.9, p), p + 0.02, 1 - p, 1 - p + 0.0605).alias("q"))
+    sides = (F.when(p <= 0.9, p), p + 0.02, F.when(p >= 0.2, 1 - p), 1 - p + 0.0605)
+    return games(spark, sf).select("game_id", P.mid_q(*sides).alias("mid"), P.quoted_q(*sides).alias("q"))
 
 
 @query("T14", "SELECT vec_id, list_inner_product(list_transform(embedding, lambda x: x::DOUBLE / 2), list_transform(embedding, lambda x: x::DOUBLE)) AS product FROM embeddings", "product")

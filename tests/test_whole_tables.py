@@ -1,4 +1,4 @@
-"""Queries named *_all leave out no row, day, season or key of their table."""
+"""These queries leave out no row, day, season or key of their table."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from sibyl.plans.driver import GAMES_SQL
 
 SF = "/root/testdata/sf0.001"
 ROWS = {
-    "odds_feed_all": "count(*)", "scoreboard_feed_all": "count(*)", "nested_prop_feed_all": "count(*)", "due_games_all": "count(*)", "graded_log_all": "count(*)",
-    "aged_refits_all": "count(DISTINCT day)", "price_windows_all": "count(DISTINCT home_ml)",
+    "odds_feed": "count(*)", "scoreboard_feed": "count(*)", "nested_prop_feed": "count(*)", "due_games": "count(*)", "graded_log": "count(*)",
+    "aged_refits": "count(DISTINCT day)", "price_windows": "count(DISTINCT home_ml)",
 }
 
 
@@ -29,11 +29,11 @@ def test_rows_of_all_games(spark, value, name):
     assert catalog.QUERIES[name](spark, SF).count() == value(f"SELECT {ROWS[name]} FROM g")
 
 
-@pytest.mark.parametrize("name", ["rule_lineage_all", "team_codes_all"])
+@pytest.mark.parametrize("name", ["rule_lineage", "team_codes"])
 def test_rows_of_all_customers(spark, value, name):
     assert catalog.QUERIES[name](spark, SF).count() == value("SELECT count(*) FROM customer")
 
 
 def test_all_forecasts_and_seasons(spark, value):
-    assert catalog.QUERIES["forward_score_all"](spark, SF).first()["n"] == value("SELECT count(*) FROM g")
-    assert catalog.QUERIES["band_matrix_all"](spark, SF).columns == ["pb", *map(str, value("SELECT list_sort(list(DISTINCT season)) FROM g"))]
+    assert catalog.QUERIES["forward_score"](spark, SF).first()["n"] == value("SELECT count(*) FROM g")
+    assert catalog.QUERIES["band_matrix"](spark, SF).columns == ["pb", *map(str, value("SELECT list_sort(list(DISTINCT season)) FROM g"))]
