@@ -127,7 +127,7 @@ def positional_fill(missing: DataFrame, present: DataFrame, group: Sequence[str]
     nobody is near. Rows of present with `extra`, 0 without missing players; allocate (V02) scales and caps the sums."""
     m = missing.where(F.col(minutes) > 0).select(*group, F.col("id").alias("gone"), F.col(position).alias("_pm"), F.col(minutes).alias("_mm"))
     p = present.select(*group, "id", F.col(position).alias("_pp"), F.col(minutes).alias("_e"))
-    near = F.when(F.col("_pm").isNull(), 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.col("_pp") - F.col("_pm")) / 2), F.lit(unknown)))
+    near = F.when(F.col("_pm").isNull(), 1.0).when(F.col("_pp").isNull(), unknown).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("_pp") - F.col("_pm")) / 2))
     own = Window.partitionBy(*group, "gone")
     j = m.join(p, list(group)).withColumn("_w", F.col("_e") * near)
     share = F.when(F.sum("_w").over(own) > 0, F.col("_w") / F.sum("_w").over(own)).otherwise(F.col("_e") / F.sum("_e").over(own))

@@ -441,13 +441,6 @@ def water_filling(spark, sf):
     return V.allocate(li, ["l_orderkey"], "q", 100.0, 40.0, ["l_partkey"]).select("l_orderkey", "l_partkey", "allocated")
 
 
-@query("E06 E07 E08 E09", None)
-def live_chances(spark, sf):
-    c = F.col
-    g = games(spark, sf)
-    left = (c("game_id") % 10) / 10.0
-    return g.select("game_id", E.p_over(c("total"), F.lit(220.5), c("game_id") % 20, 19.0, 17.0).alias("p_over"), E.brownian_win(c("margin") / 4, c("spread"), left, 13.0).alias("live"), E.route(F.when(c("game_id") % 3 == 0, c("p")), c("p"), F.lit(0.5), "v11")["tag"].alias("tag"))
-
 
 @query("E20 E05", "WITH t AS (SELECT event_id, game, value, quantile_cont(value, 0.9) OVER (PARTITION BY game) AS cut, percent_rank() OVER (PARTITION BY game ORDER BY value) AS r FROM e) SELECT event_id, greatest(value - cut, 0) AS star, r AS rank_share, r * r AS rank_power FROM t", "star rank_share rank_power")
 def star_terms(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import features as E
 from ..functions import prices as P
+from ..functions.normal import norm_cdf_sql
 from ..operators import causal as W
 from ..operators import fit as M
 from ..operators import joins as J
@@ -110,13 +111,26 @@ def win_share_rows(spark, sf):
     return E.win_shares(t.join(league, "season"), "p", "t", "o", "l").select("game_id", "offence", "defence")
 
 
-@query("E09", None)
+_LIVE = "WITH x AS (SELECT *, margin / 4 AS lead_now, game_id % 10 / 10e0 AS left_now FROM g), y AS (SELECT *, CASE WHEN left_now <= 0 THEN 300 / 2880e0 ELSE left_now END AS t FROM x)"
+_OVER = "CASE WHEN left_now <= 0 AND lead_now <> 0 THEN CASE WHEN lead_now > 0 THEN 1e0 ELSE 0e0 END ELSE {0} END"
+
+
+@query("E09", f"{_LIVE}, z AS (SELECT *, (0.08e0 - 0.01e0 * t) * lead_now / sqrt(t) + (CASE WHEN t <= 0.5 THEN 0.07e0 ELSE 0.07e0 + (t - 0.5e0) * 0.01e0 END) * spread * sqrt(t) AS z FROM y) SELECT game_id, {_OVER.format(norm_cdf_sql('z'))} AS p FROM z", "p")
 def live_wins(spark, sf):
     c = F.col
     left = (c("game_id") % 10) / 10.0
     return games(spark, sf).select("game_id", E.live_win(c("margin") / 4, c("spread"), left, [0.0, 0.5, 1.0], F.array(F.lit(0.08), F.lit(0.075), F.lit(0.07)), F.array(F.lit(0.07), F.lit(0.07), F.lit(0.075))).alias("p"))
 
 
+@query("E06 E07 E08 E09", f"""{_LIVE}, z AS (SELECT *, (total - 220.5e0) / CASE WHEN game_id % 20 < 10 THEN 19 ELSE 17 END AS o, (lead_now + spread * t) / (13 * sqrt(t)) AS b FROM y)
+    SELECT game_id, {norm_cdf_sql('o')} AS p_over, {_OVER.format(norm_cdf_sql('b'))} AS live, CASE WHEN game_id % 3 = 0 THEN 'report_v11' ELSE 'base_v11' END AS tag FROM z""", "p_over live")
+def live_chances(spark, sf):
+    c = F.col
+    g = games(spark, sf)
+    left = (c("game_id") % 10) / 10.0
+    return g.select("game_id", E.p_over(c("total"), F.lit(220.5), c("game_id") % 20, 19.0, 17.0).alias("p_over"), E.brownian_win(c("margin") / 4, c("spread"), left, 13.0).alias("live"), E.route(F.when(c("game_id") % 3 == 0, c("p")), c("p"), F.lit(0.5), "v11")["tag"].alias("tag"))
+
+
 # ---------------------------------------------------------------- books, reports, rosters
 
 
@@ -156,7 +170,7 @@ def roster_before(spark, sf):
 
 
 _FILL = """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS m, CASE WHEN l_partkey % 7 > 0 THEN CAST(1 + l_partkey % 5 AS DOUBLE) END AS pos, l_suppkey % 4 = 0 AS gone FROM lineitem),
-    j AS (SELECT p.l_orderkey, p.l_linenumber, q.l_linenumber AS g, q.m AS mm, p.m AS e, p.m * CASE WHEN q.pos IS NULL THEN 1 ELSE coalesce(greatest(0, 1 - abs(p.pos - q.pos) / 2), 0.5) END AS w FROM x p JOIN x q ON p.l_orderkey = q.l_orderkey AND q.gone AND NOT p.gone),
+    j AS (SELECT p.l_orderkey, p.l_linenumber, q.l_linenumber AS g, q.m AS mm, p.m AS e, p.m * CASE WHEN q.pos IS NULL THEN 1 WHEN p.pos IS NULL THEN 0.5 ELSE greatest(0, 1 - abs(p.pos - q.pos) / 2) END AS w FROM x p JOIN x q ON p.l_orderkey = q.l_orderkey AND q.gone AND NOT p.gone),
     s AS (SELECT *, sum(w) OVER o AS sw, sum(e) OVER o AS se FROM j WINDOW o AS (PARTITION BY l_orderkey, g)),
     f AS (SELECT l_orderkey, l_linenumber, sum(mm * CASE WHEN sw > 0 THEN w / sw ELSE e / se END) AS extra FROM s GROUP BY 1, 2)
     SELECT x.l_orderkey, x.l_linenumber, coalesce(extra, 0) AS extra FROM x LEFT JOIN f USING (l_orderkey, l_linenumber) WHERE NOT gone"""
