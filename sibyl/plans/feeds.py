@@ -14,7 +14,7 @@ from ..operators import walk as B
 from ..sources import feeds as S
 from ..streaming import snapshots as X
 from .driver import games, query, table, ticks
-from .prices import QSQL, UNITS, priced
+from .prices import QSQL, UNITS, _DEC, _LOGIT, priced
 
 
 def _american(c):
@@ -261,7 +261,12 @@ def shrunk_bins(spark, sf):
     return M.shrunk_bins(games(spark, sf), "book", "points", "total")
 
 
-@query("B09", None)
+_HOME, _AWAY_GAIN = f"s * ({_DEC.format('home_ml')}) - 1", f"(1 - s) * ({_DEC.format('away_ml')}) - 1"
+
+
+@query("B09", f"""WITH a AS (SELECT *, {QSQL} AS q FROM g), b AS (SELECT *, 1 / (1 + exp(-({_LOGIT.format('q')} + 0.5e0 * ({_LOGIT.format('p')} - {_LOGIT.format('q')})))) AS s FROM a WHERE q IS NOT NULL),
+    c AS (SELECT *, CASE WHEN {_HOME} > 0 AND {_HOME} >= coalesce({_AWAY_GAIN}, -1e300) THEN 'home' WHEN {_AWAY_GAIN} > 0 THEN 'away' END AS bet FROM b), d AS (SELECT *, CASE WHEN bet = 'home' THEN home_ml ELSE away_ml END AS ml FROM c WHERE bet IS NOT NULL)
+    SELECT season, bet, count(*) AS n, sum(CASE WHEN (bet = 'home') = (won = 1) THEN {_DEC.format('ml')} - 1 ELSE -1e0 END) AS units FROM d GROUP BY 1, 2""", "units")
 def shadow_record(spark, sf):
     return B.shadow_record(priced(spark, sf), "p", "q", 0.5, "home_ml", "away_ml", "won").groupBy("season", "bet").agg(F.count("*").alias("n"), F.sum("bet_units").alias("units"))
 

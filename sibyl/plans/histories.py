@@ -332,7 +332,12 @@ def line_moves(spark, sf):
     return B.line_moves(priced(spark, sf).where("cq is not null and q is not null"), [], "p", "q", "cq", [0.0, 0.1])
 
 
-@query("B15", None)
+_BAND_OF = "CAST(spread > c1 AS INT) + CAST(spread > c2 AS INT) + CAST(spread > c3 AS INT)"
+
+
+@query("B15", f"""WITH x AS (SELECT season, spread, margin + spread AS res FROM g), t AS (SELECT test, spread, res FROM x JOIN (SELECT DISTINCT season AS test FROM g) s ON season < test),
+    k AS (SELECT test, quantile_cont(spread, 0.25) AS c1, quantile_cont(spread, 0.5) AS c2, quantile_cont(spread, 0.75) AS c3 FROM t GROUP BY 1), d AS (SELECT test, {_BAND_OF} AS band, CAST(sign(median(res)) AS DOUBLE) AS side FROM t JOIN k USING (test) GROUP BY 1, 2)
+    SELECT y.season, y.band, count(*) AS n, max(side) AS side FROM (SELECT season, {_BAND_OF} AS band FROM x JOIN k ON season = test) y JOIN d ON d.test = y.season AND d.band = y.band GROUP BY 1, 2""", "side")
 def band_rule(spark, sf):
     return B.band_rule(games(spark, sf).withColumn("res", F.col("margin") + F.col("spread")), "season", "spread", "res").groupBy("season", "band").agg(F.count("*").alias("n"), F.max("side").alias("side"))
 
@@ -435,7 +440,9 @@ def closed_dates(spark, sf):
     return S.open_dates(t, t.where("false").select("day"), "day", "state")[1]
 
 
-@query("V02", None)
+@query("V02", """WITH li AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w - 1 AS k, sum(q) OVER (PARTITION BY l_orderkey) - (sum(q) OVER w - q) AS rest FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY q DESC, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    x AS (SELECT l_orderkey, min_by((100 - k * 40) / rest, k) AS level FROM r WHERE q * (100 - k * 40) / rest <= 40 GROUP BY 1)
+    SELECT li.l_orderkey, l_partkey, CAST(least(40, coalesce(q * level, 40)) AS DOUBLE) AS allocated FROM li LEFT JOIN x USING (l_orderkey)""", "allocated")
 def water_filling(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     return V.allocate(li, ["l_orderkey"], "q", 100.0, 40.0, ["l_partkey"]).select("l_orderkey", "l_partkey", "allocated")
