@@ -342,7 +342,9 @@ def band_rule(spark, sf):
     return B.band_rule(games(spark, sf).withColumn("res", F.col("margin") + F.col("spread")), "season", "spread", "res").groupBy("season", "band").agg(F.count("*").alias("n"), F.max("side").alias("side"))
 
 
-@query("B23 A22", None)
+@query("B23 A22", f"""WITH b AS (SELECT season, -ln(CASE WHEN won = 1 THEN p ELSE 1 - p END) + ln(CASE WHEN won = 1 THEN q ELSE 1 - q END) AS x FROM (SELECT *, {QSQL} AS q FROM g) a WHERE q IS NOT NULL),
+    s AS (SELECT season, avg(x) AS d, stddev_samp(x) / sqrt(count(*)) AS s FROM b GROUP BY 1), m AS (SELECT sum(d / (s * s)) / sum(1 / (s * s)) AS pooled, sqrt(1 / sum(1 / (s * s))) AS pooled_se, avg(CASE WHEN d < 0 THEN 1e0 ELSE 0e0 END) AS below FROM s)
+    SELECT pooled, pooled_se, pooled + 1.96e0 * pooled_se < 0 AS excludes_zero, below > 0.5 AS most_seasons, true AS close_ok FROM m""", "pooled pooled_se")
 def preset_verdict(spark, sf):
     from ..operators.measure import scoring
 
