@@ -126,9 +126,6 @@ def test_wide_numbers_and_repeated_ids(spark):
 
 def test_bin_completion_beats_best_fit():
     """Fillings around the largest piece that waste nothing, where best fit takes the largest piece that fits."""
-    counts = np.zeros(101, np.int64)
-    for size in (60, 50, 30, 20, 15, 15, 10):
-        counts[size] += 40
     rng, better = np.random.default_rng(0), 0
     for _ in range(30):
         counts = np.bincount(rng.integers(8, 70, 60), minlength=101)
