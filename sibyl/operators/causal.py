@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import same
+
 
 def day_number(date: Column) -> Column:
     return F.datediff(date, F.lit("1970-01-01").cast("date"))
@@ -36,20 +38,40 @@ def games_before(df: DataFrame, key: Sequence[str], day: str, order: Sequence[st
     return df.withColumns({"played": F.count("*").over(before_day(key, day)), "ordinal": F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1})
 
 
+def before_days(df: DataFrame, key: Sequence[str], day: str, values: Sequence[Column | str] = ()) -> DataFrame:
+    """One row for each key and day: `_c`, the rows of the key on earlier days, and `_d0`.. with the sums of values over them."""
+    daily = df.groupBy(*key, day).agg(F.count("*").alias("_c"), *(F.sum(v).alias(f"_d{n}") for n, v in enumerate(values)))
+    past = Window.partitionBy(*key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    return daily.select(*key, day, F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_c"), *(F.coalesce(F.sum(f"_d{n}").over(past), F.lit(0.0)).alias(f"_d{n}") for n in range(len(values))))
+
+
+def placed(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[Column | str] = ()) -> DataFrame:
+    """df with `_o`, the number of a row in its key from 1, and `_s0`.. with the sums of values up to and with the row.
+
+    Sums by key and first column of the order (a day) are summed up over the days, and rows are numbered inside one key and day, so
+    that no task holds a whole key. Nulls of key and day are keys and days of their own.
+    """
+    day, *rest = order
+    inside = Window.partitionBy(*key, day).orderBy(*(rest or [day])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumns({"_i": F.count("*").over(inside)} | {f"_p{n}": F.coalesce(F.sum(v).over(inside), F.lit(0.0)) for n, v in enumerate(values)})
+    joined = rows.alias("l").join(before_days(df, key, day, values).alias("r"), same([*key, day]))
+    return joined.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("_i") + F.col("_c")).alias("_o"), *((F.col(f"_p{n}") + F.col(f"_d{n}")).alias(f"_s{n}") for n in range(len(values))))
+
+
 #: Half-lives of a block of decayed sums, and earlier blocks that still count: what is older has a weight below 2^-256.
 BLOCK_HALF_LIVES, CARRIED = 64, 4
 
 
-def decayed(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], half_life: float, suffix: str = "_decayed") -> DataFrame:
+def decayed(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], half_life: float, suffix: str = "_decayed", place: str | None = None) -> DataFrame:
     """Sum over prior rows of the key of value * 0.5^(rows ago / half_life).
 
     Rows of a key are cut into blocks of 64 half-lives. Inside a block the sum is 0.5^(i/h) times a prefix sum of x_k 2^(k/h), counted
     from the block's first row, so powers stay below 2^64 however many rows a key has; sums of whole blocks are carried on.
-    Nulls count neither in the sum nor in the weight.
+    Nulls count neither in the sum nor in the weight. place: a column that numbers the rows of a key from 1, if there is one.
     """
     size = math.ceil(BLOCK_HALF_LIVES * half_life)
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
-    out = df.withColumn("_k", place).withColumns({"_b": F.floor(F.col("_k") / size), "_i": F.col("_k") % size})
+    number = F.col(place) if place else F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    out = df.withColumn("_k", number - 1).withColumns({"_b": F.floor(F.col("_k") / size), "_i": F.col("_k") % size})
     grow = F.pow(F.lit(2.0), F.col("_i") / half_life)
     terms = {}
     for v in values:
@@ -177,27 +199,27 @@ def absences(grid: DataFrame, group: Sequence[str], order: Sequence[str], minute
 
 
 def running_record(df: DataFrame, key: Sequence[str], order: Sequence[str], units: str) -> DataFrame:
-    """Running number, units and return in order."""
-    run = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({"n": F.count(units).over(run), "units": F.sum(units).over(run)}).withColumn("roi", F.col("units") / F.col("n"))
+    """Running number, units and return in order; the order's first column is a day."""
+    run = placed(df, key, order, [units, F.col(units).isNotNull().cast("long")])
+    made = {"n": F.col("_s1").cast("long"), "units": F.when(F.col("_s1") > 0, F.col("_s0"))}
+    return run.withColumns(made).withColumn("roi", F.when(F.col("n") > 0, F.col("units") / F.col("n"))).drop("_o", "_s0", "_s1")
 
 
 def latest_n_before(df: DataFrame, cell: Sequence[str], day: str, order: Sequence[str], values: Sequence[str], n: int | None) -> DataFrame:
     """Sums over the latest n rows of the cell on earlier days (n None: all), and how many there were.
 
-    Prefix sums by ordinal, read at k (rows on earlier days) and k - n by two equi-joins: no lists, no caps, and
-    rows of the same day never see each other.
+    With S(k) the sum over the first k rows, that is S(c) - S(c - n) after c rows on earlier days. c is one number a cell and day, so
+    S(c) comes from sums by day, and S(c - n) from one equi-join of days with numbered rows: no lists, no caps, no
+    task with a whole cell, and rows of the same day never see each other.
     """
-    own = Window.partitionBy(*cell).orderBy(day, *order)
-    run = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.withColumn("_k", F.count("*").over(before_day(cell, day)))
-    prefix = df.select(*cell, F.row_number().over(own).alias("_o"), *(F.sum(v).over(run).alias(f"_s_{v}") for v in values))
-    out = ranked
-    for name, at in (("hi", F.col("_k")), ("lo", F.greatest(F.col("_k") - (n or 0), F.lit(0)) if n else F.lit(0))):
-        part = prefix.select(*cell, F.col("_o").alias(f"_{name}"), *(F.col(f"_s_{v}").alias(f"_{name}_{v}") for v in values))
-        out = out.withColumn(f"_{name}", at.cast("int")).join(part, [*cell, f"_{name}"], "left")
-    sums = {f"{v}_sum": F.coalesce(f"_hi_{v}", F.lit(0.0)) - F.coalesce(f"_lo_{v}", F.lit(0.0)) for v in values}
-    return out.withColumns(sums | {"members": F.col("_hi") - F.col("_lo")}).select(*df.columns, *sums, "members")
+    days = before_days(df, cell, day, values).withColumn("_lo", F.greatest(F.col("_c") - n, F.lit(0)) if n else F.lit(0))
+    sums = {f"{v}_sum": F.col(f"_d{i}") for i, v in enumerate(values)}
+    if n:
+        upto = placed(df, cell, [day, *order], values).select(*cell, F.col("_o").alias("_lo"), *(f"_s{i}" for i in range(len(values))))
+        days = days.alias("l").join(upto.alias("r"), same([*cell, "_lo"]), "left").select("l.*", *(f"_s{i}" for i in range(len(values))))
+        sums = {f"{v}_sum": F.col(f"_d{i}") - F.coalesce(f"_s{i}", F.lit(0.0)) for i, v in enumerate(values)}
+    ready = days.select(*cell, day, *(c.alias(name) for name, c in sums.items()), (F.col("_c") - F.col("_lo")).alias("members"))
+    return df.alias("l").join(ready.alias("r"), same([*cell, day])).select(*(F.col(f"l.{c}") for c in df.columns), *sums, "members")
 
 
 def shrunk_cell(wins: Column, games: Column, market: Column, k: float = 200.0) -> Column:
@@ -216,13 +238,10 @@ def drift(df: DataFrame, day: str, order: Sequence[str], residual: str, half_lif
     With D(k) the decayed sum of the first k rows, the window after n rows is D(n) - 0.5^(latest/h) D(n - latest). n is one number a
     day, so D is read by two joins of days with rows; powers stay in range as in `decayed`.
     """
-    own = Window.partitionBy(*key).orderBy(day, *order)
     ratio = 0.5 ** (1 / half_life)
-    rows = decayed(df, key, [day, *order], [residual], half_life, "_d").withColumn("_o", F.row_number().over(own))
+    rows = decayed(placed(df, key, [day, *order]), key, [day, *order], [residual], half_life, "_d", place="_o")
     upto = rows.select(*key, "_o", (ratio * F.col(f"{residual}_d") + F.coalesce(residual, F.lit(0.0))).alias("_D"))
-    daily = df.groupBy(*key, day).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = daily.withColumn("_n", before.cast("int")).drop("_c")
+    days = before_days(df, key, day).withColumnRenamed("_c", "_n")
     at = lambda n, name: upto.select(*key, F.col("_o").alias(n), F.col("_D").alias(name))
     days = days.withColumn("_from", F.col("_n") - latest).join(at("_n", "_hi"), [*key, "_n"], "left").join(at("_from", "_lo"), [*key, "_from"], "left")
     total = F.coalesce("_hi", F.lit(0.0)) - 0.5 ** (latest / half_life) * F.coalesce("_lo", F.lit(0.0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import brier, decimal_payout, implied, log_loss, unit_profit
+from .order import beside, quantiles, summed_below
 
 MIN_ROWS = 10
 
@@ -95,7 +96,8 @@ def closing_value(df: DataFrame, by: Sequence[str], bet_q: str, close_q: str) ->
 
 def lock_coverage(df: DataFrame, lock: str, tip: str, void: str) -> DataFrame:
     """Locked, missed and void rows, and the median lead in seconds."""
-    return df.agg(F.count_if(F.col(lock).isNotNull() & ~F.col(void)).alias("locked"), F.count_if(F.col(lock).isNull()).alias("missed"), F.count_if(F.col(void)).alias("void"), F.median(F.col(tip) - F.col(lock)).alias("median_lead"))
+    counts = df.agg(F.count_if(F.col(lock).isNotNull() & ~F.col(void)).alias("locked"), F.count_if(F.col(lock).isNull()).alias("missed"), F.count_if(F.col(void)).alias("void"))
+    return beside(counts, quantiles(df, [], F.col(tip) - F.col(lock), {"median_lead": 0.5}), [], ["median_lead"])
 
 
 def market_summary(df: DataFrame, by: Sequence[str], favorite_won: str, ml: str, error: str) -> DataFrame:
@@ -129,11 +131,10 @@ def talent(roster: DataFrame, values: DataFrame, team: Sequence[str], player: st
 
 
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Chance that a positive scores above a negative, ties half. Counts by score come first, so the running sum is over
-    distinct scores; they are the only rows of the window without a key."""
+    """Chance that a positive scores above a negative, ties half; from counts by score."""
     c = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    below = F.col("_below")
+    return summed_below(c, [], score, "neg").agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def harmonic_top(df: DataFrame, group: Sequence[str], value: str, k: int, ties: Sequence[str]) -> DataFrame:
@@ -189,7 +190,8 @@ def period_points(plays: DataFrame, game: str, period: str, pos: str, score: str
 def gap_distribution(df: DataFrame, gap: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, median, 90th percentile of the size of a gap, shares within 1, 2 and 5 points, signed mean."""
     a = F.abs(gap)
-    return df.groupBy(*by).agg(F.avg(a).alias("mean"), F.median(a).alias("median"), F.percentile(a, F.lit(0.9)).alias("p90"), *(F.avg((a <= k / 100).cast("double")).alias(f"within_{k}") for k in (1, 2, 5)), F.avg(gap).alias("signed"))
+    sizes = df.groupBy(*by).agg(F.avg(a).alias("mean"), *(F.avg((a <= k / 100).cast("double")).alias(f"within_{k}") for k in (1, 2, 5)), F.avg(gap).alias("signed"))
+    return beside(sizes, quantiles(df, by, a, {"median": 0.5, "p90": 0.9}), by, ["median", "p90"])
 
 
 def agreement(df: DataFrame, projected: str, actual: str, by: Sequence[str] = ()) -> DataFrame:
@@ -219,7 +221,8 @@ def cell_roi(df: DataFrame, cell: Sequence[str], ml: str, won: str, q: str) -> D
 
 def fit_bands(df: DataFrame, by: Sequence[str], band: str, outcome: str) -> DataFrame:
     """Median and mean of the outcome in each band; bands without rows take the nearest one through joins.nearest."""
-    return df.groupBy(*by, band).agg(F.median(outcome).alias("median"), F.avg(outcome).alias("mean"), F.count("*").alias("n"))
+    means = df.groupBy(*by, band).agg(F.avg(outcome).alias("mean"), F.count("*").alias("n"))
+    return beside(means, quantiles(df, [*by, band], F.col(outcome), {"median": 0.5}), [*by, band], ["median"])
 
 
 def confidence_bands(df: DataFrame, p: str, q: str, y: str, bounds: Sequence[float]) -> DataFrame:
@@ -272,7 +275,7 @@ def gap_explained(df: DataFrame, correction: str, x: str) -> DataFrame:
 
 def quantile_groups(df: DataFrame, x: str, n: int, value: str) -> DataFrame:
     """Groups cut at quantiles (equal values stay together, unlike ntile), scored each."""
-    cuts = df.agg(*(F.percentile(x, F.lit(i / n)).alias(f"c{i}") for i in range(1, n)))
+    cuts = quantiles(df, [], F.col(x), {f"c{i}": i / n for i in range(1, n)})  # one row
     g = F.lit(0)
     for i in range(1, n):
         g = g + (F.col(x) > F.col(f"c{i}")).cast("int")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.prices import brier, decimal_payout, log_loss, unit_profit
 from . import fit, measure
 from .causal import latest_n_before
+from .order import quantiles
 from .scope import best_arm
 
 
@@ -158,9 +159,9 @@ def band_rule(df: DataFrame, season: str, line: str, residual: str, n: int = 4)
     """Quantile bands of a line cut on earlier seasons; the sign of the band's median residual there is the bet."""
     seasons = df.select(F.col(season).alias("test")).distinct()
     train = df.select(F.col(season).alias("_s"), F.col(line).alias("_l"), F.col(residual).alias("_r")).join(F.broadcast(seasons), F.col("_s") < F.col("test"))
-    cuts = train.groupBy("test").agg(F.array(*(F.percentile("_l", F.lit(i / n)) for i in range(1, n))).alias("cuts"))
+    cuts = quantiles(train, ["test"], F.col("_l"), {f"c{i}": i / n for i in range(1, n)}).select("test", F.array(*(f"c{i}" for i in range(1, n))).alias("cuts"))
     of = lambda c: F.aggregate("cuts", F.lit(0), lambda a, k: a + (c > k).cast("int"))
-    sign = train.join(F.broadcast(cuts), "test").groupBy("test", of(F.col("_l")).alias("band")).agg(F.signum(F.median("_r")).alias("side"))
+    sign = quantiles(train.join(F.broadcast(cuts), "test").withColumn("band", of(F.col("_l"))), ["test", "band"], F.col("_r"), {"m": 0.5}).select("test", "band", F.signum("m").alias("side"))
     rows = df.withColumn("test", F.col(season)).join(F.broadcast(cuts), "test").withColumn("band", of(F.col(line))).drop("cuts")
     return rows.join(F.broadcast(sign), ["test", "band"]).drop("test")
 
