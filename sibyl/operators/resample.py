@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 
 def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) from the first 52 bits of a digest that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_weight(u: Column) -> Column:
-    """How often a cluster is drawn: Poisson of mean 1 by inversion (the limit of multinomial counts)."""
-    total, term, out = 0.0, 0.36787944117144233, F.lit(8)
-    cuts = []
+def poisson_cuts() -> list[float]:
+    """Chances that a Poisson number of mean 1 is at most 0, 1, .. 7."""
+    total, term, cuts = 0.0, 0.36787944117144233, []
     for k in range(8):
         total += term
-        cuts.append((k, total))
+        cuts.append(total)
         term /= k + 1
-    for k, c in reversed(cuts):
+    return cuts
+
+
+def poisson_weight(u: Column) -> Column:
+    """How often a cluster is drawn: Poisson of mean 1 by inversion (the limit of multinomial counts)."""
+    out = F.lit(8)
+    for k, c in reversed(list(enumerate(poisson_cuts()))):
         out = F.when(u < c, k).otherwise(out)
     return out.cast("double")
 

@@ -14,6 +14,7 @@ from ..operators import walk as B
 from ..sources import feeds as S
 from ..streaming import snapshots as X
 from .driver import games, query, table, ticks
+from .oracles import newton_sql, terms_sql
 from .prices import QSQL, UNITS, _DEC, _LOGIT, priced
 
 
@@ -237,7 +238,7 @@ def staged_fit(spark, sf):
     return _fit_rows(spark, list(terms), list(terms.values()))
 
 
-@query("M08 M09 M16", None)
+@query("M08 M09 M16", f"{newton_sql(f'(SELECT *, {QSQL} AS q FROM g) a WHERE q IS NOT NULL', ['spread'], 'won', offset='ln(q / (1 - q))', penalty=2.0, cluster='slate', sandwich=True)} {terms_sql(['spread', 'one'])}", "coef se")
 def offset_fit(spark, sf):
     g = priced(spark, sf).where("q is not null")
     fit = M.glm(g, ["spread"], "won", offset=P.logit(F.col("q")), l2=[2.0], cluster="slate")

@@ -16,6 +16,7 @@ from ..operators import walk as B
 from ..sources import feeds as S
 from ..streaming import snapshots as X
 from .driver import games, query, table, ticks
+from .oracles import drawn_sql, newton_sql, terms_sql, uniform_sql
 from .prices import _DEC, CQ, QSQL, UNITS, priced
 
 _BEFORE = "(PARTITION BY {0} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -370,30 +371,38 @@ def ladder_means(spark, sf):
     return M.ladder_mean(li.withColumn("over", F.least(F.lit(0.95), F.greatest(F.lit(0.05), 1.1 - c("line") / 50 + c("d")))), ["l_partkey"], "line", "over")
 
 
-@query("M02 M11 M12 M07", None)
+_WITH_Q, _LOGIT_P, _LOGIT_Q = f"(SELECT *, {QSQL} AS q FROM g) a WHERE q IS NOT NULL", "ln(p / (1 - p))", "ln(q / (1 - q))"
+
+
+@query("M02 M11 M12 M07", f"{newton_sql(_WITH_Q, [_LOGIT_P, _LOGIT_Q], 'won', penalty=1.0, cluster='slate', sandwich=True)} {terms_sql(['p', 'q', 'one'])}", "coef se")
 def calibration_fit(spark, sf):
     g = M.glm(priced(spark, sf).where("q is not null"), [P.logit(F.col("p")), P.logit(F.col("q"))], "won", l2=1.0, cluster="slate")
     return spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(["p", "q", "one"], g.beta, g.se, strict=True)], "term string, coef double, se double")
 
 
-@query("R01 R02", None)
+@query("R01 R02", f"""WITH s AS (SELECT season, slate, sum(abs(points - total) - abs(points - 220)) AS s, count(*) AS n FROM g GROUP BY 1, 2), r AS (SELECT season, rep, sum(k * s) / nullif(sum(k * n), 0) AS m FROM {drawn_sql('s', 'slate', 11)} d GROUP BY 1, 2),
+    p AS (SELECT season, sum(s) / sum(n) AS mean FROM s GROUP BY 1) SELECT season, any_value(mean) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_samp(m) AS se FROM r JOIN p USING (season) GROUP BY 1""", "mean lo hi se")
 def cluster_bootstrap(spark, sf):
     g = games(spark, sf).withColumns({"a": F.abs(F.col("points") - F.col("total")), "b": F.abs(F.col("points") - 220)})
     return R.paired_bootstrap(g, "slate", "a", "b", by=["season"])
 
 
-@query("R03", None)
+@query("R03", f"""WITH s AS (SELECT slate, x, sum(abs(points - x)) AS s FROM g, (SELECT unnest([218e0, 222e0, 226e0]) AS x) c GROUP BY 1, 2), r AS (SELECT rep, x, sum(k * s) AS l FROM {drawn_sql('s', 'slate', 12)} d GROUP BY 1, 2)
+    SELECT x, count(*) AS times FROM (SELECT x, row_number() OVER (PARTITION BY rep ORDER BY l, x) AS place FROM r) t WHERE place = 1 GROUP BY 1""", "x")
 def argmin_bootstrap(spark, sf):
     g = games(spark, sf).select("slate", F.explode(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.abs(F.col("points") - x).alias("l")) for x in (218, 222, 226)))).alias("z")).select("slate", "z.*")
     return R.argmin_bootstrap(g, "slate", "x", "l")
 
 
-@query("R04", None)
+@query("R04", f"""WITH s AS (SELECT slate, count(*) AS n, sum(spread) AS sx, sum(margin) AS sy, sum(spread * spread) AS sxx, sum(spread * margin) AS sxy FROM g GROUP BY 1), r AS (SELECT rep, sum(k * n) AS n, sum(k * sx) AS sx, sum(k * sy) AS sy, sum(k * sxx) AS sxx, sum(k * sxy) AS sxy FROM {drawn_sql('s', 'slate', 13)} d GROUP BY 1)
+    SELECT avg(b) AS slope, stddev_samp(b) AS se FROM (SELECT (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS b FROM r) t""", "slope se")
 def slope_bootstrap(spark, sf):
     return R.slope_bootstrap(games(spark, sf), "slate", "spread", "margin")
 
 
-@query("R05", None)
+@query("R05", f"""WITH s AS (SELECT slate, book, sum(won - p) AS s, sum((won - p) * (won - p)) AS q FROM g GROUP BY 1, 2), o AS (SELECT max(z) AS z_max FROM (SELECT abs(sum(s)) / nullif(sqrt(sum(q)), 0) AS z FROM s GROUP BY book) t),
+    r AS (SELECT rep, book, abs(sum(f)) / nullif(sqrt(sum(q)), 0) AS z FROM (SELECT *, CASE WHEN {uniform_sql(14, 'slate')} < 0.5 THEN -s ELSE s END AS f FROM s, (SELECT unnest(range(1, 101)) AS rep) d) t GROUP BY 1, 2), m AS (SELECT rep, max(z) AS m FROM r GROUP BY 1)
+    SELECT any_value(z_max) AS z_max, avg(CAST(m >= z_max AS DOUBLE)) AS p_value, quantile_cont(m, 0.95) AS z_95 FROM m, o""", "z_max p_value z_95")
 def sign_flip_test(spark, sf):
     return R.sign_flips(games(spark, sf).withColumn("x", F.col("won") - F.col("p")), "slate", "book", "x", 100)
 

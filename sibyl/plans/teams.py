@@ -18,7 +18,8 @@ from ..operators import scope as K
 from ..operators import walk as B
 from ..sources import feeds
 from .driver import games, query, table, ticks
-from .prices import priced
+from .oracles import newton_sql, terms_sql
+from .prices import QSQL, priced
 
 # ---------------------------------------------------------------- totals of a team, its opponents and a player, by game
 
@@ -228,12 +229,12 @@ def source_errors(spark, sf):
     return B.source_comparison(games(spark, sf).withColumn("actual", F.col("amount") / 1000), ["home_ml", "away_ml"], "actual", "slate")
 
 
-@query("M11", None)
+@query("M11", f"{newton_sql('g', ['ln(p / (1 - p))'], 'won')} SELECT b0 AS slope, se0 AS slope_se, b1 AS intercept, se1 AS intercept_se FROM f", "slope slope_se intercept intercept_se")
 def calibration_line(spark, sf):
     return spark.createDataFrame([M.calibration_slope(games(spark, sf), "p", "won")], "slope double, slope_se double, intercept double, intercept_se double")
 
 
-@query("M12", None)
+@query("M12", f"{newton_sql(f'(SELECT *, {QSQL} AS q FROM g) a WHERE q IS NOT NULL', ['ln(q / (1 - q))', 'ln(p / (1 - p)) - ln(q / (1 - q))'], 'won')} {terms_sql(['market', 'disagreement', 'one'])}", "coef se")
 def disagreement_fit(spark, sf):
     g = M.disagreement_weight(priced(spark, sf).where("q is not null"), "p", "q", "won")
     return spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(["market", "disagreement", "one"], g.beta, g.se, strict=True)], "term string, coef double, se double")
