@@ -228,7 +228,16 @@ def weighted_curve(spark, sf):
     return _fit_rows(spark, ["slope"], [M.log_curve(games(spark, sf), "total", "margin", "total")[1]])
 
 
-@query("M04 M18", None)
+_KNOT = "(pow(greatest(spread - ({0}), 0), 3) - pow(greatest(spread - 7, 0), 3)) / (7e0 - ({0}))"
+
+
+# the spline's first coefficient is that of x less its fit on the other two columns
+@query("M04 M18", f"""WITH s AS (SELECT points - 220 AS y, total, spread, margin, CASE WHEN game_id % 20 < 10 THEN 'early' ELSE 'late' END AS stage, {_KNOT.format(-7)} - {_KNOT.format(2)} AS n1, {_KNOT.format(-2)} - {_KNOT.format(2)} AS n2 FROM g),
+    a AS (SELECT regr_slope(y, total) AS a1, regr_intercept(y, total) AS a0 FROM s), r AS (SELECT stage, spread, y - a0 - a1 * total AS r FROM s, a), b AS (SELECT regr_slope(r, spread) AS b1, regr_intercept(r, spread) AS b0 FROM r), v AS (SELECT stage, stddev_pop(r - b0 - b1 * spread) AS v FROM r, b GROUP BY 1),
+    m AS (SELECT regr_slope(margin, spread) AS m1, regr_intercept(margin, spread) AS m0 FROM s), q AS (SELECT regr_slope((margin - m0 - m1 * spread) * (margin - m0 - m1 * spread), spread) AS q1 FROM s, m),
+    t AS (SELECT regr_slope(spread, n2) AS s0, regr_intercept(spread, n2) AS i0, regr_slope(n1, n2) AS s1, regr_intercept(n1, n2) AS i1 FROM s), u AS (SELECT margin, spread - i0 - s0 * n2 AS r0, n1 - i1 - s1 * n2 AS r1 FROM s, t), w AS (SELECT regr_slope(r0, r1) AS k FROM u),
+    c AS (SELECT sum((r0 - k * r1) * margin) / sum((r0 - k * r1) * (r0 - k * r1)) AS c FROM u, w)
+    SELECT 'total' AS term, a1 AS coef FROM a UNION ALL SELECT 'spread', b1 FROM b UNION ALL SELECT stage, v FROM v UNION ALL SELECT 'mean', m1 FROM m UNION ALL SELECT 'variance', q1 FROM q UNION ALL SELECT 'spline', c FROM c""", "coef")
 def staged_fit(spark, sf):
     g = games(spark, sf).withColumns({"level": F.lit(220.0), "stage": F.when(F.col("game_id") % 20 < 10, "early").otherwise("late")})
     a, b, sig = M.two_stage(g, ["total"], ["spread"], "points", "level", "stage")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as E
 from ..functions import prices as P
+from ..functions.normal import norm_ppf_sql
 from ..operators import allocate as V
 from ..operators import causal as W
 from ..operators import fit as M
@@ -364,7 +365,13 @@ def shrink_weight(spark, sf):
     return M.grid_fit(priced(spark, sf).where("q is not null"), [0.0, 0.25, 0.5, 0.75, 1.0], loss, ["season"])
 
 
-@query("M19", None)
+_QUOTES = "SELECT l_partkey, line, least(0.95e0, greatest(0.05e0, 1.1e0 - line / 50 + d)) AS p FROM (SELECT l_partkey, floor(l_quantity) + 0.5e0 AS line, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2) t"
+
+
+@query("M19", f"""WITH RECURSIVE z AS (SELECT *, {norm_ppf_sql('1 - p')} AS z FROM ({_QUOTES}) t), k AS (SELECT l_partkey, count(*) AS n, regr_intercept(line, z) AS fit, min(line) AS l, arg_min(p, line) AS p FROM z GROUP BY 1),
+    b AS (SELECT l_partkey, l, p, 0.01e0 AS lo, 100e0 AS hi, 0 AS i FROM k WHERE n < 3 UNION ALL SELECT l_partkey, l, p, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, i + 1
+        FROM (SELECT *, 1 - list_sum(list_transform(range(0, CAST(floor(l) AS BIGINT) + 1), lambda j: exp(j * ln(mid) - mid - lgamma(j + 1)))) < p AS below FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE i < 50) t) t)
+    SELECT l_partkey, n, CASE WHEN n >= 3 THEN fit ELSE (lo + hi) / 2 END AS mean FROM k LEFT JOIN (SELECT * FROM b WHERE i = 50) s USING (l_partkey)""", "mean")
 def ladder_means(spark, sf):
     c = F.col
     li = table(spark, sf, "lineitem").groupBy("l_partkey", (F.floor("l_quantity") + 0.5).alias("line")).agg(F.avg("l_discount").alias("d"))
