@@ -190,14 +190,13 @@ def count_audit(logs: DataFrame, boxes: DataFrame, team: str, day: str, slates:
 
 def lineage(rules: DataFrame, fields: Sequence[str]) -> DataFrame:
     """For each rule the earliest ancestor of the same deciding fields (a recursive query over a small table)."""
-    rules.createOrReplaceTempView("_sibyl_rules")
     same = " AND ".join(f"r.{f} <=> up.{f}" for f in fields)
     return rules.sparkSession.sql(f"""
         WITH RECURSIVE up(key, ancestor, depth) AS (
-            SELECT key, key, 0 FROM _sibyl_rules
-            UNION ALL SELECT up.key, r.parent, up.depth + 1 FROM up JOIN _sibyl_rules r ON r.key = up.ancestor WHERE r.parent IS NOT NULL)
+            SELECT key, key, 0 FROM {{rules}}
+            UNION ALL SELECT up.key, r.parent, up.depth + 1 FROM up JOIN {{rules}} r ON r.key = up.ancestor WHERE r.parent IS NOT NULL)
         SELECT x.key, max_by(x.ancestor, x.depth) AS twin FROM (
-            SELECT u.key, u.ancestor, u.depth FROM up u JOIN _sibyl_rules r ON r.key = u.ancestor JOIN _sibyl_rules up ON up.key = u.key WHERE {same}) x GROUP BY x.key""")
+            SELECT u.key, u.ancestor, u.depth FROM up u JOIN {{rules}} r ON r.key = u.ancestor JOIN {{rules}} up ON up.key = u.key WHERE {same}) x GROUP BY x.key""", rules=rules)
 
 
 def daily_slate(salaries: DataFrame, schedule: DataFrame, projections: DataFrame, rates: DataFrame) -> DataFrame:

@@ -237,7 +237,7 @@ def confidence_bands(df: DataFrame, p: str, q: str, y: str, bounds: Sequence[flo
 def price_window(keys: DataFrame, sides: DataFrame, at: str, price: str, won: str, start: float, cap: float, enough: int = 60, least: int = 10, step: float = 1.5) -> DataFrame:
     """Sides within +-w of a key, w widened by steps until there are enough; null under `least` at the cap.
 
-    Sides are counted by price first (a bounded dimension of prices), so each key meets prices, not rows.
+    Sides are counted by price first, so each key meets prices, not rows: those of the cells of the widest window around it.
     """
     widths, w = [], start
     while w < cap:
@@ -245,7 +245,9 @@ def price_window(keys: DataFrame, sides: DataFrame, at: str, price: str, won: st
         w *= step
     widths.append(float(cap))
     counts = sides.groupBy(price).agg(F.count("*").alias("_n"), F.sum(F.col(won).cast("long")).alias("_w"))
-    dim = keys.select(at).distinct().join(F.broadcast(counts), F.abs(F.col(at) - F.col(price)) <= widths[-1])
+    cell = lambda c: F.floor(F.col(c) / widths[-1])
+    near = keys.select(at).distinct().withColumn("_cell", F.explode(F.array(*(cell(at) + i for i in (-1, 0, 1)))))
+    dim = near.join(counts.withColumn("_cell", cell(price)), "_cell").where(F.abs(F.col(at) - F.col(price)) <= widths[-1])
     wide = dim.groupBy(at).agg(*(F.sum(F.when(F.abs(F.col(at) - F.col(price)) <= x, F.col("_n"))).alias(f"n{i}") for i, x in enumerate(widths)), *(F.sum(F.when(F.abs(F.col(at) - F.col(price)) <= x, F.col("_w"))).alias(f"w{i}") for i, x in enumerate(widths)))
     pick = F.lit(len(widths) - 1)
     for i in range(len(widths) - 2, -1, -1):
