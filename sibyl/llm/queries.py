@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, places, quality_crf, sentencepiece_bpe, toxicity, url_filter
+from . import bpe_transducer, pii, places, quality_crf, sentencepiece_bpe, toxicity, url_filter
 from .labelled import HELD_OUT, fold
 from .ngram_join import similarity_classes
 from .packing import pack_documents
@@ -148,6 +148,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_transducer.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -159,6 +165,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_topk_search": op9_topk_search,
     "op10_packing": op10_packing,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES = {
     "op4_ngram_join": OP4_SQL,
