@@ -13,6 +13,7 @@ from .labelled import HELD_OUT, fold
 from .ngram_join import similarity_classes
 from .packing import pack_documents
 from .quality_rules import BOILERPLATE, quality_rules
+from .spelling import spelling_variants, vocabulary
 from .token_counts import token_counts
 from .topk_search import top_k
 
@@ -148,6 +149,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+#: One run in so many loses a letter, so that variants stand in the text.
+TYPO_EVERY = 97
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(vocabulary(table(spark, sf_dir, "documents"), drop_every=TYPO_EVERY))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -165,6 +174,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_topk_search": op9_topk_search,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES = {
