@@ -20,14 +20,17 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[33:127] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 #: Last two bytes of the white space beyond ASCII, in UTF-8.
 _WIDE = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, x) for x in range(0x80, 0x8B)), (0x80, 0xA8), (0x80, 0xA9), (0x80, 0xAF), (0x81, 0x9F)]
 _WIDE_PAIR = np.zeros(65536, bool)
 _WIDE_PAIR[[a << 8 | b for a, b in _WIDE]] = True
 
 
-def chunks(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every chunk and the chunks of each text."""
+def chunks(flat: Flat, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every chunk and the chunks of each text. letters: cut behind runs of ASCII letters too, for rules that end there
+    whatever comes next, without special strings."""
     buf = flat.buf
     mark = np.zeros(len(buf) + 1, bool)
     if len(buf):
@@ -36,6 +39,8 @@ def chunks(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pair = before.copy()
         pair[2:] |= buf[:-2].astype(np.uint16) << 8
         mark[:-1] = _WHITE[buf] & (_PLAIN[before] | ((before >= 128) & ~_WIDE_PAIR[pair]))
+        if letters:
+            mark[1:-1] |= _LETTER[buf[:-1]] & ~_LETTER[buf[1:]] & (buf[1:] < 128)
         mark[flat.start] = True
         mark[flat.end] = False
     starts = np.flatnonzero(mark)

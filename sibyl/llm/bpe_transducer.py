@@ -21,6 +21,7 @@ that are no UTF-8 come out as U+FFFD, one for each maximal part of a character,
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -49,29 +50,34 @@ class _Node:
 
 
 class _State:
-    """last: the token before, -1 at the start of a piece; paths: (tokens beyond it, place in the trie) of every live path,
-    the one whose last token is complete at the end; whole: place in the trie of the piece so far, None once no token begins with it."""
+    """last: the token before, -1 at the start of a piece. Of every live path: the tokens beyond it, and the place in the trie; the
+    last path is the one whose tokens are complete here. whole: place in the trie of the piece so far, None if it cannot be one
+    of the tokens that merges do not reach."""
 
-    __slots__ = ("last", "paths", "whole", "arcs", "final")
+    __slots__ = ("last", "tokens", "nodes", "whole", "arcs", "final")
 
-    def __init__(self, last: int, paths: tuple, whole: _Node | None):
-        self.last, self.paths, self.whole = last, paths, whole
+    def __init__(self, last: int, tokens: tuple, nodes: tuple, whole: _Node | None):
+        self.last, self.tokens, self.nodes, self.whole = last, tokens, nodes, whole
         self.arcs: dict[int, tuple[_State, tuple[int, ...]]] = {}
         #: Tokens still to emit if the piece ends here.
-        self.final = paths[-1][0]
+        self.final = tokens[-1]
         if whole is not None and whole.token >= 0:
             self.final = (whole.token,)
 
 
 def _shared(lists: list[tuple[int, ...]]) -> int:
     """Length of the prefix that all have."""
-    if () in lists:
-        return 0
-    n = 0
-    for column in zip(*lists, strict=False):
-        if any(x != column[0] for x in column):
+    first = lists[0]
+    n = len(first)
+    for other in lists:
+        k = 0
+        for a, b in zip(first[:n], other, strict=False):
+            if a != b:
+                break
+            k += 1
+        n = k
+        if not n:
             break
-        n += 1
     return n
 
 
@@ -96,14 +102,7 @@ class Transducer:
         """Drop all states; they come back when they are met."""
         self.held: dict[tuple, _State] = {}
         self.pairs: dict[int, bool] = {}
-        self.start = self._state(-1, (((), None),), self.root if self._odd(self.root) else None)
-
-    def _state(self, last: int, paths: tuple, whole: _Node | None) -> _State:
-        key = (last, paths, whole)
-        found = self.held.get(key)
-        if found is None:
-            found = self.held[key] = _State(last, paths, whole)
-        return found
+        self.start = _State(-1, ((),), (self.root,), self.root if self._odd(self.root) else None)
 
     def _trace(self, token: int) -> tuple[bool, list[tuple[int, bytes, bytes]]]:
         """Whether merges reach a token, and for each merge of its bytes its rank, with the leftmost and the rightmost part before it."""
@@ -157,25 +156,30 @@ class Transducer:
             for s in self.held.values():
                 s.arcs.clear()
             self.forget()
-        paths, ends = [], []
-        for tokens, node in state.paths:
-            node = (self.root if node is None else node).next.get(c)
+        held, nodes, ends = [], [], []
+        for tokens, node in zip(state.tokens, state.nodes, strict=True):
+            node = node.next.get(c)
             if node is not None:
                 if node.next:
-                    paths.append((tokens, node))
+                    held.append(tokens)
+                    nodes.append(node)
                 if node.token >= 0:
                     ends.append((tokens, node.token))
         # one of them is right, so the last one needs no proof
-        tokens, token = next((e for e in ends[:-1] if self.follows(e[0][-1] if e[0] else state.last, e[1])), ends[-1])
+        tokens, token = ends[-1] if len(ends) == 1 else next((e for e in ends[:-1] if self.follows(e[0][-1] if e[0] else state.last, e[1])), ends[-1])
         ended = (*tokens, token)
-        paths.append((ended, None))  # the next token begins here
+        held.append(ended)
+        nodes.append(self.root)  # the next token begins here
         whole = None if state.whole is None else state.whole.next.get(c)
         if whole is not None and not self._odd(whole):
             whole = None
         # nothing is emitted while the piece may still be one token that merges do not reach
-        n = 0 if whole is not None else _shared([t for t, _ in paths])
-        out = ended[:n]
-        to = self._state(out[-1], tuple([(t[n:], node) for t, node in paths]), None) if n else self._state(state.last, tuple(paths), whole)
+        n = 0 if whole is not None or not held[0] else _shared(held)
+        out, last = (ended[:n], ended[n - 1]) if n else ((), state.last)
+        key = (last, tuple([t[n:] for t in held]) if n else tuple(held), tuple(nodes), whole)
+        to = self.held.get(key)
+        if to is None:
+            to = self.held[key] = _State(*key)
         state.arcs[c] = arc = (to, out)
         return arc
 
@@ -238,7 +242,8 @@ class Utf8Machine:
 
 
 class RankedBpe:
-    """A rank file: base64 of a token's bytes and its rank on each line."""
+    """A rank file: base64 of a token's bytes and its rank on each line. pattern: splits texts into pieces; it may not look back, has to
+    end a piece behind a run of ASCII letters, and may join white space only with other white space or what follows."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -249,19 +254,20 @@ class RankedBpe:
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_n = np.array([len(x) for x in surface], np.int64)
         self.surface_at = np.cumsum(self.surface_n) - self.surface_n
+        gc.freeze()  # the trie stays; collections need not go through it
 
     def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = []
+        ids, n, encode = [], [], self.transducer.encode
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            ids: list[int] = []
+            before = len(ids)
             for m in self.pattern.finditer(raw[a:b].decode()):
-                ids += self.transducer.encode(m[0].encode())
-            found.append(np.array(ids, np.int32))
-        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+                ids += encode(m[0].encode())
+            n.append(len(ids) - before)
+        return np.array(ids, np.int32), np.array(n, np.int64)
 
     def ids(self, flat: Flat) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the number of each text. The pattern never joins what two chunks hold, so each distinct chunk is encoded once."""
-        starts, ends, per_text = chunks(flat)
+        """All ids and the number of each text. No piece reaches over two chunks, so each distinct chunk is encoded once."""
+        starts, ends, per_text = chunks(flat, letters=True)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(flat.n, np.int64)
         at, size = self.cache.look_up(flat.buf, Spans(flat.buf), starts, ends)
