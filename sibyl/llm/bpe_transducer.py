@@ -35,7 +35,7 @@ from .bpe import chunks
 from .spans import SpanCache
 from .text import Flat, Schema, Spans, lists, map_slices, type_of
 
-STATES = 100_000
+STATES = 150_000
 _NEVER = 1 << 60
 
 
@@ -96,12 +96,14 @@ class Transducer:
         self.traces: dict[int, tuple[bool, list[tuple[int, bytes, bytes]]]] = {}
         #: Whether a token at or below a place in the trie is not reached by merges, so that only whole pieces are that token.
         self.odd: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drop all states; they come back when they are met."""
         self.held: dict[tuple, _State] = {}
-        self.pairs: dict[int, bool] = {}
+        if len(self.pairs) > 4 * STATES:
+            self.pairs.clear()
         self.start = _State(-1, ((),), (self.root,), self.root if self._odd(self.root) else None)
 
     def _trace(self, token: int) -> tuple[bool, list[tuple[int, bytes, bytes]]]:
@@ -249,7 +251,7 @@ class RankedBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
-        self.cache = SpanCache(self._encode)
+        self.cache = SpanCache(self._encode, bits=21, limit=1 << 24)
         surface = [self.transducer.bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_n = np.array([len(x) for x in surface], np.int64)

@@ -13,25 +13,26 @@ import numpy as np
 
 from .text import Spans
 
-SLOTS, POOL = 1 << 19, 1 << 22
+BITS, POOL = 19, 1 << 22
 
 
-def _room(pool: np.ndarray, used: int, more: int) -> np.ndarray:
-    return pool if used + more <= len(pool) else np.concatenate([pool[:used], np.zeros(max(POOL, more), pool.dtype)])
+def _room(pool: np.ndarray, used: int, more: int, least: int) -> np.ndarray:
+    return pool if used + more <= len(pool) else np.concatenate([pool[:used], np.zeros(max(least, more), pool.dtype)])
 
 
 class SpanCache:
-    def __init__(self, encode: Callable[[bytes, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-        """encode(buffer, starts, ends) -> flat int32 ids and the number of ids of each range."""
-        self.encode = encode
+    def __init__(self, encode: Callable[[bytes, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int = BITS, limit: int = POOL):
+        """encode(buffer, starts, ends) -> flat int32 ids and the number of ids of each range. 2^bits entries, and limit ids and bytes."""
+        self.encode, self.bits, self.limit = encode, bits, limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.at, self.text_at = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        self.size, self.text_size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.pool, self.used = np.zeros(POOL, np.int32), 0
-        self.text, self.text_used = np.zeros(POOL, np.uint8), 0
+        slots = 1 << self.bits
+        self.keys = np.zeros(slots, np.uint64)
+        self.at, self.text_at = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.size, self.text_size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool, self.used = np.zeros(self.limit, np.int32), 0
+        self.text, self.text_used = np.zeros(self.limit, np.uint8), 0
         self.held: Spans | None = None
 
     def _hits(self, spans: Spans, h: np.ndarray, slot: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -46,7 +47,7 @@ class SpanCache:
     def look_up(self, buf: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of ids of every range; spans: those of buf."""
         h = spans.hash(starts, ends) | np.uint64(1)  # 0 marks a free slot
-        slot = (h >> np.uint64(45)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         at, size = self.at[slot], self.size[slot].astype(np.int64)
         missed = np.flatnonzero(~self._hits(spans, h, slot, starts, ends))
         if len(missed):
@@ -55,10 +56,10 @@ class SpanCache:
             ids, n = self.encode(buf.tobytes(), starts[new], ends[new])
             length = ends[new] - starts[new]
             total = int(length.sum())
-            if max(self.used + len(ids), self.text_used + total) > POOL and self.used:
+            if max(self.used + len(ids), self.text_used + total) > self.limit and self.used:
                 self.clear()
                 return self.look_up(buf, spans, starts, ends)
-            self.pool, self.text = _room(self.pool, self.used, len(ids)), _room(self.text, self.text_used, total)
+            self.pool, self.text = _room(self.pool, self.used, len(ids), self.limit), _room(self.text, self.text_used, total, self.limit)
             self.pool[self.used : self.used + len(ids)] = ids
             place = self.used + np.cumsum(n) - n
             text_place = self.text_used + np.cumsum(length) - length
