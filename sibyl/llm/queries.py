@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_transducer, pii, places, quality_crf, sentencepiece_bpe, toxicity, url_filter
+from .divergence import divergence
 from .labelled import HELD_OUT, fold
 from .ngram_join import similarity_classes
 from .packing import pack_documents
@@ -163,6 +164,28 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS runs FROM documents),
+t AS (SELECT row, lang, source, translate(unnest(runs), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gr AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) AS total
+       FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v USING (lang)),
+p AS (SELECT gr.lang, gr.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gr.total + gr.v) AS p
+      FROM gr JOIN kept k ON k.lang = gr.lang LEFT JOIN c ON c.lang = gr.lang AND c.source = gr.source AND c.term = k.term),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + (SELECT v FROM v WHERE v.lang = c.lang)) AS q FROM c GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+         UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (FROM pair UNION ALL FROM term)) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -176,9 +199,11 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES = {
     "op4_ngram_join": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
     "op9_topk_search": OP9_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
