@@ -31,6 +31,8 @@ from .places import stored
 from .text import Flat, Schema, Spans, map_slices
 
 SCALE = 1_000_000_000
+#: Counts below it fit into 64 bits after scaling.
+_NARROW = 9_000_000_000
 _TERM = np.zeros(256, bool)
 _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 
@@ -60,22 +62,29 @@ def counts_of(langs: list, sources: list, flat: Flat) -> dict[str, list]:
     }
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Rows (lang, source, term, n, docs): occurrences of a term in a group and documents that hold it."""
+#: Texts of one count in a task, in bytes: groups of a larger slice share more of their terms.
+SLICE = 4 << 20
+
+
+def kept_terms(docs: DataFrame, least_docs: int, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Rows (lang, term, in_lang, items): terms of at least least_docs documents of a language, their occurrences there and in each of
+    its sources that has any. Slices are counted before their one shuffle, by language and term, which serves both sums."""
     named = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
 
     def per_slice(part, flat):
         return counts_of(part.column("lang").to_pylist(), part.column("source").to_pylist(), flat)
 
-    counted = map_slices(named, ["lang", "source", "text"], "text", per_slice, Schema(lang="string", source="string", term="string", n="long", docs="long"))
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = map_slices(named, ["lang", "source", "text"], "text", per_slice, Schema(lang="string", source="string", term="string", n="long", docs="long"), SLICE)
+    groups = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = groups.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("items"))
+    return terms.where(F.col("docs") >= least_docs).drop("docs")
 
 
 def chance(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + terms)), in decimals, as counts may be very large; null without terms."""
-    wide = lambda c: c.cast("decimal(20,0)")
-    above = (F.lit(SCALE).cast("decimal(10,0)") * wide(count + 1)).cast("decimal(38,0)")
-    return F.lit(1).cast("long") + F.call_function("div", above, F.nullif(wide(total + terms), F.lit(0).cast("decimal(20,0)")))
+    """1 + floor(SCALE * (count + 1) / (total + terms)), in decimals if the count is very large; null without terms."""
+    below = F.nullif(total + terms, F.lit(0).cast("long"))
+    wide = F.call_function("div", (F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")).cast("decimal(38,0)"), below.cast("decimal(20,0)"))
+    return F.lit(1).cast("long") + F.when(count < _NARROW, F.call_function("div", (F.when(count < _NARROW, count) + 1) * F.lit(SCALE).cast("long"), below)).otherwise(wide)
 
 
 def difference(p: Column, q: Column) -> Column:
@@ -98,14 +107,14 @@ class _Sums:
         self.above: tuple[list, list, list] = ([], [], [])  # group, chance and chance of no occurrence of ancestors
         self.node: list[tuple[int, int, int, int, int, int]] = []  # ancestors, group, chance, chance of none, digit, its place
 
-    def add(self, path: list[tuple[int, int, int]], node: tuple[int, int, int], times: int) -> None:
-        place = 0
+    def add(self, path: tuple[list, list, list], node: tuple[int, int, int], times: int) -> None:
+        size, place = len(path[0]), 0
         while times:
             digit = times & ((1 << _BITS) - 1)
             if digit:
-                for column, values in zip(self.above, zip(*path, strict=True), strict=True):
+                for column, values in zip(self.above, path, strict=True):
                     column.extend(values)
-                self.node.append((len(path), *node, digit, place))
+                self.node.append((size, *node, digit, place))
             times, place = times >> _BITS, place + 1
         if len(self.above[0]) > _BLOCK:
             self.flush()
@@ -118,11 +127,11 @@ class _Sums:
         b, q, q0, digit, place = np.repeat(node[:, 1:], node[:, 0], axis=0).T
         f = lambda x, y: (x - y) ** 2 // y
         for g, h, v in ((a, b, f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)), (b, a, f(q, p) - f(q, p0) - f(q0, p) + f(q0, p0))):
-            keys, first, of = np.unique(np.stack([g, h, place]), axis=1, return_index=True, return_inverse=True)
+            _, first, of = np.unique((g << 35) + (h << 4) + place, return_index=True, return_inverse=True)
             high, low = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-            np.add.at(high, of.ravel(), (v >> 32) * digit)
-            np.add.at(low, of.ravel(), (v & 0xFFFFFFFF) * digit)
-            for x, y, k, m, n in zip(*keys.tolist(), high.tolist(), low.tolist(), strict=True):
+            np.add.at(high, of, (v >> 32) * digit)
+            np.add.at(low, of, (v & 0xFFFFFFFF) * digit)
+            for x, y, k, m, n in zip(g[first].tolist(), h[first].tolist(), place[first].tolist(), high.tolist(), low.tolist(), strict=True):
                 self.total[x, y] += ((m << 32) + n) << (_BITS * k)
         self._clear()
 
@@ -130,26 +139,32 @@ class _Sums:
 def tree_sums(rows: Iterator[tuple[list[tuple[int, int, int]], int]], limit: int = 500_000) -> Iterator[tuple[int, int, int]]:
     """(group, other, sum of corrections) from sorted rows (items (group, chance, chance of no occurrence), multiplicity). Once there are
     `limit` sums they come out as they are, so a pair may come more than once."""
-    path: list[tuple[int, int, int]] = []  # the nodes to the last row, and how many rows went through each
-    times: list[int] = []
+    held: list[tuple[int, int, int]] = []  # the nodes to the last row
+    path: tuple[list, list, list] = ([], [], [])  # the same by column
+    times: list[int] = []  # rows that ended in a node or went through a closed one below it
     sums = _Sums()
 
     def close(depth: int) -> None:
         """Nodes deeper than depth get no more rows: combine each with its ancestors."""
-        while len(path) > depth:
-            node, n = path.pop(), times.pop()
-            if path:
+        while len(held) > depth:
+            node, n = held.pop(), times.pop()
+            for column in path:
+                column.pop()
+            if held:
+                times[-1] += n
                 sums.add(path, node, n)
 
     for items, n in rows:
         same = 0
-        while same < min(len(path), len(items)) and path[same] == items[same]:
+        while same < min(len(held), len(items)) and held[same] == items[same]:
             same += 1
         close(same)
-        path.extend(items[same:])
-        times.extend([0] * (len(items) - same))
-        for k in range(len(times)):
-            times[k] += n
+        if same < len(items):
+            held.extend(items[same:])
+            times.extend([0] * (len(items) - same))
+            for column, values in zip(path, zip(*items[same:], strict=True), strict=True):
+                column.extend(values)
+        times[-1] += n
         if len(sums.total) > limit:
             yield from ((a, b, v) for (a, b), v in sums.total.items())
             sums.total.clear()
@@ -181,10 +196,8 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, text_col: s
 
     The largest thing in one row is the counts of a term in the sources of a language.
     """
-    counted = stored(term_counts(docs, text_col, lang_col, source_col), "divergence-counts")
-    by_term = counted.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    by_term = stored(by_term, "divergence-terms")
-    kept = stored(counted.join(by_term, ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"), "divergence-kept")
+    by_term = stored(kept_terms(docs, least_docs, text_col, lang_col, source_col), "divergence-terms")
+    kept = by_term.select("lang", "term", "in_lang", F.explode("items").alias("x")).select("lang", "term", "in_lang", "x.source", "x.n")
     groups = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source")).distinct()
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
     langs = by_term.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("terms"))
