@@ -262,12 +262,58 @@ def ladder_mean(quotes: DataFrame, key: Sequence[str], line: str, over: str) ->
     return g.select(*key, "n", F.when(F.col("n") >= 3, F.col("fit")).otherwise(poisson).alias("mean"))
 
 
-def shrunk_bins(df: DataFrame, bin_: str, actual: str, forecast: str, pseudo: float = 100.0) -> DataFrame:
-    """Ratio of squared error to forecast in each bin, shrunk to the overall ratio by pseudo rows; chance to play."""
-    e = (F.col(actual) - F.col(forecast)) * (F.col(actual) - F.col(forecast))
-    per = df.groupBy(bin_).agg(F.count("*").alias("n"), F.sum(e).alias("e"), F.sum(forecast).alias("f"), F.avg((F.col(actual) > 0).cast("double")).alias("play"))
-    pool = per.agg((F.sum("e") / F.sum("f")).alias("pool"), (F.sum("f") / F.sum("n")).alias("mean_f"))
-    return per.join(F.broadcast(pool)).select(bin_, "n", "play", ((F.col("e") + pseudo * F.col("pool") * F.col("mean_f")) / (F.col("f") + pseudo * F.col("mean_f"))).alias("ratio"))
+def shrunk_bins(df: DataFrame, bin_: str, actual: str, forecast: str, base: str, pseudo: float = 100.0, low: float = 0.25, high: float = 4.0) -> DataFrame:
+    """Squared error of each bin over its forecast variance, shrunk toward 1 by pseudo rows and kept within bounds."""
+    e = F.col(actual) - F.col(forecast)
+    raw = F.sum(e * e) / F.nullif(F.sum(base), F.lit(0.0))
+    n = F.count("*")
+    return df.groupBy(bin_).agg(n.alias("n"), F.greatest(F.lit(low), F.least(F.lit(high), (raw * n + pseudo) / (n + pseudo))).alias("ratio"))
+
+
+def play_mixture(df: DataFrame, bin_: str, actual: str, forecast: str, base: str, least: int = 100) -> DataFrame:
+    """Chance to play (an outcome above 0) and variance ratio of those who did around forecast / chance; bins with fewer than `least` played
+    rows are left out. The squares are sums, so the chance need not be known before the pass."""
+    played = F.col(actual) > 0
+    some = lambda c: F.sum(F.when(played, c))
+    a, f = F.col(actual), F.col(forecast)
+    s = df.groupBy(bin_).agg(F.count("*").alias("n"), F.count_if(played).alias("played"), some(a * a).alias("aa"), some(a * f).alias("af"), some(f * f).alias("ff"), some(F.col(base)).alias("base"))
+    p = F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.col("played") / F.col("n")))
+    c = (F.col("aa") - 2 * F.col("af") / p + F.col("ff") / (p * p)) / F.nullif(F.col("base"), F.lit(0.0))
+    return s.where(F.col("played") >= least).select(bin_, "n", "played", p.alias("play"), F.greatest(F.lit(0.25), F.least(F.lit(10.0), c)).alias("ratio"))
+
+
+def pair_dependence(df: DataFrame, game: str, team: str, z: str, starter: Column, star: Column, pseudo: float = 100.0) -> DataFrame:
+    """Products of pairs of one game by their roles: two starters of a team, two others of a team, two stars of a team, stars of two
+    teams. Averaged in a game, so that its pairs count as one, then over games, shrunk to 0 by pseudo games. The products
+    of all pairs of a set are half of its squared sum less its squares, so no pair becomes a row."""
+    v = F.col(z)
+    named = df.select(game, team, v.alias("_z"), F.coalesce(starter, F.lit(False)).alias("_starter"), F.coalesce(star, F.lit(False)).alias("_star"))
+
+    def sums(name: str, when: Column) -> list[Column]:
+        x = F.when(when, F.col("_z"))
+        return [F.count(x).alias(f"{name}_n"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{name}_s"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"{name}_q")]
+
+    t = named.where("_z is not null").groupBy(game, team).agg(*sums("all", F.lit(True)), *sums("starter", F.col("_starter")), *sums("star", F.col("_star")))
+    pairs = lambda n: (F.col(f"{n}_n") * (F.col(f"{n}_n") - 1) / 2)
+    product = lambda n: ((F.col(f"{n}_s") * F.col(f"{n}_s") - F.col(f"{n}_q")) / 2)
+    g = t.groupBy(game).agg(
+        F.sum(pairs("starter")).alias("starter_k"), F.sum(product("starter")).alias("starter_p"), F.sum(pairs("all") - pairs("starter")).alias("team_k"), F.sum(product("all") - product("starter")).alias("team_p"),
+        F.sum(pairs("star")).alias("own_star_k"), F.sum(product("star")).alias("own_star_p"), *(F.sum(f"star_{c}").alias(f"star_{c}") for c in "nsq"),
+    ).withColumns({"game_star_k": pairs("star") - F.col("own_star_k"), "game_star_p": product("star") - F.col("own_star_p")})
+    roles = ("starter", "team", "own_star", "game_star")
+    one = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"{r}_k").alias("k"), F.col(f"{r}_p").alias("p")) for r in roles)))
+    per = g.select(one.alias("x")).where("x.k > 0").groupBy(F.col("x.role").alias("role")).agg(F.count("*").alias("games"), F.avg(F.col("x.p") / F.col("x.k")).alias("mean"))
+    return per.withColumn("shrunk", F.col("mean") * F.col("games") / (F.col("games") + pseudo))
+
+
+def dependence_factors(pairs: DataFrame) -> DataFrame:
+    """One row of loadings that keep the joint distribution valid: what all of a team share, what its starters and the stars of a
+    game share beyond it, and what takes the stars of one team apart, each within its bounds."""
+    at = lambda r: F.coalesce(F.max(F.when(F.col("role") == r, F.col("shrunk"))), F.lit(0.0))
+    clip = lambda c, hi: F.greatest(F.lit(0.0), F.least(F.lit(hi), c))
+    s = pairs.agg(*(at(r).alias(f"_{r}") for r in ("team", "starter", "own_star", "game_star")))
+    s = s.withColumn("team", clip(F.col("_team"), 0.08)).withColumn("starter", clip(F.col("_starter") - F.col("team"), 0.12)).withColumn("game_star", clip(F.col("_game_star"), 0.08))
+    return s.select("team", "starter", "game_star", clip(F.col("team") + F.col("starter") + F.col("game_star") - F.col("_own_star"), 0.15).alias("star_split"))
 
 
 def model_table(spark: SparkSession, models: Sequence[dict]) -> DataFrame:

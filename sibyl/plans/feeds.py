@@ -266,9 +266,47 @@ def offset_spread(spark, sf):
     return M.eb_spread(o, "b", "s")
 
 
-@query("M20", "WITH t AS (SELECT book, count(*) AS n, sum((points - total) * (points - total)) AS e, sum(total) AS f, avg(CAST(points > 0 AS DOUBLE)) AS play FROM g GROUP BY 1), p AS (SELECT sum(e) / sum(f) AS pool, sum(f) / sum(n) AS mf FROM t) SELECT book, n, play, (e + 100 * pool * mf) / (f + 100 * mf) AS ratio FROM t, p", "play ratio")
+_PLAYED = "SELECT *, CASE WHEN margin > 0 THEN margin ELSE 0 END AS line, 2 + 4 * p AS f, 20 + 10 * p AS base FROM g"
+
+
+def _lines(spark, sf):
+    c = F.col
+    return games(spark, sf).withColumns({"line": F.greatest(c("margin"), F.lit(0.0)), "f": 2 + 4 * c("p"), "base": 20 + 10 * c("p")})
+
+
+@query("M20", f"SELECT book, count(*) AS n, greatest(0.25, least(4, (sum((line - f) * (line - f)) / sum(base) * count(*) + 100) / (count(*) + 100))) AS ratio FROM ({_PLAYED}) t GROUP BY 1", "ratio")
 def shrunk_bins(spark, sf):
-    return M.shrunk_bins(games(spark, sf), "book", "points", "total")
+    return M.shrunk_bins(_lines(spark, sf), "book", "line", "f", "base")
+
+
+@query("M20", f"""WITH t AS ({_PLAYED}), b AS (SELECT book, count(*) AS n, count(*) FILTER (line > 0) AS played, greatest(0.2e0, least(1e0, count(*) FILTER (line > 0) / count(*))) AS play FROM t GROUP BY 1)
+    SELECT book, any_value(n) AS n, any_value(played) AS played, any_value(play) AS play, greatest(0.25, least(10, sum((line - f / play) * (line - f / play)) / sum(base))) AS ratio FROM t JOIN b USING (book) WHERE line > 0 GROUP BY 1 HAVING any_value(played) >= 100""", "play ratio")
+def play_mixture(spark, sf):
+    return M.play_mixture(_lines(spark, sf), "book", "line", "f", "base")
+
+
+_ROLES = """z AS (SELECT day, game_id, book, margin / 10 AS z, won = 1 AS starter, total >= 235 AS star FROM g),
+    pr AS (SELECT a.day, a.book = b.book AS own, a.starter AND b.starter AS starters, a.star AND b.star AS stars, a.z * b.z AS x FROM z a JOIN z b ON a.day = b.day AND a.game_id < b.game_id),
+    r AS (SELECT day, CASE WHEN starters THEN 'starter' ELSE 'team' END AS role, x FROM pr WHERE own UNION ALL SELECT day, CASE WHEN own THEN 'own_star' ELSE 'game_star' END, x FROM pr WHERE stars),
+    m AS (SELECT role, count(*) AS games, avg(x) AS mean, avg(x) * count(*) / (count(*) + 100) AS shrunk FROM (SELECT day, role, avg(x) AS x FROM r GROUP BY 1, 2) t GROUP BY 1)"""
+
+
+def _dependence(spark, sf):
+    c = F.col
+    return M.pair_dependence(games(spark, sf).withColumn("z", c("margin") / 10), "day", "book", "z", c("won") == 1, c("total") >= 235)
+
+
+@query("M20", f"WITH {_ROLES} SELECT * FROM m", "mean shrunk")
+def pair_dependence(spark, sf):
+    """Orders of a day as the lines of one game, priorities as its teams."""
+    return _dependence(spark, sf)
+
+
+@query("M20", f"""WITH {_ROLES}, s AS (SELECT coalesce(max(shrunk) FILTER (role = 'team'), 0) AS t, coalesce(max(shrunk) FILTER (role = 'starter'), 0) AS s, coalesce(max(shrunk) FILTER (role = 'own_star'), 0) AS o, coalesce(max(shrunk) FILTER (role = 'game_star'), 0) AS k FROM m),
+    a AS (SELECT greatest(0, least(0.08, t)) AS team, greatest(0, least(0.12, s - greatest(0, least(0.08, t)))) AS starter, greatest(0, least(0.08, k)) AS game_star, o FROM s)
+    SELECT team, starter, game_star, greatest(0, least(0.15, team + starter + game_star - o)) AS star_split FROM a""", "team starter game_star star_split")
+def dependence_factors(spark, sf):
+    return M.dependence_factors(_dependence(spark, sf))
 
 
 _HOME, _AWAY_GAIN = f"s * ({_DEC.format('home_ml')}) - 1", f"(1 - s) * ({_DEC.format('away_ml')}) - 1"

@@ -280,13 +280,16 @@ def latest_valid_set(spark, sf):
     return X.latest_valid_set(t, ["game"], "sec", "tip", "ok", "member").select("game", "event_id")
 
 
-@query("X09 X11 X16", f"SELECT game_id, season, CASE WHEN game_id % 2 = 0 THEN won ELSE 0 END AS won, CASE WHEN game_id % 3 = 0 THEN {CQ} ELSE p END AS cq FROM g", "cq")
+@query("X09 X11 X16", f"""SELECT game_id, season, won, CASE WHEN game_id % 3 = 1 THEN 'own' WHEN won = 1 AND {CQ} IS NOT NULL THEN book END AS close_book, CASE WHEN game_id % 3 = 1 THEN p WHEN won = 1 THEN {CQ} END AS cq,
+    CASE WHEN game_id % 3 <> 1 AND won = 1 AND {CQ} IS NOT NULL THEN spread END AS close_spread FROM (SELECT * REPLACE (CASE WHEN game_id % 2 = 0 OR won = 1 THEN won END AS won) FROM g) g""", "cq close_spread")
 def graded_log(spark, sf):
-    """Every game is in the log, some with a result or a close already: those stay."""
+    """Every game is in the log, some with a close of their own book already, which takes no other book's spread; games without a
+    result take no close, and a spread without a usable moneyline close is left out."""
     c = F.col
     g = priced(spark, sf)
-    led = g.select("game_id", "season", F.when(c("game_id") % 2 != 0, F.lit(0)).alias("won"), F.when(c("game_id") % 3 != 0, c("p")).alias("cq"))
-    return X.apply_results(led, g, "game_id", ["won", "cq"])
+    led = g.select("game_id", "season", F.when((c("game_id") % 2 == 0) & (c("won") == 0), 0).alias("won"), F.when(c("game_id") % 3 == 1, c("p")).alias("cq"), F.when(c("game_id") % 3 == 1, "own").alias("close_book"), F.lit(None).cast("double").alias("close_spread"))
+    results = g.select("game_id", F.when(c("won") == 1, c("won")).alias("won"), c("book").alias("close_book"), "cq", c("spread").alias("close_spread"))
+    return X.apply_results(led, results, "game_id", ["won"], ["cq", "close_book", "close_spread"], c("cq").isNotNull()).select("game_id", "season", "won", "close_book", "cq", "close_spread")
 
 
 @query("M14", "SELECT book, regr_count(margin, spread) AS n, regr_slope(margin, spread) AS slope, sqrt((regr_syy(margin, spread) - pow(regr_sxy(margin, spread), 2) / regr_sxx(margin, spread)) / (regr_count(margin, spread) - 2) / regr_sxx(margin, spread)) AS slope_se FROM g GROUP BY 1", "slope slope_se")

@@ -26,7 +26,8 @@ def _det(rows: Sequence[int], columns: Sequence[int], a: str) -> str:
     return "(" + " + ".join(f"{'-' if n % 2 else ''}{at(j)} * {_det(rows[1:], [c for c in columns if c != j], a)}" for n, j in enumerate(columns)) + ")"
 
 
-def _inverse(k: int, i: int, j: int) -> str:
+def inverse_sql(k: int, i: int, j: int) -> str:
+    """Element of the inverse of the k by k matrix h."""
     rest = lambda x: [n for n in range(k) if n != x]
     return f"{'-' if (i + j) % 2 else ''}{_det(rest(j), rest(i), 'h')} / {_det(range(k), range(k), 'h')}"
 
@@ -40,12 +41,12 @@ def newton_sql(source: str, x: Sequence[str], y: str, offset: str = "0e0", penal
     kept = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(k))
     hess = ", ".join(f"sum(w * x{i} * x{j}) + {pen[i] if i == j else 0.0}e0 AS h{i}{j}" for i, j in pairs)
     grad = ", ".join(f"sum(x{i} * (y - p)) - {pen[i]}e0 * any_value(b{i}) AS g{i}" for i in range(k))
-    step = ", ".join(f"b{i} + " + " + ".join(f"({_inverse(k, i, j)}) * g{j}" for j in range(k)) for i in range(k))
+    step = ", ".join(f"b{i} + " + " + ".join(f"({inverse_sql(k, i, j)}) * g{j}" for j in range(k)) for i in range(k))
     both = lambda a, i, j: f"{a}{min(i, j)}{max(i, j)}"
     error = [f"v{i}{i}" if not sandwich else " + ".join(f"{both('v', i, a)} * {both('m', a, b)} * {both('v', b, i)}" for a in range(k) for b in range(k)) for i in range(k)]
     return f"""WITH RECURSIVE x AS (SELECT {', '.join(f'{c} AS x{i}' for i, c in enumerate([*x, '1e0']))}, {offset} AS o, CAST({y} AS DOUBLE) AS y, {cluster} AS c FROM {source}),
     b AS (SELECT 0 AS i, {', '.join(f'0e0 AS b{i}' for i in range(k))} UNION ALL SELECT i + 1, {step} FROM (SELECT any_value(i) AS i, {kept}, {hess}, {grad} FROM {rows('b')}) t WHERE i < {steps}),
-    z AS (SELECT * FROM b WHERE i = {steps}), h AS (SELECT {kept}, {hess} FROM {rows('z')}), v AS (SELECT *, {', '.join(f'{_inverse(k, i, j)} AS v{i}{j}' for i, j in pairs)} FROM h),
+    z AS (SELECT * FROM b WHERE i = {steps}), h AS (SELECT {kept}, {hess} FROM {rows('z')}), v AS (SELECT *, {', '.join(f'{inverse_sql(k, i, j)} AS v{i}{j}' for i, j in pairs)} FROM h),
     m AS (SELECT {', '.join(f'sum(s{i} * s{j}) AS m{i}{j}' for i, j in pairs)} FROM (SELECT c, {', '.join(f'sum(x{i} * (y - p)) AS s{i}' for i in range(k))} FROM {rows('z')} GROUP BY c) t),
     f AS (SELECT {', '.join(f'b{i}, sqrt({error[i]}) AS se{i}' for i in range(k))} FROM v, m)"""
 

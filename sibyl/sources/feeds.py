@@ -35,13 +35,16 @@ def strict_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
 
 
 def append_by_id(old: DataFrame, new: DataFrame, key: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """Rows of new ids; a repeated id of equal values is left out, one of other values raises while running."""
+    """One row of every new id. An id repeated with equal values, in the batch or against what is there, counts once; with other
+    values it raises while running. Columns of ignore (when a row was captured) are not compared; the smallest stays."""
     compared = [c for c in new.columns if c != key and c not in ignore]
-    o = old.select(key, F.struct(*compared).alias("_old"))
-    j = new.join(o, key, "left")
-    same = F.col("_old").eqNullSafe(F.struct(*compared))
+    values = F.struct(*compared) if compared else F.struct(F.lit(0))
     conflict = F.raise_error(F.concat(F.lit("conflicting rows of id "), F.col(key).cast("string"))).cast("boolean")
-    return j.where(F.when(F.col("_old").isNull(), True).when(same, False).otherwise(conflict)).select(*new.columns)
+    own = new.groupBy(key).agg(F.min(values).alias("_low"), F.max(values).alias("_high"), F.min(F.struct(*(c for c in new.columns if c != key))).alias("_row"), F.count("*").alias("_n"))
+    o = old.select(key, values.alias("_old"), F.lit(True).alias("_there"))
+    j = own.join(o, key, "left")
+    ok = F.when(~F.col("_low").eqNullSafe(F.col("_high")), conflict).when(F.col("_there").isNull(), True).when(F.col("_old").eqNullSafe(F.col("_low")), False).otherwise(conflict)
+    return j.where(ok).select(*(F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in new.columns))
 
 
 _TEAM = "struct<homeAway:string,score:string,winner:boolean,team:struct<abbreviation:string>>"

@@ -71,11 +71,18 @@ def frozen_upsert(old: DataFrame, new: DataFrame, key: Sequence[str], ts: str, s
     return replaced(old, new.where(F.col(ts) < F.col(start)), key)
 
 
-def apply_results(ledger: DataFrame, results: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Result and same-book close, written once: what is there stays; a spread counts only beside its moneyline."""
-    r = results.select(key, *(F.col(c).alias(f"_r_{c}") for c in columns))
+def apply_results(ledger: DataFrame, results: DataFrame, key: str, outcome: Sequence[str], close: Sequence[str] = (), usable: Column | None = None) -> DataFrame:
+    """Outcome and close, each written once and as a whole. outcome: columns whose first one says that there is a result. close: columns
+    of one book, the first one its moneyline price or chance; all of them come from one row of results, and only if `usable` (of results' columns)
+    holds for that price, so a spread never stands beside another book's price or none. A row without a result takes no close."""
+    r = results.select(key, F.struct(*outcome).alias("_result"), F.struct(*close).alias("_close") if close else F.lit(None).alias("_close"), F.coalesce(usable, F.lit(False)).alias("_usable") if usable is not None else F.lit(False).alias("_usable"))
     j = ledger.join(r, key, "left")
-    out = j.withColumns({c: F.coalesce(F.col(c), F.col(f"_r_{c}")) for c in columns})
+    finished = F.col(f"_result.{outcome[0]}").isNotNull()
+    take = F.col(outcome[0]).isNull() & finished
+    out = j.withColumns({c: F.when(take, F.col(f"_result.{c}")).otherwise(F.col(c)) for c in outcome})
+    if close:
+        fresh = F.col(close[0]).isNull() & F.col("_usable") & finished
+        out = out.withColumn("_fresh", fresh).withColumns({c: F.when(F.col("_fresh"), F.col(f"_close.{c}")).when(F.col(close[0]).isNotNull(), F.col(c)) for c in close})
     return out.select(*ledger.columns)
 
 
