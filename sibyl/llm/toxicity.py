@@ -25,6 +25,8 @@ BITS, DIM, WIDTHS, FILTERS = 22, 12, (1, 2, 3), 8
 #: Labelled documents of a class and fold that the fit may take.
 PER_CLASS = 1500
 MIN_TEXTS, EPOCHS, BATCH, RATE = 3, 8, 128, 0.05
+#: Gradient steps at least: a small sample is gone through more often than EPOCHS times.
+UPDATES = 240
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -102,7 +104,7 @@ def _train(model: TextCnn, ids: list[np.ndarray], y: np.ndarray, weight: np.ndar
         seen += grad * grad
         param -= RATE * grad / np.sqrt(seen)
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES // -(-len(y) // BATCH)))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
