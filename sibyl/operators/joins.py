@@ -61,8 +61,11 @@ def grid_states(plays: DataFrame, key: Sequence[str], ts: str, values: Sequence[
 
 
 def quote_near(quotes: DataFrame, events: DataFrame, key: Sequence[str], ts: str, at: str, before: int, last: bool = True) -> DataFrame:
-    """The last (or first) quote in the seconds before each event."""
-    j = events.join(quotes, list(key)).where(F.col(ts).between(F.col(at) - before, F.col(at)))
+    """The last (or first) quote in the seconds before each event. Time is cut into cells of the window's length: a quote joins the events of
+    its own cell and of the next one, so a key with many of both is not joined with itself."""
+    cell = lambda c: F.floor(F.col(c) / before)
+    q = quotes.withColumn("_cell", F.explode(F.array(cell(ts), cell(ts) + 1)))
+    j = events.withColumn("_cell", cell(at)).join(q, [*key, "_cell"]).where(F.col(ts).between(F.col(at) - before, F.col(at)))
     pick = F.max_by if last else F.min_by
     keep = [c for c in quotes.columns if c not in key]
     return j.groupBy(*key, at).agg(pick(F.struct(*keep), F.col(ts)).alias("q")).select(*key, at, *(F.col(f"q.{c}").alias(c) for c in keep))
@@ -183,9 +186,16 @@ def lock_or_rescore(locks: DataFrame, rescore: DataFrame, key: str, columns: Seq
 
 
 def count_audit(logs: DataFrame, boxes: DataFrame, team: str, day: str, slates: DataFrame) -> DataFrame:
-    """Rows of each team before a slate in two tables, where they differ. slates: (team, slate)."""
-    n = lambda d, name: slates.join(d.select(team, F.col(day).alias("_d")), team, "left").groupBy(team, "slate").agg(F.count(F.when(F.col("_d") < F.col("slate"), 1)).alias(name))
-    return n(logs, "in_logs").join(n(boxes, "in_boxes"), [team, "slate"]).where("in_logs <> in_boxes")
+    """Rows of each team before a slate in two tables, where they differ. slates: (team, slate). Both tables and the slates are counts by team and day,
+    and a slate reads the running sums of the days before it: no row meets another one."""
+    count = lambda d, at, name: d.groupBy(team, F.col(at).alias("_d")).agg(F.count("*").alias(name))
+    parts = [count(logs, day, "_a"), count(boxes, day, "_b"), count(slates, "slate", "_s")]
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    rows = rows.groupBy(team, "_d").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_a", "_b", "_s")))
+    past = Window.partitionBy(team).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    so_far = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0))
+    out = rows.select(team, F.col("_d").alias("slate"), so_far("_a").alias("in_logs"), so_far("_b").alias("in_boxes"), "_s")
+    return out.where((F.col("_s") > 0) & (F.col("in_logs") != F.col("in_boxes"))).drop("_s")
 
 
 def lineage(rules: DataFrame, fields: Sequence[str]) -> DataFrame:

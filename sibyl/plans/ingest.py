@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import new_path
 from ..sources import ingest as I
+from ..streaming import evidence as V
 from .driver import games, query, table
 
 
@@ -43,3 +45,42 @@ def closed_days(spark, sf):
     days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("slate")).distinct()
     j = days.join(counted, "slate", "left").join(done, "slate", "left")
     return j.select("slate", F.coalesce("games", F.lit(0).cast("long")).alias("games"), F.coalesce("done", F.lit(False)).alias("done"))
+
+
+_SAID = ["game_id", "day", "p", "forecast", "tip"]
+
+
+def _taken(spark, sf):
+    """Each team's games with the last 20 games of its past as members."""
+    c = F.col
+    g = games(spark, sf).select("game_id", "team", c("day").cast("long").alias("day"), "p", c("won").cast("long").alias("won"))
+    rank = Window.partitionBy("team").orderBy("day", "game_id")
+    past = F.collect_list(F.struct("day", "game_id", "won")).over(rank.rowsBetween(-40, -1))
+    some = g.withColumn("past", F.slice(F.reverse(F.filter(past, lambda x: x["day"] < c("day"))), 1, 20)).select("game_id", F.explode("past").alias("m"))
+    members = some.select("game_id", c("m.day").alias("d"), c("m.game_id").alias("m"), c("m.won").alias("w"))
+    proved = V.proofs(members, "game_id", "d", "m", "w", 8.0, 0.5)
+    at = lambda h: F.timestamp_seconds(c("day") * 86400 + h * 3600)
+    forecasts = g.select("game_id", "day", "p", at(12).alias("forecast"), at(20).alias("tip"))
+    return forecasts, proved, at(18)
+
+
+@query("X10", """WITH m AS (SELECT a.game_id, b.won, row_number() OVER (PARTITION BY a.game_id ORDER BY b.day DESC, b.game_id DESC) AS k FROM g a JOIN g b ON a.team = b.team AND b.day < a.day)
+    SELECT game_id, count(*) AS games, sum(won)::BIGINT AS wins, (sum(won) + 4) / (count(*) + 8) AS chance FROM m WHERE k <= 20 GROUP BY 1""", "chance")
+def captured_forecasts(spark, sf):
+    """Written to a log with their evidence, and read again."""
+    forecasts, proved, now = _taken(spark, sf)
+    path = new_path(spark, "captures")
+    log = V.captures(forecasts, proved, "game_id", _SAID, "forecast", "tip", now, F.col("p").isNotNull())
+    V.record(log, proved, path, "tip", lambda: now)
+    return spark.read.parquet(f"{path}/captures").select("game_id", "games", "wins", "chance")
+
+
+@query("C08", """WITH n AS (SELECT a.game_id, count(*) AS n FROM g a JOIN g b ON a.team = b.team AND b.day < a.day GROUP BY 1), r AS (SELECT unnest(['capture digest', 'capture time', 'not earlier']) AS rule)
+    SELECT rule, count(*) AS n FROM n, r WHERE (rule = 'capture digest' AND game_id % 7 = 0) OR (rule = 'capture time' AND game_id % 11 = 0) OR (rule = 'not earlier' AND game_id % 13 = 0) GROUP BY 1""")
+def broken_proofs(spark, sf):
+    """Some captures are changed after they were taken: each change is found, and nothing else."""
+    c = F.col
+    forecasts, proved, now = _taken(spark, sf)
+    log = V.captures(forecasts.withColumn("said_day", F.when(c("game_id") % 13 == 0, c("day") - 10_000).otherwise(c("day"))), proved, "game_id", [*_SAID, "said_day"], "forecast", "tip", now, F.lit(True))
+    log = log.withColumn("p", F.when(c("game_id") % 7 == 0, c("p") + 1).otherwise(c("p"))).withColumn("captured", F.when(c("game_id") % 11 == 0, c("tip")).otherwise(c("captured")))
+    return V.verify(log, proved.select("evidence_id", "evidence").distinct(), [*_SAID, "said_day"], "said_day", "forecast", "tip").groupBy("rule").agg(F.count("*").alias("n"))

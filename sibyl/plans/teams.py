@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +13,7 @@ from ..operators import fit as M
 from ..operators import joins as J
 from ..operators import scope as K
 from ..operators import walk as B
+from ..operators.tables import new_path
 from ..sources import feeds
 from .driver import games, query, table, ticks
 from .oracles import newton_sql, terms_sql
@@ -244,13 +242,7 @@ def disagreement_fit(spark, sf):
 
 
 def _folder(spark) -> str:
-    """A new path in the folder that all executors share; on one machine without one (tests), in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="sibyl-")
-    return f"{shared.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return new_path(spark, "tables")
 
 
 @query("S01", "SELECT o_orderkey, o_orderstatus, o_totalprice, 'dk' AS book, CAST(NULL AS DOUBLE) AS spread FROM orders", "o_totalprice spread")
