@@ -8,7 +8,7 @@ window without a partition key sees one row a day, and are then joined back.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,12 +145,19 @@ def presence_grid(games: DataFrame, members: DataFrame, group: Sequence[str]) ->
     return games.join(members.select(*group, "member").distinct(), list(group))
 
 
-def availability(grid: DataFrame, group: Sequence[str], order: Sequence[str], half_life: float, present: str = "present", role: str = "role", chance: str = "chance") -> DataFrame:
-    """Decayed share of presence times role times (chance to play less that share), summed over a group's members for each game."""
+def availability(grid: DataFrame, group: Sequence[str], order: Sequence[str], half_life: float, present: str = "present", role: str = "role", chance: str = "chance", more: Mapping[str, str] | None = None) -> DataFrame:
+    """Decayed share of presence times role times (chance to play less that share), summed over a group's members for each game. more: further
+    sums under other tables of values, name to role column, from the same shares."""
     seen = decayed(grid.withColumn("_one", F.col(present).cast("double")), [*group, "member"], order, ["_one"], half_life, "_d")
     share = F.when(F.col("_one_d_weight") > 0, F.col("_one_d") / F.col("_one_d_weight")).otherwise(0.0)
-    term = share * F.col(role) * (F.col(chance) - share)
-    return seen.groupBy(*group, *order).agg(F.sum(term).alias("availability"), F.sum(share * F.col(role)).alias("expected_role"))
+    term = lambda r: share * F.col(r) * (F.col(chance) - share)
+    return seen.groupBy(*group, *order).agg(F.sum(term(role)).alias("availability"), F.sum(share * F.col(role)).alias("expected_role"), *(F.sum(term(r)).alias(n) for n, r in (more or {}).items()))
+
+
+def totals_availability(sides: DataFrame, game: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Availability under each table of values summed over the two teams of a game; null unless both are there."""
+    both = F.count("*") == 2
+    return sides.groupBy(*game).agg(*(F.when(both, F.sum(v)).alias(f"total_{v}") for v in values))
 
 
 def role_to_date(df: DataFrame, key: Sequence[str], day: str, minutes: str, fallback: str, cap: float = 1.0) -> DataFrame:

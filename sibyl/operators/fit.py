@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normal import norm_cdf, norm_ppf
+from ..functions.prices import brier, log_loss
 
 
 @dataclass
@@ -316,6 +317,50 @@ def dependence_factors(pairs: DataFrame) -> DataFrame:
     return s.select("team", "starter", "game_star", clip(F.col("team") + F.col("starter") + F.col("game_star") - F.col("_own_star"), 0.15).alias("star_split"))
 
 
+def pace_arms(df: DataFrame, season: str, mean: str, pace: str, sigma: str, margin: str, won: str, grid: Sequence[float], seasons: int = 1000) -> DataFrame:
+    """Rows (season, arm, n, k, s, loss, brier, mse): forecast margins and their spread scaled by pace, on each season by fits of the earlier ones.
+
+    The margin becomes mean * (1 + k * pace), k by least squares; the spread sigma * exp(s * pace), s the value of `grid` with the least log loss given
+    k, the smallest on ties. Arms: base (neither), margin (k), both (k and s), fixed (k = 1, s = 0.5). loss, brier and mse are differences from base.
+    Rows with a null are left out, and a season without an earlier one.
+
+    k comes from two sums a season; the grid is one grouped sum whose rows combine before the shuffle. The folds, one number a season, go through
+    the driver: over `seasons` of them is an error.
+    """
+    c = F.col
+    rows = df.select(c(season), *(c(x).cast("double").alias(n) for x, n in ((mean, "_m"), (pace, "_lp"), (sigma, "_sd"), (margin, "_y"), (won, "_won")))).dropna()
+    x = c("_m") * c("_lp")
+    per = rows.groupBy(season).agg(F.sum(x * (c("_y") - c("_m"))).alias("a"), F.sum(x * x).alias("b")).orderBy(season).limit(seasons + 1).collect()
+    if len(per) > seasons:
+        raise ValueError(f"over {seasons} seasons")
+    folds, a, b = [], 0.0, 0.0
+    for row in per:
+        if b > 0:
+            folds.append((row[season], a / b))
+        a, b = a + row["a"], b + row["b"]
+    spark = df.sparkSession
+    kind = df.schema[season].dataType.simpleString()
+    fold = F.array(*(F.struct(F.lit(t).cast(kind).alias("test"), F.lit(k).alias("k")) for t, k in folds)) if folds else F.expr(f"CAST(array() AS array<struct<test:{kind},k:double>>)")
+
+    def chance(k: Column, s: Column) -> Column:
+        return norm_cdf(c("_m") * (1 + k * c("_lp")) / (c("_sd") * F.exp(s * c("_lp"))))
+
+    long = rows.withColumn("_f", F.explode(F.filter(fold, lambda f: f["test"] > c(season)))).withColumn("s", F.explode(F.array(*(F.lit(float(v)) for v in grid))))
+    losses = long.groupBy(c("_f.test").alias(season), c("_f.k").alias("k"), "s").agg(F.avg(log_loss(chance(c("_f.k"), c("s")), c("_won"))).alias("_l"))
+    best = losses.groupBy(season, "k").agg(F.min(F.struct("_l", "s")).alias("_b")).select(season, "k", c("_b.s").alias("s"))
+    fits = spark.createDataFrame(best.collect(), best.schema)  # one row a season, counted above
+    zero = F.lit(0.0)
+    arms = {"base": (zero, zero), "margin": (c("k"), zero), "both": (c("k"), c("s")), "fixed": (F.lit(1.0), F.lit(0.5))}
+
+    def scores(k: Column, s: Column) -> Column:
+        p, e = chance(k, s), c("_y") - c("_m") * (1 + k * c("_lp"))
+        return F.struct(log_loss(p, c("_won")).alias("loss"), brier(p, c("_won")).alias("brier"), (e * e).alias("mse"))
+
+    scored = rows.join(F.broadcast(fits), season).withColumns({f"_{n}": scores(*a) for n, a in arms.items()})
+    cells = scored.select(season, "k", "s", F.inline(F.array(*(F.struct(F.lit(n).alias("arm"), *((c(f"_{n}.{v}") - c(f"_base.{v}")).alias(v) for v in ("loss", "brier", "mse"))) for n in arms))))
+    return cells.groupBy(season, "arm", "k", "s").agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in ("loss", "brier", "mse"))).select(season, "arm", "n", "k", "s", "loss", "brier", "mse")
+
+
 def model_table(spark: SparkSession, models: Sequence[dict]) -> DataFrame:
     """Fitted parameters as one row a model, for broadcast at scoring."""
     schema = T.StructType([T.StructField("model_id", T.StringType()), T.StructField("season", T.IntegerType()), T.StructField("features", T.ArrayType(T.StringType())), T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()), T.StructField("sigma", T.DoubleType()), T.StructField("link", T.StringType()), T.StructField("version", T.IntegerType())])

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import new_path, removed
+
 
 def both_sides(log: DataFrame, team: str, opp: str, date: str, home: str, keep: Sequence[str]) -> DataFrame:
     """Home row beside the away row of the same game."""
@@ -150,10 +152,10 @@ def next_season(df: DataFrame, previous: DataFrame, entity: Sequence[str], seaso
     return df.join(last, [*entity, season], "left")
 
 
-def returning_share(last: DataFrame, first_box: DataFrame, team: str, player: str, minutes: str) -> DataFrame:
-    """Share of last season's minutes that is on this season's first box."""
-    back = last.join(first_box.select(team, player).distinct(), [team, player], "left_semi").groupBy(team).agg(F.sum(minutes).alias("_b"))
-    return last.groupBy(team).agg(F.sum(minutes).alias("_a")).join(back, team, "left").select(team, (F.coalesce("_b", F.lit(0.0)) / F.col("_a")).alias("returning"))
+def returning_share(last: DataFrame, first_box: DataFrame, team: Sequence[str], player: str, minutes: str) -> DataFrame:
+    """Share of last season's minutes that is on this season's first box. team: its columns, with the season of first_box if there are several."""
+    back = last.join(first_box.select(*team, player).distinct(), [*team, player], "left_semi").groupBy(*team).agg(F.sum(minutes).alias("_b"))
+    return last.groupBy(*team).agg(F.sum(minutes).alias("_a")).join(back, list(team), "left").select(*team, (F.coalesce("_b", F.lit(0.0)) / F.col("_a")).alias("returning"))
 
 
 def scheduled(props: DataFrame, schedule: DataFrame, keys: Sequence[str], provider: str, first: str, ts: str) -> DataFrame:
@@ -198,15 +200,33 @@ def count_audit(logs: DataFrame, boxes: DataFrame, team: str, day: str, slates:
     return out.where((F.col("_s") > 0) & (F.col("in_logs") != F.col("in_boxes"))).drop("_s")
 
 
-def lineage(rules: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """For each rule the earliest ancestor of the same deciding fields (a recursive query over a small table)."""
-    same = " AND ".join(f"r.{f} <=> up.{f}" for f in fields)
-    return rules.sparkSession.sql(f"""
-        WITH RECURSIVE up(key, ancestor, depth) AS (
-            SELECT key, key, 0 FROM {{rules}}
-            UNION ALL SELECT up.key, r.parent, up.depth + 1 FROM up JOIN {{rules}} r ON r.key = up.ancestor WHERE r.parent IS NOT NULL)
-        SELECT x.key, max_by(x.ancestor, x.depth) AS twin FROM (
-            SELECT u.key, u.ancestor, u.depth FROM up u JOIN {{rules}} r ON r.key = u.ancestor JOIN {{rules}} up ON up.key = u.key WHERE {same}) x GROUP BY x.key""", rules=rules)
+def lineage(rules: DataFrame, fields: Sequence[str], ends: str | None = None) -> DataFrame:
+    """For each rule the earliest ancestor that decides as it does: up along `parent` while all `fields` stay the same (nulls are equal) and the parent
+    is known and not closed (`ends`, a boolean column). A rule without such a parent is its own twin. Keys must be single.
+
+    Every round doubles the jumps over a stored table, so a chain of n rules takes log2(n) joins; a cycle raises ValueError."""
+    above = rules.select(F.col("key").alias("_up"), *(F.col(f).alias(f"_{i}") for i, f in enumerate(fields)), (F.coalesce(F.col(ends), F.lit(False)) if ends else F.lit(False)).alias("_closed"))
+    same = F.col("_up").isNotNull() & ~F.col("_closed")
+    for i, f in enumerate(fields):
+        same = same & F.col(f).eqNullSafe(F.col(f"_{i}"))
+    first = rules.join(above, F.col("parent") == F.col("_up"), "left").select("key", F.when(same, F.col("parent")).otherwise(F.col("key")).alias("twin"))
+    spark = rules.sparkSession
+    path = new_path(spark, "lineage")
+    first.withColumns({"root": F.col("twin") == F.col("key"), "moved": F.lit(True)}).write.parquet(path)
+    jumps = spark.read.parquet(path)
+    rounds = jumps.count().bit_length() + 1
+    while jumps.where("moved").limit(1).count():
+        if rounds == 0:
+            raise ValueError("rules whose parents form a cycle")
+        rounds -= 1
+        far = jumps.select(F.col("key").alias("twin"), F.col("twin").alias("_far"), F.col("root").alias("_root"))
+        newer = new_path(spark, "lineage")
+        jumps.join(far, "twin").select("key", F.col("_far").alias("twin"), F.col("_root").alias("root"), (F.col("twin") != F.col("_far")).alias("moved")).write.parquet(newer)
+        removed(spark, path)
+        path, jumps = newer, spark.read.parquet(newer)
+    if jumps.where("not root").limit(1).count():
+        raise ValueError("rules whose parents form a cycle")
+    return jumps.select("key", "twin")
 
 
 def daily_slate(salaries: DataFrame, schedule: DataFrame, projections: DataFrame, rates: DataFrame) -> DataFrame:

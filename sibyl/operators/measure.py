@@ -94,9 +94,16 @@ def closing_value(df: DataFrame, by: Sequence[str], bet_q: str, close_q: str) ->
     return df.where(m.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(m).alias("clv"), se(m).alias("clv_se"), F.avg((m > 0).cast("double")).alias("toward"))
 
 
-def lock_coverage(df: DataFrame, lock: str, tip: str, void: str) -> DataFrame:
-    """Locked, missed and void rows, and the median lead in seconds."""
-    counts = df.agg(F.count_if(F.col(lock).isNotNull() & ~F.col(void)).alias("locked"), F.count_if(F.col(lock).isNull()).alias("missed"), F.count_if(F.col(void)).alias("void"))
+def lock_coverage(df: DataFrame, lock: str, tip: str, void: str, now: Column | None = None, tracked: Column | None = None, in_family: Column | None = None) -> DataFrame:
+    """Rows with a lock, those without one whose tip has passed (without `now`: all), locks that are void, the median lead, and of the locks of
+    `tracked` rows those inside and outside the model family."""
+    has = F.col(lock).isNotNull()
+    late = F.lit(True) if now is None else F.col(tip) <= now
+    family = F.coalesce(in_family, F.lit(False)) if in_family is not None else F.lit(True)
+    counted = has & (F.coalesce(tracked, F.lit(False)) if tracked is not None else F.lit(True))
+    counts = df.agg(
+        F.count_if(has).alias("locked"), F.count_if(~has & late).alias("missed"), F.count_if(has & F.col(void)).alias("void"), F.count_if(counted & family).alias("family_locked"), F.count_if(counted & ~family).alias("off_family"),
+    )
     return beside(counts, quantiles(df, [], F.col(tip) - F.col(lock), {"median_lead": 0.5}), [], ["median_lead"])
 
 
@@ -257,9 +264,16 @@ def price_window(keys: DataFrame, sides: DataFrame, at: str, price: str, won: st
     return keys.join(out, at, "left").withColumn("rate", F.when(F.col("n") >= least, F.col("rate")))
 
 
-def backtest(df: DataFrame, rule: str, half: str, ml: str, won: str, q: str) -> DataFrame:
-    """Returns of each rule in each half."""
-    return roi(df, [rule, half], ml, won, q)
+def backtest(bets: DataFrame, rule: str, first_half: Column, ml: str, q: str, close_ml: str, close_q: str, won: str) -> DataFrame:
+    """Rows (rule, part, A04's figures, clv, clv_se, toward). Parts: all bets at their price (all), those of them with a close at the close's price (at
+    close), and each half at the own price (first, second). The last three columns, A11's move of the fair price toward the bets, stand beside `at close`."""
+    c = F.col
+    part = lambda name, m, x: F.struct(F.lit(name).alias("part"), c(m).alias("_ml"), c(x).alias("_q"))
+    parts = F.array(part("all", ml, q), F.when(c(close_q).isNotNull(), part("at close", close_ml, close_q)), F.when(first_half, part("first", ml, q)).otherwise(part("second", ml, q)))
+    long = bets.select(rule, won, F.inline(F.filter(parts, lambda x: x.isNotNull())))
+    figures = roi(long, [rule, "part"], "_ml", won, "_q")
+    moves = closing_value(bets, [rule], q, close_q).select(rule, F.lit("at close").alias("part"), "clv", "clv_se", "toward")
+    return beside(figures, moves, [rule, "part"], ["clv", "clv_se", "toward"])
 
 
 def contribution_gap(df: DataFrame, names: Sequence[str], values: str, won: str) -> DataFrame:
@@ -304,7 +318,26 @@ def leader_calibration(states: DataFrame, p: str, y: str, lead: str, underdog: s
     return states.where((F.col(lead) > 0) & F.col(underdog)).groupBy(at).agg(F.count("*").alias("n"), F.avg(p).alias("forecast"), F.avg(F.col(y).cast("double")).alias("rate"))
 
 
+def comebacks(states: DataFrame, side: Sequence[str], at: str, p: str, won: str, low: float = 0.5, high: float = 0.8, bands: int = 5) -> DataFrame:
+    """Sides of games that fell under a chance of `low`, by whether they were favourites at their first state and by bands of p0, the chance at the
+    first state under it: how many came back past `high` after it and won, beside the expected p0 / high and p0.
+
+    One grouped pass makes a row a side; states of one time count as the one of smaller chance first.
+    """
+    c = F.col
+    under = c(p) < low
+    one = states.where(c(p).isNotNull()).groupBy(*side).agg(
+        F.min(F.struct(c(at), c(p))).alias("_tip"), F.min(F.when(under, F.struct(c(at).alias("at"), c(p).alias("p0")))).alias("_low"), F.max(F.when(c(p) > high, c(at))).alias("_high"), F.max(won).alias("_won"),
+    )
+    e = one.where("_low is not null").select((c(f"_tip.{p}") >= low).alias("favourite"), F.least(F.floor(c("_low.p0") * bands / low), F.lit(bands - 1)).cast("int").alias("band"), c("_low.p0").alias("p0"), F.coalesce(c("_high") > c("_low.at"), F.lit(False)).cast("double").alias("back"), c("_won").cast("double").alias("won"))
+    err = lambda x: F.sqrt(F.avg(x) * (1 - F.avg(x)) / F.count("*"))
+    return e.groupBy("favourite", "band").agg(
+        F.count("*").alias("n"), F.avg("p0").alias("expected_win"), F.avg("won").alias("win"), err("won").alias("win_se"), F.avg(c("p0") / high).alias("expected_back"), F.avg("back").alias("back"), err("back").alias("back_se"),
+    )
+
+
 def error_table(df: DataFrame, by: Sequence[str], forecast: str, actual: str) -> DataFrame:
     """Bias, MAE, RMSE, median error and the shares below and equal."""
     e = F.col(actual) - F.col(forecast)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(e).alias("median_error"), F.avg((e < 0).cast("double")).alias("below"), F.avg((e == 0).cast("double")).alias("equal"))
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((e < 0).cast("double")).alias("below"), F.avg((e == 0).cast("double")).alias("equal"))
+    return beside(sums, quantiles(df, by, e, {"median_error": 0.5}), by, ["median_error"])

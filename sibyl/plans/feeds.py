@@ -119,10 +119,14 @@ def player_features(spark, sf):
     return li.select("l_orderkey", "l_linenumber", E.above_replacement(c("l_discount") * 100, c("l_quantity"), -2.0).alias("value"), E.play_chance(c("l_returnflag"), rates).alias("chance"), E.points_left(F.array(F.lit(25.0), F.lit(25.0)), c("l_quantity") / 50).alias("rest"))
 
 
-@query("E18 S21 T14", "SELECT vec_id, season, list_inner_product(list_transform(embedding, lambda x: x::DOUBLE)[1:2], CASE WHEN season = 1 THEN [1e0, 2e0] ELSE [0.5e0, -1e0] END) AS composite FROM embeddings, (SELECT unnest([1, 2]) AS season) s", "composite")
+#: Weights of the vectors' components in two seasons.
+_WEIGHTS = {1: [1 + i % 3 / 2 for i in range(64)], 2: [0.5 - i % 5 / 4 for i in range(64)]}
+
+
+@query("E18 S21 T14", f"SELECT vec_id, season, list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), CASE WHEN season = 1 THEN {_WEIGHTS[1]}::DOUBLE[] ELSE {_WEIGHTS[2]}::DOUBLE[] END) AS composite FROM embeddings, (SELECT unnest([1, 2]) AS season) s", "composite")
 def reweighted_table(spark, sf):
-    models = M.model_table(spark, [{"model_id": "w", "season": 1, "coef": [1.0, 2.0]}, {"model_id": "w", "season": 2, "coef": [0.5, -1.0]}])
-    t = table(spark, sf, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 2).alias("gaps"), F.explode(F.array(F.lit(1), F.lit(2))).alias("season"))
+    models = M.model_table(spark, [{"model_id": "w", "season": s, "coef": w} for s, w in _WEIGHTS.items()])
+    t = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("gaps"), F.explode(F.array(F.lit(1), F.lit(2))).alias("season"))
     return E.reweighted(t, "gaps", models.select("season", F.col("coef").alias("weights")), "season").select("vec_id", "season", "composite")
 
 
@@ -151,14 +155,14 @@ def status_override(spark, sf):
     return J.override(games(spark, sf).withColumns({"status": c("basis"), "sec": F.lit(0)}), inj, ["team"], "sec", 20).select("game_id", "status")
 
 
-@query("J28 F08", """WITH RECURSIVE r AS (SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey >= 10 THEN CAST(c_custkey // 10 AS VARCHAR) END AS parent, c_mktsegment AS edge FROM customer),
-    up AS (SELECT key AS rule, key AS ancestor, edge, 0 AS depth FROM r UNION ALL SELECT up.rule, r.parent, up.edge, up.depth + 1 FROM up JOIN r ON r.key = up.ancestor WHERE r.parent IS NOT NULL)
-    SELECT rule AS key, arg_max(ancestor, depth) AS twin FROM up JOIN r ON r.key = up.ancestor AND r.edge IS NOT DISTINCT FROM up.edge GROUP BY 1""")
+@query("J28 F08", """WITH RECURSIVE r AS (SELECT c_custkey AS key, CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END AS parent, c_custkey % 1000 // 500 AS edge, c_acctbal < -900 AS retired FROM customer),
+    up AS (SELECT key AS rule, key AS twin, edge, 0 AS depth FROM r UNION ALL SELECT up.rule, a.key, up.edge, up.depth + 1 FROM up JOIN r ON r.key = up.twin JOIN r a ON a.key = r.parent AND a.edge IS NOT DISTINCT FROM up.edge AND NOT a.retired)
+    SELECT CAST(rule AS VARCHAR) AS key, CAST(arg_max(twin, depth) AS VARCHAR) AS twin FROM up GROUP BY 1""")
 def rule_lineage(spark, sf):
     """A rule for each customer; the parent's key lacks the last digit."""
     c = F.col
-    rules = table(spark, sf, "customer").select(c("c_custkey").cast("string").alias("key"), F.when(c("c_custkey") >= 10, F.floor(c("c_custkey") / 10).cast("string")).alias("parent"), c("c_mktsegment").alias("edge"))
-    return J.lineage(rules, ["edge"])
+    rules = table(spark, sf, "customer").select(c("c_custkey").cast("string").alias("key"), F.when(c("c_custkey") >= 10, F.floor(c("c_custkey") / 10).cast("string")).alias("parent"), F.floor(c("c_custkey") % 1000 / 500).alias("edge"), (c("c_acctbal") < -900).alias("retired"))
+    return J.lineage(rules, ["edge"], "retired")
 
 
 @query("A17 V01", "SELECT o_orderkey, sum(l_quantity / 240 * p_retailprice) AS talent FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1", "talent")
@@ -180,11 +184,13 @@ def script_residual(spark, sf):
     return A.residual_script(g, "team", "res", "spread", "total")
 
 
-@query("X08 X10", "SELECT game, max(sec) FILTER (day <= 19740) AS sec FROM e WHERE day <= 19740 GROUP BY 1")
+@query("X08", "WITH f AS (SELECT game, min(day) AS first FROM e GROUP BY 1) SELECT game, max(sec) FILTER (day < first + 3 OR day < first + 5 + game % 60) AS sec FROM e JOIN f USING (game) GROUP BY 1")
 def frozen_upsert(spark, sf):
-    t = ticks(spark, sf).groupBy("game", "day").agg(F.max("sec").alias("sec")).withColumn("start", F.lit(19740 * 86400 + 86400))
-    old = t.where("day <= 19738").groupBy("game").agg(F.max("sec").alias("sec"), F.max("start").alias("start"))
-    new = t.where("day > 19738").where("sec < start").groupBy("game").agg(F.max("sec").alias("sec"), F.max("start").alias("start"))
+    """A game is stored from its first three days and replaced until its own start."""
+    t = ticks(spark, sf)
+    t = t.join(t.groupBy("game").agg(F.min("day").alias("first")), "game").withColumn("start", (F.col("first") + 5 + F.col("game") % 60) * 86400)
+    old = t.where("day < first + 3").groupBy("game", "start").agg(F.max("sec").alias("sec"))
+    new = t.where("day >= first + 3 and sec < start").groupBy("game", "start").agg(F.max("sec").alias("sec"))
     return X.frozen_upsert(old, new, ["game"], "sec", "start").select("game", "sec")
 
 
@@ -208,12 +214,6 @@ def live_track(spark, sf):
     return X.live_track(states, quotes, ["game"], "day", F.col("value")).select("game", "day", "live")
 
 
-@query("X16", "SELECT count(*) AS n, avg((p - won) * (p - won)) AS brier FROM g", "brier")
-def forward_score(spark, sf):
-    g = games(spark, sf)
-    return X.forward_score(g.select("game_id", "p"), g, "game_id", "p", "won")
-
-
 def _fit_rows(spark, terms, beta):
     return spark.createDataFrame([(t, float(b)) for t, b in zip(terms, beta, strict=True)], "term string, coef double")
 

@@ -248,10 +248,10 @@ def home_less_away(spark, sf):
     return J.home_less_away(s, "game", "home", ["q"]).where("q_diff is not null")
 
 
-@query("J21 J26 J32", "WITH a AS (SELECT team, sum(total) AS t FROM g WHERE season = 1996 GROUP BY 1), b AS (SELECT team, sum(total) AS t FROM g WHERE season = 1996 AND (team, book) IN (SELECT team, book FROM g WHERE season = 1997) GROUP BY 1) SELECT team, coalesce(b.t, 0) / a.t AS returning FROM a LEFT JOIN b USING (team)".replace("AS returning", "AS back"), "back")
+@query("J21", "WITH a AS (SELECT team, season + 1 AS season, book, sum(total) AS t FROM g GROUP BY 1, 2, 3) SELECT team, season, coalesce(sum(t) FILTER ((team, season, book) IN (SELECT (team, season, book) FROM g)), 0) / sum(t) AS back FROM a GROUP BY 1, 2", "back")
 def returning_share(spark, sf):
     g = games(spark, sf)
-    return J.returning_share(g.where("season = 1996"), g.where("season = 1997"), "team", "book", "total").withColumnRenamed("returning", "back")
+    return J.returning_share(g.withColumn("season", F.col("season") + 1), g, ["team", "season"], "book", "total").withColumnRenamed("returning", "back")
 
 
 @query("J25 X12", "SELECT game_id, CASE WHEN game_id % 3 = 0 THEN total WHEN game_id % 3 = 1 THEN total + 1 END AS lock_total, CASE WHEN game_id % 3 = 0 THEN 'native' WHEN game_id % 3 = 1 THEN 'rescore' END AS source FROM g", "lock_total")
@@ -304,10 +304,10 @@ def fold_gram(spark, sf):
     return d.groupBy("season").agg(F.count("*").alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse"), F.first("train_rows").alias("train_rows"))
 
 
-@query("B02", """WITH d AS (SELECT DISTINCT day FROM g), f AS (SELECT d.day, count(*) AS n, regr_slope(margin, spread) AS b FROM d JOIN g ON g.day < d.day GROUP BY 1) SELECT day, n AS train_rows, b AS slope FROM f WHERE n >= 50""", "slope")
+@query("B02", """WITH d AS (SELECT DISTINCT day FROM g), f AS (SELECT d.day, count(*) AS n, regr_slope(margin, spread) AS b FROM d JOIN g ON g.day < d.day GROUP BY 1) SELECT day, n AS train_rows, b AS slope FROM f WHERE n > 2""", "slope")
 def slate_refits(spark, sf):
     d = B.slate_refits(games(spark, sf), "spread", "margin", "season", "day")
-    return d.where("train_rows >= 50").select("day", "train_rows", "slope").distinct()
+    return d.where("train_rows > 2").select("day", "train_rows", "slope").distinct()
 
 
 @query("B03", """WITH d AS (SELECT day, pow(2, (day - (SELECT min(day) FROM g)) / 100e0) AS w, count(*) AS n, sum(spread) AS sx, sum(margin) AS sy, sum(spread * spread) AS sxx, sum(spread * margin) AS sxy FROM g GROUP BY 1),

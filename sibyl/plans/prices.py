@@ -254,12 +254,6 @@ def price_bands(spark, sf):
     return A.suppress_small(d, "n", ["roi"]).select("rung", "n", "roi")
 
 
-@query("A35", f"SELECT book AS rule, half, {_ROI.replace('FROM g', 'FROM (SELECT *, CASE WHEN month(slate) <= 6 THEN 1 ELSE 2 END AS half FROM g) g')} GROUP BY 1, 2", _ROI_D)
-def rule_backtest(spark, sf):
-    g = priced(spark, sf).withColumns({"rule": F.col("book"), "half": F.when(F.month("slate") <= 6, 1).otherwise(2)})
-    return A.backtest(g, "rule", "half", "home_ml", "home_won", "q")
-
-
 @query("A05 A10", f"""WITH s AS (SELECT season, count(*) FILTER (margin + spread > 0) AS wins, count(*) FILTER (margin + spread < 0) AS losses, count(*) FILTER (margin + spread = 0) AS pushes FROM g GROUP BY 1), t AS (SELECT *, wins / (wins + losses) AS rate, (wins + losses) AS n FROM s)
     SELECT season, wins, losses, pushes, rate, ((rate + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n)) - 1.96 * sqrt(rate * (1 - rate) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS lo, ((rate + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n)) + 1.96 * sqrt(rate * (1 - rate) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS hi FROM t""", "rate lo hi")
 def ats_wilson(spark, sf):
@@ -409,11 +403,11 @@ def edge_ladder(spark, sf):
     return A.edge_ladder(priced(spark, sf).withColumn("edge", F.col("p") - F.col("q")), "edge", [0.0, 0.05, 0.1], "home_ml", "home_won", "q")
 
 
-@query("A12", "SELECT count(*) FILTER (game_id % 5 <> 0 AND NOT game_id % 11 = 0) AS locked, count(*) FILTER (game_id % 5 = 0) AS missed, count(*) FILTER (game_id % 11 = 0) AS void, median(CASE WHEN game_id % 5 <> 0 THEN game_id % 300 END) AS median_lead FROM g", "median_lead")
+@query("A12", "SELECT count(*) FILTER (l) AS locked, count(*) FILTER (NOT l AND game_id % 300 < 200) AS missed, count(*) FILTER (l AND game_id % 11 = 0) AS void, median(CASE WHEN l THEN 900 + game_id % 300 - 400 END) AS median_lead, count(*) FILTER (l AND season >= 1995 AND won = 1) AS family_locked, count(*) FILTER (l AND season >= 1995 AND won = 0) AS off_family FROM (SELECT *, game_id % 5 <> 0 AS l FROM g) t", "median_lead")
 def lock_coverage(spark, sf):
     c = F.col
-    g = games(spark, sf).withColumns({"tip": F.lit(1000), "lock": F.when(c("game_id") % 5 != 0, 1000 - c("game_id") % 300), "void": c("game_id") % 11 == 0})
-    return A.lock_coverage(g, "lock", "tip", "void")
+    g = games(spark, sf).withColumns({"tip": 900 + c("game_id") % 300, "lock": F.when(c("game_id") % 5 != 0, 400), "void": c("game_id") % 11 == 0})
+    return A.lock_coverage(g, "lock", "tip", "void", F.lit(1099), c("season") >= 1995, c("won") == 1)
 
 
 @query("A36", "WITH l AS (SELECT unnest(['a', 'b']) AS feature, unnest([p * 2e0, margin * 0.5e0]) AS v, won FROM g) SELECT feature, avg(v) FILTER (won = 1) AS in_wins, avg(v) FILTER (won = 0) AS in_losses, avg(v) FILTER (won = 1) - avg(v) FILTER (won = 0) AS gap, sqrt(var_samp(v) FILTER (won = 1) / count(v) FILTER (won = 1) + var_samp(v) FILTER (won = 0) / count(v) FILTER (won = 0)) AS gap_se FROM l GROUP BY 1", "in_wins in_losses gap gap_se")

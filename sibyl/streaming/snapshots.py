@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prices import brier, log_loss, position, unit_profit
+from ..operators.joins import as_of
 from ..operators.scope import replaced
 
 
@@ -111,10 +113,38 @@ def live_track(states: DataFrame, quotes: DataFrame, key: Sequence[str], minute:
     return states.withColumn("live", chance).join(quotes, [*key, minute])
 
 
-def forward_score(log: DataFrame, results: DataFrame, key: str, p: str, y: str) -> DataFrame:
-    """Logged forecasts with their results, scored."""
-    j = log.join(results.select(key, y), key)
-    return j.agg(F.count("*").alias("n"), F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
+def rescored_locks(ledger: DataFrame, done: DataFrame, reports: DataFrame, key: str, by: Sequence[str], tag: str, since: Column, scores: dict[str, Column]) -> DataFrame:
+    """Rows (key, slate, lock_at, report_at, scores) of locks not rescored yet, each with what was known at its own time.
+
+    Pending are rows with a lock (lock_at, seconds) whose tag ends in `tag`, of slates from `since` on, that `done` lacks. reports: (by, ts, ...), ts in seconds;
+    the last one at or before the lock counts, its columns (null without one) and those of the ledger may be used in `scores`. Writing the rows once to
+    `done` makes a second run find nothing.
+    """
+    open_ = new_only(ledger.where(F.col("lock_at").isNotNull() & F.col("tag").endswith(tag) & (F.col("slate") >= since)), done, [key])
+    named = reports.withColumn("report_at", F.col("ts"))
+    known = as_of(open_, named, by, "lock_at", "ts", [c for c in named.columns if c not in (*by, "ts")])
+    return known.select(key, "slate", "lock_at", "report_at", *(x.alias(n) for n, x in scores.items()))
+
+
+def forward_score(log: DataFrame, results: DataFrame, key: str, estimators: dict[str, str], won: str, home_ml: str, away_ml: str, market: str) -> DataFrame:
+    """Rows (estimator, official, graded, pending, brier, loss, accuracy, bets, units, roi) of a log with its results (key, won).
+
+    An estimator is a column of chances; it bets its side of positive value (P22) at the log's fixed prices. Log loss is infinite where a certainty is
+    contradicted. One more row, favourite, bets on the side that the estimator `market` prefers in every graded game.
+    """
+    c = F.col
+    j = log.join(results.where(c(won).isin(0, 1)).select(key, c(won).alias("_y")), key, "left")
+    y = c("_y")
+    bet = lambda side: F.when(side == "home", unit_profit(c(home_ml), y == 1)).when(side == "away", unit_profit(c(away_ml), y == 0))
+    cell = lambda name, p, side: F.struct(F.lit(name).alias("estimator"), p.alias("p"), F.when(y.isNotNull(), side).alias("side"))
+    favourite = F.when(c(market) >= 0.5, "home").when(c(market) < 0.5, "away")
+    cells = F.array(*(cell(n, c(p), position(c(p), c(home_ml), c(away_ml))) for n, p in estimators.items()), cell("favourite", F.lit(None).cast("double"), favourite))
+    long = j.select("_y", home_ml, away_ml, F.inline(cells)).withColumn("units", bet(c("side")))
+    right = ((c("p") >= 0.5) == (y == 1)).cast("double")
+    return long.groupBy("estimator").agg(
+        F.count("*").alias("official"), F.count("_y").alias("graded"), F.count_if(y.isNull()).alias("pending"), F.avg(brier(c("p"), y)).alias("brier"), F.avg(log_loss(c("p"), y, None)).alias("loss"), F.avg(F.when(y.isNotNull(), right)).alias("accuracy"),
+        F.count("side").alias("bets"), F.sum("units").alias("units"), (F.sum("units") / F.nullif(F.count("side"), F.lit(0))).alias("roi"),
+    )
 
 
 def start_state_stream(rows: DataFrame, name: str, checkpoint: str, build) -> object:
