@@ -47,7 +47,8 @@ def test_roster_changes_as_defined(spark):
     frame = spark.createDataFrame([*box, box[0], (2000, None, 1, "A", "p", 5.0), (2000, 3, 1, None, "p", 5.0)], BOX)
     got = rosters.roster_changes(frame, spark.createDataFrame(statuses, "game int, player string, status string"), spark.createDataFrame(worths, "player string, day int, value double"))
     found = {(r.season, r.team, r.game): (r.newly_out, r.returning, r.returning_listed) for r in got.collect()}
-    assert found == pytest.approx(brute(box, statuses, worths))
+    want = brute(box, statuses, worths)
+    assert {k for k in want if found[k] != pytest.approx(want[k])} == set() and found.keys() == want.keys()
     assert any(v[0] for v in found.values()) and any(v[1] > v[2] > 0 for v in found.values())
     assert rosters.roster_changes(frame.limit(0), spark.createDataFrame([], "game int, player string, status string"), spark.createDataFrame([], "player string, day int, value double")).count() == 0
 
