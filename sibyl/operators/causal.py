@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import same
+from .order import beside, medians_before, same
 
 
 def day_number(date: Column) -> Column:
@@ -162,9 +162,10 @@ def totals_availability(sides: DataFrame, game: Sequence[str], values: Sequence[
 
 def role_to_date(df: DataFrame, key: Sequence[str], day: str, minutes: str, fallback: str, cap: float = 1.0) -> DataFrame:
     """Mean and median of minutes / 48 on earlier days, capped; without any, the fallback."""
-    past = before_day(key, day)
-    mean = F.avg(minutes).over(past) / 48
-    return df.withColumns({"role": F.least(F.coalesce(mean, F.col(fallback)), F.lit(cap)), "median_role": F.least(F.coalesce(F.percentile(minutes, F.lit(0.5)).over(past) / 48, F.col(fallback)), F.lit(cap))})
+    seen = beside(df, medians_before(df, key, day, minutes), [*key, day], ["_median"])
+    mean = F.avg(minutes).over(before_day(key, day)) / 48
+    capped = lambda v: F.least(F.coalesce(v, F.col(fallback)), F.lit(cap))
+    return seen.withColumns({"role": capped(mean), "median_role": capped(F.col("_median") / 48)}).drop("_median")
 
 
 def on_off(df: DataFrame, key: Sequence[str], day: str, on: str, value: str, shrink: float) -> DataFrame:
@@ -333,8 +334,8 @@ def lagged_correlation(df: DataFrame, key: Sequence[str], ts: str, x: str, y: st
 
 def median_to_date(df: DataFrame, key: Sequence[str], day: str, value: str, least: int = 5) -> DataFrame:
     """Median over earlier days; null under `least` rows."""
-    past = before_day(key, day)
-    return df.withColumn("median_before", F.when(F.count(value).over(past) >= least, F.percentile(value, F.lit(0.5)).over(past)))
+    seen = beside(df, medians_before(df, key, day, value), [*key, day], ["_median", "_seen"])
+    return seen.withColumn("median_before", F.when(F.col("_seen") >= least, F.col("_median"))).drop("_median", "_seen")
 
 
 def leave_one_out(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_quantiles(table, blocks):
 def test_quantiles_of_nothing(table):
     assert order.quantiles(table.where("false"), ["k"], F.col("v"), {"m": 0.5}).count() == 0
     empty = measure.lock_coverage(table.where("false").withColumns({"t": F.lit(1), "w": F.lit(False)}), "d", "t", "w").collect()
-    assert [tuple(r) for r in empty] == [(0, 0, 0, None)]
+    assert [tuple(r) for r in empty] == [(0, 0, 0, 0, 0, None)]
     assert measure.auc(table.where("false").withColumn("y", F.lit(1)), "v", "y").first()["auc"] is None
 
 
@@ -74,3 +74,31 @@ def test_drift_of_a_long_key(spark):
         past = x[: i // 40 * 40][-100:]
         weight = 0.5 ** (np.arange(len(past), 0, -1) / 20 - 1 / 20)
         assert got[i] == pytest.approx(float((past * weight).sum() / (weight.sum() + 50)), abs=1e-12)
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_medians_of_earlier_days(table, fan, monkeypatch):
+    monkeypatch.setattr(order, "FAN", fan)
+    held = table.collect()
+    got = {(r["k"], r["d"]): (r["_median"], r["_seen"]) for r in order.medians_before(table.unionByName(table.limit(1).withColumn("d", F.lit(None).cast("int"))), ["k"], "d", "v").collect()}
+    assert got.keys() == {(r["k"], r["d"]) for r in held}
+    for (k, d), (median, seen) in got.items():
+        past = [r["v"] for r in held if r["k"] == k and r["d"] < d and r["v"] is not None]
+        assert (median, seen) == (pytest.approx(float(np.median(past))) if past else None, len(past))
+    assert order.medians_before(table.where("false"), ["k"], "d", "v").count() == 0
+
+
+def test_medians_of_a_long_key(spark):
+    """A key of 50,000 days, each with a value of its own: a growing frame would look at 1.25 billion values."""
+    n = 50_000
+    df = spark.range(n).select(F.col("id").cast("int").alias("d"), (F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)) / 7).alias("v"), F.lit(1).alias("k"))
+    held = np.array([r["v"] for r in df.orderBy("d").collect()])
+    got = {r["d"]: r["median_before"] for r in causal.median_to_date(df, ["k"], "d", "v").where("d % 997 = 0 or d < 12").collect()}
+    for d, median in got.items():
+        assert median == (None if d < 5 else pytest.approx(float(np.median(held[:d])), rel=1e-12))
+
+
+def test_role_without_earlier_days(spark):
+    df = spark.createDataFrame([("a", 1, 24.0), ("a", 2, 36.0), ("a", 2, None), ("a", 3, 60.0), ("a", 4, 12.0)], "k string, d int, m double").withColumn("base", F.lit(0.25))
+    got = {(r["d"], r["m"]): (r["role"], r["median_role"]) for r in causal.role_to_date(df, ["k"], "d", "m", "base", cap=0.8).collect()}
+    assert got == {(1, 24.0): (0.25, 0.25), (2, 36.0): (0.5, 0.5), (2, None): (0.5, 0.5), (3, 60.0): (0.625, 0.625), (4, 12.0): (0.8, 0.75)}
