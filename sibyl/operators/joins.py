@@ -256,3 +256,17 @@ def listing_share(rows: DataFrame, listing: DataFrame, keys: Sequence[str], by:
     """Share of rows that a listing has, by status and season."""
     hit = rows.join(listing.select(*keys).distinct().withColumn("_hit", F.lit(1)), list(keys), "left")
     return hit.groupBy(*by).agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("listed"), F.count("*").alias("n"))
+
+
+def filled_states(quotes: DataFrame, plays: DataFrame, key: Sequence[str], ts: str, state: Sequence[str], fill: Sequence[str], lag: int) -> DataFrame:
+    """Each quote with the state of the last play at or before it, and fill_c of the quote exactly `lag` later: what a decision made on this
+    state is filled with. Quotes have one row for each key and time; null where there is no play before, or no quote at that time."""
+    seen = as_of(quotes, plays, key, ts, ts, state)
+    later = quotes.select(*key, (F.col(ts) - lag).alias(ts), *(F.col(c).alias(f"fill_{c}") for c in fill))
+    return seen.join(later, [*key, ts], "left")
+
+
+def value_before(df: DataFrame, history: DataFrame, key: Sequence[str], day: str, value: str, fallback: Column) -> DataFrame:
+    """Df with the key's value as of the day before: the last one dated strictly earlier, else the fallback. Of values of one day the largest counts."""
+    found = as_of(df, history.select(*key, F.col(day), F.col(value).alias("_value")), key, day, day, ["_value"], strict=True)
+    return found.withColumn(value, F.coalesce("_value", fallback)).drop("_value")

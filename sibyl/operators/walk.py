@@ -17,6 +17,7 @@ from . import fit, measure
 from .causal import latest_n_before
 from .order import quantiles
 from .scope import best_arm
+from .tables import stored
 
 
 def _coef_table(df: DataFrame, key: str, coefs: dict) -> DataFrame:
@@ -88,6 +89,17 @@ def compare_arms(df: DataFrame, by: Sequence[str], arms: dict[str, Column], y: s
     return long.groupBy(*by, "arm").agg(F.count("*").alias("n"), F.avg(log_loss(F.col("p"), F.col(y))).alias("loss"), F.avg(brier(F.col("p"), F.col(y))).alias("brier"))
 
 
+def novig_arms(df: DataFrame, by: Sequence[str], home_ml: str, away_ml: str, y: str, methods: dict[str, Callable[[Column, Column], Column]], width: float = 0.1) -> DataFrame:
+    """Loss and Brier of each method of removing the vig, by cohort and band of the first method's chance, on rows that all methods price. Each distinct
+    pair of prices is priced once, where pairs are few beside rows."""
+    pair = [home_ml, away_ml]
+    pairs = stored(df.select(*pair).distinct(), "pairs").withColumns({f"_{n}": f(F.col(home_ml), F.col(away_ml)) for n, f in methods.items()})
+    pairs = stored(pairs, "fair-prices")  # once, however often the plan below names a chance
+    first = F.col(f"_{next(iter(methods))}")
+    rows = df.select(*by, *pair, y).join(pairs, pair).withColumn("band", F.floor(first / width).cast("int"))
+    return compare_arms(rows, [*by, "band"], {n: F.col(f"_{n}") for n in methods}, y)
+
+
 def nested_select(losses: DataFrame, season: str, arm: str, loss: str) -> DataFrame:
     """For each season the arm of least loss over the earlier seasons. losses: one row a season and arm."""
     test = losses.select(F.col(season).alias("test")).distinct()
