@@ -35,12 +35,17 @@ def price_scalars(spark, sf):
 _PAIRS = f"WITH RECURSIVE m AS (SELECT DISTINCT home_ml, away_ml, {IH} AS a, {IA} AS b FROM g WHERE ({IH}) IS NOT NULL AND ({IA}) IS NOT NULL), "
 
 
+def _pairs(spark, sf):
+    """Distinct pairs of valid prices. A filter on what is computed of a pair would be moved below the distinct, to every row."""
+    c = F.col
+    return games(spark, sf).select("home_ml", "away_ml").where(P.hold(c("home_ml"), c("away_ml")).isNotNull()).distinct()
+
+
 @query("P03 V03", _PAIRS + """b AS (SELECT home_ml, away_ml, a, b, 0.2e0 AS lo, 8e0 AS hi, 0 AS i FROM m UNION ALL
     SELECT home_ml, away_ml, a, b, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 60)
     SELECT home_ml, away_ml, pow(a, (lo + hi) / 2) AS q FROM b WHERE i = 60""", "q")
 def power_novig(spark, sf):
-    pairs = games(spark, sf).select("home_ml", "away_ml").distinct()
-    return pairs.withColumn("q", P.price_q(F.lit(None).cast("double"), F.col("home_ml"), F.col("away_ml"), P.power_devig)).where("q is not null")
+    return _pairs(spark, sf).withColumn("q", P.price_q(F.lit(None).cast("double"), F.col("home_ml"), F.col("away_ml"), P.power_devig))
 
 
 _SIDE = "((sqrt(z * z + 4 * (1 - z) * {0} * {0} / (a + b)) - z) / (2 * (1 - z)))"
