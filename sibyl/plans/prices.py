@@ -56,8 +56,7 @@ _TEST = f"({_SIDE.format('a')} + {_SIDE.format('b')} > 1)".replace("z", "((lo +
     SELECT home_ml, away_ml, a, b, CASE WHEN {_TEST} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_TEST} THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM s WHERE i < 60)
     SELECT home_ml, away_ml, CASE WHEN a + b <= 1 THEN a / (a + b) ELSE {_SIDE.format('a').replace('z', '((lo + hi) / 2)')} END AS q FROM s WHERE i = 60""", "q")
 def shin_novig(spark, sf):
-    pairs = games(spark, sf).select("home_ml", "away_ml").distinct()
-    return pairs.withColumn("q", P.shin_devig(F.col("home_ml"), F.col("away_ml"))).where("q is not null")
+    return _pairs(spark, sf).withColumn("q", P.shin_devig(F.col("home_ml"), F.col("away_ml")))
 
 
 _RUNG = "CASE " + " ".join(f"WHEN home_ml BETWEEN {lo!r} AND {hi!r} THEN '{label}'" for label, lo, hi in P.RUNGS) + " END"
