@@ -193,10 +193,10 @@ def report_rows(lines: DataFrame, file: str, number: str, text: str) -> DataFram
     return carried.withColumns({"player": player, "status": F.when(late, "PENDING").otherwise(status)}).where(F.col("status").isNotNull()).select(file, number, "game_date", "matchup", "team", "player", "status")
 
 
-def candle_price(candle: Column, name: str) -> Column:
-    """Dollars, dollar text or cents as a price in (0, 1). candle: a map of texts."""
+def candle_price(candle: Column, name: str, zero: bool = False) -> Column:
+    """Dollars, dollar text or cents as a price in (0, 1), in [0, 1) with `zero`, where an empty side is quoted at 0. candle: a map of texts."""
     v = F.coalesce(F.try_element_at(candle, F.lit(f"{name}_dollars")).try_cast("double"), F.try_element_at(candle, F.lit(name)).try_cast("double") / 100)
-    return F.when((v > 0) & (v < 1), v)
+    return F.when(((v >= 0) if zero else (v > 0)) & (v < 1), v)
 
 
 def pending_work(wanted: DataFrame, stored: DataFrame, keys: Sequence[str] = ("season", "fingerprint")) -> DataFrame:
