@@ -264,11 +264,13 @@ def ladder_mean(quotes: DataFrame, key: Sequence[str], line: str, over: str) ->
 
 
 def shrunk_bins(df: DataFrame, bin_: str, actual: str, forecast: str, base: str, pseudo: float = 100.0, low: float = 0.25, high: float = 4.0) -> DataFrame:
-    """Squared error of each bin over its forecast variance, shrunk toward 1 by pseudo rows and kept within bounds."""
+    """Squared error of each bin over its forecast variance, shrunk toward 1 by pseudo rows and kept within bounds, and the share of the bin's
+    outcomes above 0."""
     e = F.col(actual) - F.col(forecast)
     raw = F.sum(e * e) / F.nullif(F.sum(base), F.lit(0.0))
     n = F.count("*")
-    return df.groupBy(bin_).agg(n.alias("n"), F.greatest(F.lit(low), F.least(F.lit(high), (raw * n + pseudo) / (n + pseudo))).alias("ratio"))
+    play = F.avg((F.col(actual) > 0).cast("double"))
+    return df.groupBy(bin_).agg(n.alias("n"), play.alias("play"), F.greatest(F.lit(low), F.least(F.lit(high), (raw * n + pseudo) / (n + pseudo))).alias("ratio"))
 
 
 def play_mixture(df: DataFrame, bin_: str, actual: str, forecast: str, base: str, least: int = 100) -> DataFrame:
