@@ -107,7 +107,7 @@ def win_share_rows(spark, sf):
     c = F.col
     t = _sides(spark, sf)
     league = t.groupBy("season").agg(F.struct(F.sum("t.pts").alias("pts"), F.sum(E.mean_possessions(c("t"), c("o"))).alias("poss"), F.sum("t.minutes").alias("minutes"), F.count("*").alias("games")).alias("l"))
-    return E.win_shares(t.join(league, "season"), "p", "t", "o", "l").select("game_id", "offence", "defence")
+    return E.win_shares(t.join(F.broadcast(league), "season"), "p", "t", "o", "l").select("game_id", "offence", "defence")
 
 
 _LIVE = "WITH x AS (SELECT *, margin / 4 AS lead_now, game_id % 10 / 10e0 AS left_now FROM g), y AS (SELECT *, CASE WHEN left_now <= 0 THEN 300 / 2880e0 ELSE left_now END AS t FROM x)"
