@@ -249,8 +249,8 @@ def hetero_sigma(df: DataFrame, x: Sequence[str], y: str) -> tuple[np.ndarray, n
 def ladder_mean(quotes: DataFrame, key: Sequence[str], line: str, over: str) -> DataFrame:
     """Mean behind a ladder of lines with no-vig chances to go over: the normal quantiles of three lines or more on a straight
     line, else the Poisson mean that gives the single (lowest) line's chance, by halving."""
-    z = norm_ppf(1 - F.col(over))
-    g = quotes.where(F.col(over).between(0.001, 0.999)).groupBy(*key).agg(F.count("*").alias("n"), F.regr_intercept(line, z).alias("fit"), F.min(F.struct(F.col(line).alias("l"), F.col(over).alias("p"))).alias("one"))
+    some = quotes.where(F.col(over).between(0.001, 0.999)).withColumn("_z", norm_ppf(1 - F.col(over)))  # once a quote: the sums of the line name it often
+    g = some.groupBy(*key).agg(F.count("*").alias("n"), F.regr_intercept(line, F.col("_z")).alias("fit"), F.min(F.struct(F.col(line).alias("l"), F.col(over).alias("p"))).alias("one"))
     terms = F.sequence(F.lit(0), F.floor(F.col("one.l")).cast("int"))
 
     def over_at(mu: Column) -> Column:
