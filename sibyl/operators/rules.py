@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prices import main_line
-from .quality import Constraint, all_of, orphans, repeated_keys, violations
+from .quality import Constraint, all_of, repeated_keys, violations
 
 #: Positions of a salary table.
 POSITIONS = ("PG", "SG", "SF", "PF", "C")
@@ -118,18 +118,21 @@ def rescore_violations(rescored: DataFrame, ledger: DataFrame, key: str, tag: st
     of rest in bounds, no report later than the lock, and a lock of the ledger at the same time under an earlier tag. Columns:
     key, slate, tag, p_over, total, lock_at, report_at and, if any, rest; of the ledger: key, lock_at, tag."""
     c = F.col
-    own = ledger.select(c(key), _time("lock_at").alias("_lock"), c("tag").alias("_tag"))
     ends = F.lit(False)
     for e in earlier:
-        ends = ends | c("_tag").endswith(e)
-    joined = rescored.join(own.dropDuplicates([key]), key, "left")
+        ends = ends | c("tag").endswith(e)
+    lock = _time("lock_at")
+    own = ledger.select(key, lock.alias("_lock"), F.coalesce(ends, F.lit(False)).alias("_ends"), (c("tag").isNull() & lock.isNull()).alias("_blank")).dropDuplicates([key])
+    # only the times go through the join; what a row says by itself is judged where it is read
+    timed = "lock_at" in rescored.columns
+    joined = rescored.select(key, *([lock.alias("_at")] if timed else [])).join(own, key, "left")
+    both = [("at the ledger's lock", ["_at"], F.coalesce("_blank", F.lit(True)) | (c("_ends") & (c("_lock") == c("_at")))), ("in the ledger", [], c("_blank").isNotNull())]
     rules = [
         ("tag", ["tag"], c("tag").endswith(tag)),
         ("share and total", ["p_over", "total"], _share("p_over") & c("total").isNotNull()),
         ("slate", ["slate"], c("slate").cast("date") >= F.lit(since).cast("date")),
         ("report before the lock", ["report_at", "lock_at"], when_there(c("report_at"), _time("report_at") <= _time("lock_at"))),
-        ("at the ledger's lock", ["_lock", "lock_at"], c("_tag").isNull() & c("_lock").isNull() | (ends & (c("_lock") == _time("lock_at")))),
         *([("not voided", [key], ~c(key).cast("string").isin(*voided))] if voided else []),
         *([("rest", ["rest"], c("rest").between(0, rest_most))] if rest_most is not None else []),
     ]
-    return all_of(violations(joined, key, _made(joined, rules)), repeated_keys(rescored, [key], "once"), orphans(rescored, ledger.select(key).distinct(), key, key, "in the ledger"))
+    return all_of(violations(rescored, key, _made(rescored, rules)), violations(joined, key, _made(joined, both)), repeated_keys(rescored, [key], "once"))
