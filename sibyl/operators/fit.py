@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.normal import norm_cdf, norm_ppf
 from ..functions.prices import brier, log_loss
+from .tables import stored
 
 
 @dataclass
@@ -326,13 +327,15 @@ def pace_arms(df: DataFrame, season: str, mean: str, pace: str, sigma: str, marg
     k, the smallest on ties. Arms: base (neither), margin (k), both (k and s), fixed (k = 1, s = 0.5). loss, brier and mse are differences from base.
     Rows with a null are left out, and a season without an earlier one.
 
-    k comes from two sums a season; the grid is one grouped sum whose rows combine before the shuffle. The folds, one number a season, go through
-    the driver: over `seasons` of them is an error.
+    Rows that agree in all but the margin become one with their number and the sum of their margins, which is all that the sums need; the grid is
+    evaluated for these, once a value and later season, in one grouped sum that combines before the shuffle. The folds, one number a season,
+    go through the driver: over `seasons` of them is an error.
     """
     c = F.col
     rows = df.select(c(season), *(c(x).cast("double").alias(n) for x, n in ((mean, "_m"), (pace, "_lp"), (sigma, "_sd"), (margin, "_y"), (won, "_won")))).dropna()
+    rows = stored(rows.groupBy(season, "_m", "_lp", "_sd", "_won").agg(F.count("*").alias("_n"), F.sum("_y").alias("_y")), "pace-rows")
     x = c("_m") * c("_lp")
-    per = rows.groupBy(season).agg(F.sum(x * (c("_y") - c("_m"))).alias("a"), F.sum(x * x).alias("b")).orderBy(season).limit(seasons + 1).collect()
+    per = rows.groupBy(season).agg(F.sum(x * (c("_y") - c("_n") * c("_m"))).alias("a"), F.sum(c("_n") * x * x).alias("b")).orderBy(season).limit(seasons + 1).collect()
     if len(per) > seasons:
         raise ValueError(f"over {seasons} seasons")
     folds, a, b = [], 0.0, 0.0
@@ -348,19 +351,20 @@ def pace_arms(df: DataFrame, season: str, mean: str, pace: str, sigma: str, marg
         return norm_cdf(c("_m") * (1 + k * c("_lp")) / (c("_sd") * F.exp(s * c("_lp"))))
 
     long = rows.withColumn("_f", F.explode(F.filter(fold, lambda f: f["test"] > c(season)))).withColumn("s", F.explode(F.array(*(F.lit(float(v)) for v in grid))))
-    losses = long.groupBy(c("_f.test").alias(season), c("_f.k").alias("k"), "s").agg(F.avg(log_loss(chance(c("_f.k"), c("s")), c("_won"))).alias("_l"))
+    losses = long.groupBy(c("_f.test").alias(season), c("_f.k").alias("k"), "s").agg((F.sum(c("_n") * log_loss(chance(c("_f.k"), c("s")), c("_won"))) / F.sum("_n")).alias("_l"))
     best = losses.groupBy(season, "k").agg(F.min(F.struct("_l", "s")).alias("_b")).select(season, "k", c("_b.s").alias("s"))
     fits = spark.createDataFrame(best.collect(), best.schema)  # one row a season, counted above
     zero = F.lit(0.0)
     arms = {"base": (zero, zero), "margin": (c("k"), zero), "both": (c("k"), c("s")), "fixed": (F.lit(1.0), F.lit(0.5))}
 
     def scores(k: Column, s: Column) -> Column:
-        p, e = chance(k, s), c("_y") - c("_m") * (1 + k * c("_lp"))
-        return F.struct(log_loss(p, c("_won")).alias("loss"), brier(p, c("_won")).alias("brier"), (e * e).alias("mse"))
+        p, more = chance(k, s), k * x
+        # the squared error beyond that of the mean itself, over all margins of the row
+        return F.struct((c("_n") * log_loss(p, c("_won"))).alias("loss"), (c("_n") * brier(p, c("_won"))).alias("brier"), (more * (c("_n") * (2 * c("_m") + more) - 2 * c("_y"))).alias("mse"))
 
     scored = rows.join(F.broadcast(fits), season).withColumns({f"_{n}": scores(*a) for n, a in arms.items()})
-    cells = scored.select(season, "k", "s", F.inline(F.array(*(F.struct(F.lit(n).alias("arm"), *((c(f"_{n}.{v}") - c(f"_base.{v}")).alias(v) for v in ("loss", "brier", "mse"))) for n in arms))))
-    return cells.groupBy(season, "arm", "k", "s").agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in ("loss", "brier", "mse"))).select(season, "arm", "n", "k", "s", "loss", "brier", "mse")
+    cells = scored.select(season, "k", "s", "_n", F.inline(F.array(*(F.struct(F.lit(n).alias("arm"), *((c(f"_{n}.{v}") - c(f"_base.{v}")).alias(v) for v in ("loss", "brier", "mse"))) for n in arms))))
+    return cells.groupBy(season, "arm", "k", "s").agg(F.sum("_n").alias("n"), *((F.sum(v) / F.sum("_n")).alias(v) for v in ("loss", "brier", "mse"))).select(season, "arm", "n", "k", "s", "loss", "brier", "mse")
 
 
 def model_table(spark: SparkSession, models: Sequence[dict]) -> DataFrame:
