@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.features import play_chance
 from .joins import as_of
 from .refits import packed_sums, cumulated, solved, width
+from .tables import stored
 
 #: Statuses that keep a player out.
 GONE = ("Out", "Doubtful")
+#: A day after all others.
+_NEVER = 2**31 - 1
 
 
 def roster_changes(box: DataFrame, statuses: DataFrame, worths: DataFrame, season: str = "season", gone: Sequence[str] = GONE) -> DataFrame:
@@ -27,34 +30,62 @@ def roster_changes(box: DataFrame, statuses: DataFrame, worths: DataFrame, seaso
     worths: (player, day, value): the value in force is the last one of an earlier day, 0 without any. Rows without season, game, day or team
     are left out; of two appearances on a day the one with the larger game is the latest, and repeated rows count once.
 
-    A player's stay with a team ends at the next day it appears; the team's days inside it come from a calendar of the team by an equi-join,
-    so no player meets all games and no key is longer than a season.
+    Everything about a player is one line of its season: appearances and new values hold from the next day on, and the games it was in before or
+    is listed for stand for themselves. Between two of those neither team nor value changes, so such a run is spread over its games where it
+    is read and added up before anything is moved: no pair of a player and a game it misses is shuffled, and no key is longer than a player's season.
     """
-    key = [season, "team"]
+    key, mine = [season, "team"], [season, "player"]
     known = box.dropna(subset=[season, "team", "game", "day"])
-    by_day = Window.partitionBy(*key).orderBy("day")
-    games = known.select(*key, "game", "day").distinct().withColumns({"_next": F.lead("game").over(Window.partitionBy(*key).orderBy("day", "game")), "_n": F.dense_rank().over(by_day)})
-    dates = games.select(*key, "day", "_n").distinct().withColumns({"_end": F.lead("day").over(by_day), "_all": F.count("*").over(Window.partitionBy(*key))})
-    calendar = dates.select(*key, F.explode(F.sequence("day", F.coalesce(F.col("_end") - 1, F.col("day")))).alias("_until"), F.col("_n").alias("_to"))
-
-    played = known.where(F.col("minutes") > 0).where("player is not null").select(*key, "game", "day", "player").distinct()
-    before = played.join(games.select(*key, "game", "_next"), [*key, "game"]).where("_next is not null").select(*key, F.col("_next").alias("game"), "player")
-
-    latest = played.groupBy(season, "player", "day").agg(F.max(F.struct("game", "team")).alias("_x")).select(season, "player", "day", F.col("_x.team").alias("team"))
-    stays = latest.withColumn("_until", F.lead("day").over(Window.partitionBy(season, "player").orderBy("day")))
-    stays = stays.join(dates.select(*key, "day", "_n", "_all"), [*key, "day"]).join(calendar, [*key, "_until"], "left").withColumn("_to", F.coalesce("_to", "_all"))
-    away = stays.where("_to > _n").select(*key, "player", F.explode(F.sequence(F.col("_n") + 1, F.col("_to"))).alias("_n"))
-    away = away.join(games.select(*key, "_n", "game"), [*key, "_n"]).select(*key, "game", "player").join(before, [*key, "game", "player"], "left_anti")
-
-    rows = before.withColumn("_new", F.lit(True)).unionByName(away.withColumn("_new", F.lit(False)))
-    rows = rows.join(statuses.select("game", "player", "status"), ["game", "player"], "left").join(games.select(*key, "game", "day"), [*key, "game"])
+    in_order = Window.partitionBy(*key).orderBy("day", "game")
+    games = known.select(*key, "game", "day").distinct().withColumns({"_n": F.row_number().over(in_order), "_at": F.lead("day").over(in_order)})
+    games = stored(games, "team-games")
+    last = games.groupBy(season).agg(F.max("day").alias("_last"))
+    dates = games.groupBy(*key, "day").agg(F.max("_n").alias("_to")).withColumn("_end", F.lead("day").over(Window.partitionBy(*key).orderBy("day"))).join(last, season)
+    until = F.coalesce(F.col("_end") - 1, F.col("_last"))
+    # how many games of the team are on or before each day of the season; beyond it there are all
+    calendar = stored(dates.select(*key, F.explode(F.concat(F.sequence("day", until.cast(dates.schema["day"].dataType)), F.when(F.col("_end").isNull(), F.array(F.lit(_NEVER))).otherwise(F.array()))).alias("_day"), "_to"), "team-days")
+
+    played = known.where(F.col("minutes") > 0).where("player is not null").select(*key, "game", "day", "player")
+    # _kind 0: a game, seen before the day's changes; 1: changes that hold after the day
+    none = lambda c: F.lit(None).cast(games.schema[c].dataType)
+    seen = F.struct(F.col("day"), F.lit(1).alias("_kind"), none("team").alias("_team"), none("_n").alias("_n"), F.struct("game", "team").alias("_on"), F.lit(False).alias("_before"))
+    then = F.struct(F.col("_at").alias("day"), F.lit(0).alias("_kind"), F.col("team").alias("_team"), (F.col("_n") + 1).alias("_n"), F.lit(None).cast(games.select(F.struct("game", "team").alias("_on")).schema["_on"].dataType).alias("_on"), F.lit(True).alias("_before"))
+    rows = played.join(games, [*key, "game", "day"]).select(*mine, F.inline(F.when(F.col("_at").isNull(), F.array(seen)).otherwise(F.array(seen, then))))
+    listed = statuses.where("status is not null").join(games, "game").select(*mine, "day", F.lit(0).alias("_kind"), F.col("team").alias("_team"), "_n", "status")
+    first = played.groupBy(*mine).agg(F.min("day").alias("_first")).join(last, season)
+    worth = worths.select("player", "day", "value", F.lead("day").over(Window.partitionBy("player").orderBy("day", "value")).alias("_until")).where("_until is null or _until > day").join(first, "player")
+    worth = worth.where((F.col("day") < F.col("_last")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("_first"))))
+    worth = worth.select(*mine, "day", F.lit(1).alias("_kind"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("_worth"))
+    line = rows.unionByName(listed, True).unionByName(worth, True).repartition(*mine)
+
+    order = ["day", "_kind", "_team", "_n"]
+    line = line.groupBy(*mine, *order).agg(F.max("_on")["team"].alias("_on"), *(F.max(c).alias(c) for c in ("_before", "status", "_worth")))
+    past = Window.partitionBy(*mine).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.select(*mine, *order, F.coalesce("_before", F.lit(False)).alias("_before"), "status", F.last("_on", True).over(past).alias("team"), F.coalesce(F.last("_worth", True).over(past), F.lit(0.0)).alias("value"))
+    change, own = F.col("_kind") == 1, F.coalesce(F.col("_team") == F.col("team"), F.lit(False))
+    line = line.where((change & F.col("team").isNotNull()) | own | F.col("_before"))
+    # days are even numbers and games odd ones, as a window moves numbers faster than structs
+    line = line.withColumn("_edge", F.when(change, F.col("day").cast("long") * 2).when(own, F.col("_n").cast("long") * 2 + 1))
+    line = line.withColumn("_next", F.expr(f"lead(_edge) IGNORE NULLS OVER (PARTITION BY `{season}`, player ORDER BY {', '.join(order)})"))
+    next_game = F.col("_next") % 2 != 0
+    # a run begins behind its own edge and ends before the next one
+    upto = lambda name, out: calendar.select(*key, F.col("_day").alias(name), F.col("_to").alias(out))
+    line = line.withColumns({"_from_day": F.when(change, F.col("day")), "_to_day": F.when(F.col("_next").isNull(), F.lit(_NEVER).cast("long")).when(~next_game, F.shiftright("_next", 1))})
+    line = line.join(upto("_from_day", "_lo"), [*key, "_from_day"], "left").join(upto("_to_day", "_hi"), [*key, "_to_day"], "left")
+    lo, hi = F.coalesce(F.col("_lo"), F.col("_n")) + 1, F.coalesce(F.col("_hi"), F.shiftright("_next", 1).cast("int") - 1)
     out = F.coalesce(F.col("status").isin(*gone), F.lit(False))
-    rows = rows.where(F.col("_new") == out)  # the newly out are listed out, the returning are not
-    valued = as_of(rows, worths, ["player"], "day", "day", ["value"], strict=True)
-    value = F.coalesce("value", F.lit(0.0))
-    some = lambda when: F.sum(F.when(when, value).otherwise(0.0))
-    sums = valued.groupBy(*key, "game").agg(some(F.col("_new")).alias("newly_out"), some(~F.col("_new")).alias("returning"), some(~F.col("_new") & F.col("status").isNotNull()).alias("returning_listed"))
-    return games.select(*key, "game", "day").join(sums, [*key, "game"], "left").fillna(0.0, ["newly_out", "returning", "returning_listed"])
+    before = F.col("_before")
+    item = lambda team, a, b, what: F.struct(F.col(team).alias("team"), a.alias("_a"), b.alias("_b"), F.lit(what).alias("_what"))
+    n = F.col("_n")
+    items = F.array(
+        F.when((change | own) & (lo <= hi), item("team", lo, hi, 0)),  # in no report
+        F.when(~change & before & out, item("_team", n, n, 1)),
+        F.when(~change & own & ~before & ~out, item("_team", n, n, 2)),
+    )
+    runs = line.select(season, "value", F.inline(F.filter(items, lambda x: x.isNotNull()))).select(*key, "value", "_what", F.explode(F.sequence("_a", "_b")).alias("_n"))
+    some = lambda *what: F.sum(F.when(F.col("_what").isin(*what), F.col("value")).otherwise(0.0))
+    sums = runs.groupBy(*key, "_n").agg(some(1).alias("newly_out"), some(0, 2).alias("returning"), some(2).alias("returning_listed"))
+    return games.join(sums, [*key, "_n"], "left").select(*key, "game", "day", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("newly_out", "returning", "returning_listed")))
 
 
 @dataclass(frozen=True)

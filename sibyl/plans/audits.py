@@ -29,9 +29,10 @@ def roster_changes(spark, sf):
     c = F.col
     li = table(spark, sf, "lineitem").select("*", F.year("l_shipdate").alias("season"), (c("l_partkey") % 7).alias("team"), F.datediff("l_shipdate", F.lit("1970-01-01").cast("date")).alias("day"), c("l_suppkey").alias("player"))
     game = lambda day: F.concat_ws(":", c("team").cast("string"), day.cast("string"))
-    status = F.when(c("l_returnflag") == "A", "Out").when(c("l_returnflag") == "R", "Questionable").otherwise("Probable")
+    names = ["Out", "Probable", "Questionable"]  # in their order, so that the greatest name is that of the greatest number
+    status = F.when(c("l_returnflag") == "A", 1).when(c("l_returnflag") == "R", 3).otherwise(2)
     box = li.select("season", game(c("day")).alias("game"), "day", "team", "player", F.greatest(c("l_quantity") - 4, F.lit(0.0)).alias("minutes"))
-    statuses = li.groupBy(game(c("day") + c("l_linenumber") % 3).alias("game"), "player").agg(F.max(status).alias("status"))
+    statuses = li.groupBy(game(c("day") + c("l_linenumber") % 3).alias("game"), "player").agg(F.element_at(F.array(*map(F.lit, names)), F.max(status)).alias("status"))
     worths = li.groupBy("player", "day").agg(F.avg(c("l_discount") * 100).alias("value"))
     return R.roster_changes(box, statuses, worths).withColumnsRenamed({"returning": "back", "returning_listed": "back_listed"})
 
