@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-from .spans import SpanCache
+from .spans import BITS, POOL, SpanCache
 from .text import Flat, Spans
 
 _WHITE = np.zeros(256, bool)
@@ -51,15 +51,19 @@ def chunks(flat: Flat, letters: bool = False) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, per_text
 
 
+#: Bits and limit of a cache for tasks that read many distinct words and have the memory: about 150 MB a worker once it is full.
+WIDE = (21, 1 << 24)
+
+
 class Bpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, bits: int = BITS, limit: int = POOL):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = SpanCache(self._encode)
+        self.cache = SpanCache(self._encode, bits, limit)
 
     def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -87,9 +91,9 @@ class Bpe:
 
 
 @cache
-def loaded(path: str) -> Bpe:
-    """One tokenizer for each Python worker."""
-    return Bpe(path)
+def loaded(path: str, bits: int = BITS, limit: int = POOL) -> Bpe:
+    """One tokenizer for each Python worker and size of cache."""
+    return Bpe(path, bits, limit)
 
 
 @cache

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, places
+from .spans import BITS, POOL
 from .text import Schema, map_slices, type_of
 
 PIECE = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
@@ -262,11 +263,11 @@ class Places:
         return sequence + k // each, at + (k % each) * length
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document, with a checksum of their ids."""
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cache: tuple[int, int] = (BITS, POOL)) -> DataFrame:
+    """The pieces of every document, with a checksum of their ids. cache: bits and limit of the words that a worker keeps."""
 
     def per_slice(part, flat):
-        ids, n = bpe.loaded(tokenizer_path).ids(flat)
+        ids, n = bpe.loaded(tokenizer_path, *cache).ids(flat)
         out = np.full(len(ids) + len(n), end_id, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
         n = n + 1
@@ -313,5 +314,5 @@ def pack(cut: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     return ranked.mapInArrow(run, placed.spark)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), capacity, id_col)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cache: tuple[int, int] = (BITS, POOL)) -> DataFrame:
+    return pack(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, cache), capacity, id_col)

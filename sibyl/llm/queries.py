@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, pii, places, quality_crf, sentencepiece_bpe, toxicity, url_filter
+from . import bpe, bpe_transducer, pii, places, quality_crf, sentencepiece_bpe, toxicity, url_filter
 from .divergence import divergence
 from .labelled import HELD_OUT, fold
 from .ngram_join import similarity_classes
@@ -147,7 +147,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024, cache=bpe.WIDE)
 
 
 #: One run in so many loses a letter, so that variants stand in the text.

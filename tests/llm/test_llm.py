@@ -65,6 +65,23 @@ def test_byte_bpe_equals_library():
         assert ids[at[k] : at[k] + n[k]].tolist() == e.ids
 
 
+def test_packing_encodes_distinct_words_once(monkeypatch):
+    """op10: the cache of the query holds more words than the narrow one, which encodes many again; the ids are the same."""
+    monkeypatch.setattr(queries, "pack_documents", lambda *a, **k: k["cache"])
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    wide = queries.op10_packing(None, SF)
+    flat = Flat(pa.array([" ".join(f"{k:x}" for k in range(100_000, 400_000))]))
+    again, ids = [], []
+    for size in ((), wide):
+        b = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"), *size)
+        encode, b.made = b.cache.encode, []
+        b.cache.encode = lambda raw, a, z, b=b, encode=encode: b.made.append(len(a)) or encode(raw, a, z)
+        ids += [b.ids(flat)[0], b.ids(flat)[0]]
+        again.append(sum(b.made[1:]))
+    assert 2 * again[1] < again[0]
+    assert all((x == ids[0]).all() for x in ids)
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     b = bpe.loaded(path)
