@@ -113,24 +113,39 @@ def report_grid(members: DataFrame, reports: DataFrame, games: DataFrame, leads:
     chances below a half) as missing, "rates" takes away one less the chance of earlier seasons, the fixed chance where there is none. A day is
     predicted by the fit of the margin on all earlier days; days after fewer than `least` games are left out.
 
-    All leads go through one as-of join and all arms through one pass: a game is one row with a term for each lead and rule.
+    Members and reports are moved once, by game: the statuses of all leads are frames of one sorted line, and a game is one row with a term for
+    each lead and rule. Statuses and terms are stored, as the shares that played are made of all statuses and the fits of all terms.
     """
-    at_lead = members.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("_at", F.col("tip") - F.col("lead"))
-    listed = as_of(at_lead, reports, ["game", "player"], "_at", "ts", ["status"])
-    chance = listed.join(fitted_chances(listed, season), [season, "lead", "status"], "left")
-    gone = {"fixed": (play_chance(F.col("status")) < 0.5).cast("double"), "rates": 1 - F.coalesce(F.col("chance"), play_chance(F.col("status")))}
-    side = F.when(F.col("home"), 1.0).otherwise(-1.0) * F.coalesce(F.col("value"), F.lit(0.0))
+    at = F.struct(F.col("ts").alias("t"), F.col("status").alias("status"))
+    said = reports.select("game", "player", F.col("ts").alias("_t"), at.alias("_r"))
+    one = members.select(season, "day", "game", "player", F.col("tip").alias("_t"), (F.when(F.col("home"), 1.0).otherwise(-1.0) * F.coalesce(F.col("value"), F.lit(0.0))).alias("_side"), F.col("played").cast("double").alias("_played"), F.lit(True).alias("_member"))
+    line = one.unionByName(said, True).repartition("game")
+    until = lambda lead: Window.partitionBy("game", "player").orderBy("_t").rangeBetween(Window.unboundedPreceding, -lead)
+    statuses = [F.max("_r").over(until(lead))["status"].alias(f"_status_{i}") for i, lead in enumerate(leads)]
+    listed = stored(line.select(season, "day", "game", "_side", "_played", "_member", *statuses).where("_member").drop("_member"), "listed")
+    long = listed.select(season, "_played", F.inline(F.array(*(F.struct(F.lit(lead).alias("lead"), F.col(f"_status_{i}").alias("status")) for i, lead in enumerate(leads)))))
+    shares = fitted_chances(long.withColumnRenamed("_played", "played"), season)
+    # a row a season with the shares of all leads and statuses
+    known = shares.where("chance is not null").groupBy(season).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("lead", "status").alias("key"), "chance"))).alias("_chances"))
+    chance = listed.join(F.broadcast(known), season, "left")
     name = lambda lead, rule: f"_{rule}_{lead}"
-    terms = chance.groupBy(season, "day", "game").agg(*(F.sum(F.when(F.col("lead") == lead, side * g)).alias(name(lead, rule)) for lead in leads for rule, g in gone.items()))
+    sums = []
+    for i, lead in enumerate(leads):
+        status = F.col(f"_status_{i}")
+        rate = F.when(status.isNotNull(), F.try_element_at(F.col("_chances"), F.struct(F.lit(lead).alias("lead"), status.alias("status"))))
+        gone = {"fixed": (play_chance(status) < 0.5).cast("double"), "rates": 1 - F.coalesce(rate, play_chance(status))}
+        sums += [F.sum(F.col("_side") * g).alias(name(lead, rule)) for rule, g in gone.items()]
+    terms = stored(chance.groupBy(season, "day", "game").agg(*sums).join(games.select("game", "margin"), "game"), "terms")
 
     def cell(lead: int, arm: Arm) -> Column:
         fit = F.col(name(lead if arm.fit_lead is None else arm.fit_lead, arm.fit_rule))
         return F.struct(F.lit(lead).alias("lead"), F.lit(arm.name).alias("arm"), fit.alias("_fit"), F.col(name(lead, arm.score_rule)).alias("_score"))
 
-    cells = terms.join(games.select("game", "margin"), "game").select(season, "day", "margin", F.inline(F.array(*(cell(lead, a) for lead in leads for a in arms))))
+    cells = terms.select(season, "day", "margin", F.inline(F.array(*(cell(lead, a) for lead in leads for a in arms))))
     by = ["lead", "arm"]
     fits = solved(cumulated(packed_sums(cells, [*by, "day"], ["_fit"], "margin"), "day", width(2), by), 2, least)
     error = F.col("margin") - (F.col("coef")[0] * F.col("_score") + F.col("coef")[1])
-    scored = cells.join(fits.where("coef is not null"), [*by, "day"]).groupBy(season, *by).agg(F.count("*").alias("n"), F.avg(error * error).alias("_mse"))
+    scored = cells.join(F.broadcast(fits.where("coef is not null")), [*by, "day"])  # a row a day, lead and arm
+    scored = scored.groupBy(season, *by).agg(F.count("*").alias("n"), F.avg(error * error).alias("_mse"))
     first = F.max(F.when(F.col("arm") == arms[0].name, F.col("_mse"))).over(Window.partitionBy(season, "lead"))
     return scored.select(season, *by, "n", F.sqrt("_mse").alias("rmse"), (F.col("_mse") - first).alias("added"))
