@@ -21,10 +21,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sibyl/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written once and read again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -40,11 +40,13 @@ def append_by_id(old: DataFrame, new: DataFrame, key: str, ignore: Sequence[str]
     compared = [c for c in new.columns if c != key and c not in ignore]
     values = F.struct(*compared) if compared else F.struct(F.lit(0))
     conflict = F.raise_error(F.concat(F.lit("conflicting rows of id "), F.col(key).cast("string"))).cast("boolean")
-    own = new.groupBy(key).agg(F.min(values).alias("_low"), F.max(values).alias("_high"), F.min(F.struct(*(c for c in new.columns if c != key))).alias("_row"), F.count("*").alias("_n"))
+    # of equal rows the smallest differs in the ignored columns alone
+    rest = [c for c in new.columns if c in ignore]
+    own = new.groupBy(key).agg(F.min(values).alias("_low"), F.max(values).alias("_high"), *([F.min(F.struct(*rest)).alias("_rest")] if rest else []))
     o = old.select(key, values.alias("_old"), F.lit(True).alias("_there"))
     j = own.join(o, key, "left")
     ok = F.when(~F.col("_low").eqNullSafe(F.col("_high")), conflict).when(F.col("_there").isNull(), True).when(F.col("_old").eqNullSafe(F.col("_low")), False).otherwise(conflict)
-    return j.where(ok).select(*(F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in new.columns))
+    return j.where(ok).select(*(F.col(key) if c == key else F.col(f"{'_rest' if c in rest else '_low'}.{c}").alias(c) for c in new.columns))
 
 
 _TEAM = "struct<homeAway:string,score:string,winner:boolean,team:struct<abbreviation:string>>"

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import exists, stored
@@ -26,11 +26,18 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def member(day: str, game: str, won: str) -> Column:
+    return F.struct(F.col(day).cast("long").alias("day"), F.col(game).cast("string").alias("game"), F.col(won).cast("long").alias("won"))
+
+
 def proofs(members: DataFrame, key: str, day: str, game: str, won: str, pseudo: float, prior: float) -> DataFrame:
     """Rows (key, evidence_id, evidence, games, wins, chance): the members of each key, ordered by day and game, as canonical JSON. A key's members
     are one row, so they have to be a window of a stated size."""
-    one = F.struct(F.col(day).cast("long").alias("day"), F.col(game).cast("string").alias("game"), F.col(won).cast("long").alias("won"))
-    m = members.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("members"))
+    return proofs_of(members.groupBy(key).agg(F.array_sort(F.collect_list(member(day, game, won))).alias("members")), key, pseudo, prior)
+
+
+def proofs_of(m: DataFrame, key: str, pseudo: float, prior: float) -> DataFrame:
+    """`proofs` of rows (key, members) whose members are already arrays in order, so that they are not moved once more."""
     m = m.withColumn("evidence", F.to_json(F.struct(F.lit(float(pseudo)).alias("pseudo"), F.lit(float(prior)).alias("prior"), F.col("members"))))
     games, wins = F.size("members").cast("long"), F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + x["won"])
     return m.select(key, digest(F.col("evidence")).alias("evidence_id"), "evidence", games.alias("games"), wins.alias("wins"), ((wins + pseudo * prior) / (games + pseudo)).alias("chance"))
@@ -58,15 +65,16 @@ def record(taken: DataFrame, proved: DataFrame, path: str, tip: str, clock) -> i
     """Append evidence, then captures that are still before their tip by the clock after that write; equal ones are left out, and one name with other
     contents raises. clock: () -> a timestamp column. Returns how many captures are new."""
     spark = taken.sparkSession
-    taken = stored(taken, "captures")
+    taken = stored(taken, "captures", "zstd")
     # names that are already there hold equal evidence by their digest
     proofs_ = proved.join(taken.select("evidence_id").distinct(), "evidence_id", "left_semi").select("evidence_id", "evidence")
     old = _table(spark, f"{path}/evidence", proofs_.schema)
-    append_by_id(old, proofs_, "evidence_id").write.mode("append").parquet(f"{path}/evidence")
+    append_by_id(old, proofs_, "evidence_id").write.mode("append").parquet(f"{path}/evidence", compression="zstd")
     late = taken.where(clock() < F.col(tip))
-    new = stored(append_by_id(_table(spark, f"{path}/captures", late.schema), late, "capture_id", ["captured"]), "new-captures")
-    new.write.mode("append").parquet(f"{path}/captures")
-    return new.count()
+    written = Observation()
+    new = append_by_id(_table(spark, f"{path}/captures", late.schema), late, "capture_id", ["captured"]).observe(written, F.count(F.lit(1)).alias("n"))
+    new.write.mode("append").parquet(f"{path}/captures", compression="zstd")
+    return written.get["n"]
 
 
 def verify(taken: DataFrame, evidence: DataFrame, said: Sequence[str], slate: str, forecast_at: str, tip: str, tolerance: float = 1e-9) -> DataFrame:
