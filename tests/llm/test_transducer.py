@@ -71,6 +71,34 @@ def test_any_rank_file(seed):
         assert own.encode(piece.encode()) == library.encode_ordinary(piece), (piece, order[256:])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_any_rank_file_side_by_side(seed, monkeypatch):
+    monkeypatch.setattr(bpe_transducer, "SIDE_BY_SIDE", 12)
+    monkeypatch.setattr(bpe_transducer, "BLOCK", 1000)
+    rng = random.Random(seed)
+    words = {bytes([c]) for c in range(256)} | {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(40)}
+    order = sorted(words, key=lambda w: (len(w) > 1, rng.random()))
+    ranks = {w: i for i, w in enumerate(order)}
+    library, own = tiktoken.Encoding("x", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), bpe_transducer.Transducer(ranks)
+    pieces = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 16))) for _ in range(1500)] + ["c" * 3000, "", "ab"]
+    ids, n = own.encode_all([p.encode() for p in pieces])
+    ends = np.cumsum(n).tolist()
+    assert len(ids) == ends[-1]
+    for p, k, b in zip(pieces, n.tolist(), ends, strict=True):
+        assert ids[b - k : b].tolist() == library.encode_ordinary(p), (p, order[256:])
+    assert [x.tolist() for x in own.encode_all([])] == [[], []]
+
+
+def test_words_met_once_make_no_states(own, library):
+    """Over new words the determinised states were built for single use, which took most of the query's time."""
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice(["th", "er", "é", "ou", "q", "ing", "ä"]) for _ in range(rng.randint(2, 9))) for _ in range(5000))
+    before = len(own.transducer.held)
+    ids, _ = own.ids(Flat(pa.array([text])))
+    assert ids.tolist() == library.encode_ordinary(text)
+    assert len(own.transducer.held) == before
+
+
 def test_characters_across_blocks():
     rng = random.Random(2)
     for _ in range(400):
